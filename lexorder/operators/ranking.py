@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,24 @@ from lexorder.staging import Stages
 FIRST, LAST = 1, 2      # marks of a partition's first and last row
 
 
+def rank_bounded(df: DataFrame, group: list[str], key: list[str], tasks: int, stages: Stages,
+                 name: str, keep: list[str], cluster: list[str] | None = None) -> DataFrame:
+    """What ``rank_rows`` returns, by a plain window, for groups of proven bounded size.
+
+    ``cluster`` names the columns to partition by where fewer than ``group`` will do (so that an
+    exchange made for a join before is used again).
+    """
+    order = Window.partitionBy(*group).orderBy(*key)
+    after = F.struct(*key) if len(key) > 1 else F.col(key[0])
+    ranked = df.repartition(tasks, *(cluster or group)).select(
+        *keep, F.rank().over(order).alias("_rank"), F.row_number().over(order).alias("_row"),
+        (F.lead(after).over(order) == after).alias("_same"))
+    return stages.save(ranked.select(
+        *keep, (F.col("_rank") - 1).cast("long").alias("rank"),
+        ((F.col("_rank") != F.col("_row")) | F.coalesce("_same", F.lit(False))).alias("tied")),
+        name)
+
+
 def _changed(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     """For rows 1.. of a batch: does any of ``columns`` differ from the row before?"""
     flags = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
@@ -162,8 +180,8 @@ def rank_rows(df: DataFrame, group: list[str], key: list[str], tie: list[str], t
 
     Returns ``keep`` (default: group and tie) with ``rank``, the least row number of the row's
     key in its group (with ``dense``: the number of smaller keys), and ``tied``, whether another
-    row shares the key.  ``group``, ``key`` and ``tie`` together must tell rows apart.  With an
-    empty key list, pass the tie columns as the key to get plain row numbers.
+    row shares the key.  ``group``, ``key`` and ``tie`` together must tell rows apart; no column
+    may be null.
     """
     keep = keep if keep is not None else group + [c for c in tie if c not in group]
     order = group + [c for c in key if c not in group]

@@ -10,17 +10,26 @@ unordered, split by position within equal prefixes, so that no repeat makes one
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexorder.operators.ranking import rank_rows
+from lexorder.operators.ranking import rank_bounded, rank_rows
+from lexorder.sources.texts import Texts
 from lexorder.staging import Stages, tasks_for
 
-PREFIX_BYTES = 16       # bytes compared in round 0 (at least two symbols)
+@dataclass(frozen=True)
+class Packed(Texts):
+    """Staged chunks, with what the plans must know of them."""
+
+    total: int = 0          # symbols in all texts
+    single: bool = False    # every text is one chunk, so a text is a bounded group
+
+
+PREFIX_BYTES = 24       # bytes compared in round 0 (at least two symbols)
 EXTENSION_BUDGET = 16   # a round may read this many symbols per symbol of all texts
-LEAST_EXTENSION = 32    # symbols; with less to read, use ranks
 BROADCAST_ROWS = 200_000    # look-ups of up to this many rows are broadcast (counted first)
 
 
@@ -32,16 +41,20 @@ def prefixes(chunks: DataFrame, width: int, symbols: int) -> DataFrame:
                     F.substring(F.col("data"), at, F.lit(symbols * width)).alias("prefix")))
 
 
-def _read_ahead(rows: DataFrame, chunks: DataFrame, width: int, chunk: int, depth: int,
-                symbols: int) -> DataFrame:
+def _read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,
+                tasks: int) -> DataFrame:
     """Add ``next``: up to ``symbols`` symbols of each suffix, starting ``depth`` symbols in."""
-    wanted = rows.withColumn("_chunk", F.expr(f"(pos + {depth}) div {chunk}"))
-    held = chunks.select("text_id", F.col("chunk_id").alias("_chunk"), "beg", "data")
-    at = ((F.col("pos") + depth - F.col("beg")) * width + 1).cast("int")
-    return wanted.join(held, ["text_id", "_chunk"], "left").select(
-        *rows.columns,
-        F.coalesce(F.substring(F.col("data"), at, F.lit(symbols * width)), F.lit(b""))
-        .alias("next"))
+    at = ((F.col("pos") + depth - F.col("beg")) * texts.width + 1).cast("int")
+    upcoming = F.coalesce(F.substring(F.col("data"), at, F.lit(symbols * texts.width)), F.lit(b""))
+    if texts.single:
+        # One chunk per text: partitioned by text, the rows are in place for the ranking too.
+        wanted, key = rows, ["text_id"]
+    else:
+        wanted = rows.withColumn("chunk_id", F.expr(f"(pos + {depth}) div {texts.chunk}"))
+        key = ["text_id", "chunk_id"]
+    held = texts.chunks.select(*key, "beg", "data")
+    return (wanted.repartition(tasks, *key).join(held.repartition(tasks, *key), key, "left")
+            .select(*rows.columns, upcoming.alias("next")))
 
 
 def _rank_ahead(rows: DataFrame, ranks: DataFrame, depth: int, count: int) -> DataFrame:
@@ -65,43 +78,47 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def refine(ranked: DataFrame, depth: int, total: int, stages: Stages, chunks: DataFrame,
-           width: int, chunk: int, halo: int, name: str) -> DataFrame:
+def rank(rows: DataFrame, group: list[str], key: list[str], count: int, texts: Packed, stages: Stages,
+         name: str) -> DataFrame:
+    """Rank rows in their groups: by window if a group cannot exceed one chunk, else split up."""
+    tasks = tasks_for(rows.sparkSession, count)
+    keep = group + ["pos"]
+    if texts.single:
+        return rank_bounded(rows, group, key, tasks, stages, name, keep, cluster=["text_id"])
+    return rank_rows(rows, group, key, ["pos"], tasks, stages, name, keep)
+
+
+def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: str) -> DataFrame:
     """Finish an order in which equal ranks mean equal first ``depth`` symbols.
 
-    ``ranked`` has ``text_id, pos, rank, tied``; ``total`` is its row count.  Returns the suffix
-    array ``text_id, rank, pos``.
+    ``ranked`` has ``text_id, pos, rank, tied``.  Returns the suffix array ``text_id, rank, pos``.
     """
-    spark = ranked.sparkSession
     final, turn = [], 0
     while True:
         final.append(ranked.filter(~F.col("tied")))
         open_rows = ranked.filter("tied").select("text_id", "pos", F.col("rank").alias("base"))
         count = open_rows.count()
         if count == 0:
-            break
+            return union(final).select("text_id", "rank", "pos")
         turn += 1
-        symbols = min(EXTENSION_BUDGET * total // (count * width), halo)
-        if symbols >= min(LEAST_EXTENSION, halo) and depth < halo:
-            rows = _read_ahead(open_rows, chunks, width, chunk, depth, symbols)
-            step = symbols
+        # A text of one chunk can be read to its end; elsewhere the halo is the limit.
+        reach = texts.chunk if texts.single else texts.halo
+        symbols = min(EXTENSION_BUDGET * texts.total // (count * texts.width), reach)
+        if symbols >= depth:    # either way the length compared at least doubles
+            rows = _read_ahead(open_rows, texts, depth, symbols,
+                               tasks_for(ranked.sparkSession, count))
         else:
-            known = union([*final, ranked.filter("tied")])
-            rows = _rank_ahead(open_rows, known, depth, count)
-            step = depth
-        ranked = rank_rows(rows, ["text_id", "base"], ["next"], ["pos"],
-                           tasks_for(spark, count), stages, f"{name}-{turn}",
-                           keep=["text_id", "base", "pos"])
+            rows = _rank_ahead(open_rows, union([*final, ranked.filter("tied")]), depth, count)
+            symbols = depth
+        ranked = rank(rows, ["text_id", "base"], ["next"], count, texts, stages, f"{name}-{turn}")
         ranked = ranked.select("text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"),
                                "tied")
-        depth += step
-    return union(final).select("text_id", "rank", "pos")
+        depth += symbols
 
 
-def doubling(chunks: DataFrame, width: int, total: int, stages: Stages, chunk: int, halo: int,
-             name: str = "doubling") -> DataFrame:
-    """Suffix array ``(text_id, rank, pos)`` of packed chunks with ``total`` symbols."""
-    symbols = min(max(2, PREFIX_BYTES // width), halo + 1)
-    first = rank_rows(prefixes(chunks, width, symbols), ["text_id"], ["prefix"], ["pos"],
-                      tasks_for(chunks.sparkSession, total), stages, f"{name}-0")
-    return refine(first, symbols, total, stages, chunks, width, chunk, halo, name)
+def doubling(texts: Packed, stages: Stages, name: str = "doubling") -> DataFrame:
+    """Suffix array ``(text_id, rank, pos)`` of packed texts."""
+    symbols = min(max(2, PREFIX_BYTES // texts.width), texts.halo + 1)
+    first = rank(prefixes(texts.chunks, texts.width, symbols), ["text_id"], ["prefix"],
+                 texts.total, texts, stages, f"{name}-0")
+    return refine(first, symbols, texts, stages, name)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexorder.plans.doubling import doubling
-from lexorder.sources.texts import (CHUNK, HALO, MAX_LENGTH, chunk_texts, packed_text,
-                                    symbol_width)
+from lexorder.plans.doubling import Packed, doubling, union
+from lexorder.plans.induced import induced
+from lexorder.sources.texts import CHUNK, HALO, MAX_LENGTH, Texts, chunk_texts, symbol_width
 from lexorder.staging import Stages, parallelism
 
 DIRECT_LIMIT = 4096     # longest text, in symbols, whose suffixes are materialized
@@ -21,7 +21,7 @@ def direct(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
     symbol width.
     """
     width = symbol_width(unit, symbol_bytes)
-    chunks = chunk_texts(df, id_col, text_col, unit, symbol_bytes, chunk=DIRECT_LIMIT, halo=0)
+    chunks = chunk_texts(df, id_col, text_col, unit, symbol_bytes, DIRECT_LIMIT, 0).chunks
     whole = F.when(F.col("last") & (F.col("chunk_id") == 0), F.col("data")).otherwise(
         F.raise_error(F.lit(f"method 'direct' takes texts of up to {DIRECT_LIMIT} symbols")))
     suffix = F.substring(F.col("text"), F.col("pos").cast("int") * width + 1,
@@ -49,22 +49,33 @@ def suffix_array(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
     """
     if method == "direct":
         return direct(df, id_col, text_col, unit, symbol_bytes)
-    width = symbol_width(unit, symbol_bytes)
-    spark = df.sparkSession
-    stages = Stages(spark)
-    chunks = stages.save(chunk_texts(df, id_col, text_col, unit, symbol_bytes, chunk, halo,
-                                     tasks=max(parallelism(spark), int(spark.conf.get(
-                                         "spark.sql.shuffle.partitions")))), "chunks")
-    return sort_chunks(chunks, width, stages, method, chunk, halo)
+    tasks = max(parallelism(df.sparkSession),
+                int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sort_texts(chunk_texts(df, id_col, text_col, unit, symbol_bytes, chunk, halo, tasks),
+                      method)
+
 
+def sort_texts(texts: Texts, method: str = "auto") -> DataFrame:
+    """The suffix array ``(text_id, rank, pos)`` of packed texts.
 
-def sort_chunks(chunks: DataFrame, width: int, stages: Stages, method: str, chunk: int,
-                halo: int) -> DataFrame:
-    """The suffix array of staged chunks."""
-    total, longest = chunks.agg(F.coalesce(F.sum("len"), F.lit(0)),
-                                F.max(F.col("beg") + F.col("len"))).first()
-    if (longest or 0) > MAX_LENGTH:
+    Texts of one chunk are groups of bounded size and go through plain windows; the others are
+    split over tasks however long they are.
+    """
+    plans = {"auto": doubling, "doubling": doubling, "induced": induced}
+    if method not in plans:
+        raise ValueError(f"unknown method {method!r}")
+    stages = Stages(texts.chunks.sparkSession)
+    chunks = stages.save(texts.chunks, "chunks")
+    single = (F.col("chunk_id") == 0) & F.col("last")
+    stats = {row["single"]: row for row in chunks.groupBy(single.alias("single")).agg(
+        F.sum("len").alias("total"), F.max(F.col("beg") + F.col("len")).alias("longest"))
+        .collect()}
+    if any(row["longest"] > MAX_LENGTH for row in stats.values()):
         raise ValueError(f"texts may have up to {MAX_LENGTH} symbols")
-    if method in ("auto", "doubling"):
-        return doubling(chunks, width, total, stages, chunk, halo)
-    raise ValueError(f"unknown method {method!r}")
+    orders = [plans[method](Packed(chunks.filter(single if one else ~single), texts.width,
+                                   texts.chunk, texts.halo, row["total"], one),
+                            stages, f"{method}-{'single' if one else 'long'}")
+              for one, row in stats.items()]
+    if not orders:
+        return chunks.select("text_id", F.col("beg").alias("rank"), F.col("beg").alias("pos"))
+    return union(orders)

@@ -13,6 +13,8 @@ symbols that follow; fewer only where the text ends).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,16 @@ MAX_LENGTH = (1 << 40) // 2   # longest text, in symbols
 WIDTH_OF_UNIT = {"byte": 1, "char": 4, "token": 8}
 
 
+@dataclass(frozen=True)
+class Texts:
+    """A table of chunks and how it is packed."""
+
+    chunks: DataFrame
+    width: int = 1      # bytes of a symbol
+    chunk: int = CHUNK  # symbols a chunk may own
+    halo: int = HALO    # look-ahead symbols
+
+
 def symbol_width(unit: str, symbol_bytes: int | None = None) -> int:
     """Bytes of one packed symbol for ``unit``."""
     if unit not in WIDTH_OF_UNIT:
@@ -67,7 +79,7 @@ def packed_text(text: Column, unit: str, width: int) -> Column:
 
 def chunk_texts(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
                 symbol_bytes: int | None = None, chunk: int = CHUNK, halo: int = HALO,
-                tasks: int | None = None) -> DataFrame:
+                tasks: int | None = None) -> Texts:
     """Cut every text of a column into packed chunks.
 
     ``id_col`` names a unique id of any atomic type.  A null or empty text gives no rows.  A byte
@@ -94,17 +106,20 @@ def chunk_texts(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
                 F.when(F.col("chunk_id") > 0,
                        F.substring(F.col("packed"), at - width, F.lit(width))).alias("prev"),
                 F.substring(F.col("packed"), at, F.lit((chunk + halo) * width)).alias("data")))
-    return chunks.repartition(tasks, "text_id", "chunk_id") if tasks else chunks
+    if tasks:
+        chunks = chunks.repartition(tasks, "text_id", "chunk_id")
+    return Texts(chunks, width, chunk, halo)
 
 
-def add_halo(own: DataFrame, width: int, chunk: int, halo: int) -> DataFrame:
+def add_halo(texts: Texts) -> Texts:
     """Complete chunks that hold only ``text_id, chunk_id, beg, len, data`` (own symbols).
 
     Every chunk hands its first ``halo`` symbols to the chunk before it and its last symbol to
     the chunk after it; a chunk that is handed nothing is the last of its text.
     """
-    if halo > chunk:
-        raise ValueError("the halo must not be longer than a chunk")
+    own, width, chunk, halo = texts.chunks, texts.width, texts.chunk, texts.halo
+    if not 1 <= halo <= chunk:
+        raise ValueError("the halo must have between one symbol and a chunk")
     key = ["text_id", "chunk_id"]
     ahead = own.filter("chunk_id > 0").select(
         "text_id", (F.col("chunk_id") - 1).alias("chunk_id"),
@@ -112,29 +127,22 @@ def add_halo(own: DataFrame, width: int, chunk: int, halo: int) -> DataFrame:
     behind = own.filter(F.col("len") == chunk).select(
         "text_id", (F.col("chunk_id") + 1).alias("chunk_id"),
         F.substring(F.col("data"), F.lit((chunk - 1) * width + 1), F.lit(width)).alias("prev"))
-    return own.join(ahead, key, "left").join(behind, key, "left").select(
+    whole = own.join(ahead, key, "left").join(behind, key, "left").select(
         *key, "beg", "len", F.col("ahead").isNull().alias("last"), "prev",
         F.concat("data", F.coalesce("ahead", F.lit(b""))).alias("data"))
+    return Texts(whole, width, chunk, halo)
 
 
-def explode_chunks(chunks: DataFrame, width: int) -> DataFrame:
-    """One row per symbol, ``(text_id, pos, sym)``, of packed chunks."""
-    at = F.col("i") * width + 1
-    symbol = F.substring(F.col("data"), at, F.lit(width))
+def explode_symbols(texts: Texts) -> DataFrame:
+    """One row per symbol: ``symbols(text_id, pos, sym)``."""
+    symbol = F.substring(F.col("data"), F.col("i") * texts.width + 1, F.lit(texts.width))
     # ascii() of a one-byte Latin-1 string is the byte's value.
-    value = (F.ascii(F.decode(symbol, "ISO-8859-1")).cast("long") if width == 1
+    value = (F.ascii(F.decode(symbol, "ISO-8859-1")).cast("long") if texts.width == 1
              else unpack_big_endian(symbol))
-    return (chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
+    return (texts.chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
             .select("text_id", (F.col("beg") + F.col("i")).alias("pos"), value.alias("sym")))
 
 
-def explode_symbols(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
-                    symbol_bytes: int | None = None) -> DataFrame:
-    """One row per symbol of a text column: ``symbols(text_id, pos, sym)``."""
-    return explode_chunks(chunk_texts(df, id_col, text_col, unit, symbol_bytes, halo=0),
-                          symbol_width(unit, symbol_bytes))
-
-
 def random_text(spark: SparkSession, n: int, sigma: int, seed: int, first: int = 0) -> DataFrame:
     """A random text of ``n`` symbols from ``first .. first + sigma - 1`` as ``(text_id, pos, sym)``.
 
@@ -146,7 +154,7 @@ def random_text(spark: SparkSession, n: int, sigma: int, seed: int, first: int =
 
 
 def pack_symbols(symbols: DataFrame, width: int, chunk: int = CHUNK,
-                 halo: int = HALO) -> DataFrame:
+                 halo: int = HALO) -> Texts:
     """Pack ``(text_id, pos, sym)`` rows with positions ``0..n-1`` back into chunks.
 
     A group holds at most ``chunk`` symbols, whatever the length of its text.
@@ -157,4 +165,4 @@ def pack_symbols(symbols: DataFrame, width: int, chunk: int = CHUNK,
            .agg(F.count("*").cast("int").alias("len"),
                 F.expr("listagg(bytes) within group (order by pos)").alias("data"))
            .withColumn("beg", F.col("chunk_id") * chunk))
-    return add_halo(own, width, chunk, min(halo, chunk))
+    return add_halo(Texts(own, width, chunk, min(halo, chunk)))
