@@ -23,7 +23,6 @@ from lexorder.sources.texts import pack_symbols
 from lexorder.staging import Stages
 
 KEY_BYTES = 16          # symbols before the next star that go into the key, in bytes
-DEEPEST = 6             # levels of names before the rest is left to doubling
 ENDS, FAR = -1, 1 << 62     # in place of a star's rank: the text ends; no star within the key
 
 
@@ -86,7 +85,7 @@ def sort_keys(cut: DataFrame, star_ranks: DataFrame, width: int, symbols: int) -
             .select("text_id", "pos", "prefix", ahead.cast("long").alias("ahead")))
 
 
-def star_order(texts: Packed, stages: Stages, name: str, depth: int,
+def star_order(texts: Packed, stages: Stages, name: str, levels: int,
                directory: DataFrame) -> DataFrame | None:
     """``(text_id, star_idx, star_rank)``, or None if a substring outgrows its chunk's data."""
     stars = stages.save(stars_with_data(directory, texts), f"{name}-stars")
@@ -99,24 +98,27 @@ def star_order(texts: Packed, stages: Stages, name: str, depth: int,
     if n_names == total:                        # names tell all stars apart
         return stages.save(named.select("text_id", "star_idx", F.col("name").alias("star_rank")),
                            f"{name}-ranks")
-    reduced = pack_symbols(reduced_text(named), width_of(n_names), texts.chunk, texts.halo)
-    reduced = Packed(stages.save(reduced.chunks, f"{name}-reduced"), reduced.width,
-                     reduced.chunk, reduced.halo, total, longest < texts.chunk)
-    order = induced if depth < DEEPEST else doubling
-    more = {"depth": depth + 1} if order is induced else {}
-    return order(reduced, stages, f"{name}-{depth}", **more).select(
-        "text_id", F.col("pos").alias("star_idx"), F.col("rank").alias("star_rank"))
-
-
-def induced(texts: Packed, stages: Stages, name: str = "induced", depth: int = 1) -> DataFrame:
+    single = longest < texts.chunk
+    packed = pack_symbols(reduced_text(named), width_of(n_names), texts.chunk, texts.halo, single)
+    reduced = Packed(stages.save(packed.chunks, f"{name}-reduced"), packed.width, packed.chunk,
+                     packed.halo, total, single)
+    order = (induced(reduced, stages, f"{name}-names", levels - 1) if levels > 1
+             else doubling(reduced, stages, f"{name}-doubling"))
+    return order.select("text_id", F.col("pos").alias("star_idx"),
+                        F.col("rank").alias("star_rank"))
+
+
+def induced(texts: Packed, stages: Stages, name: str = "induced",
+            levels: int = 1) -> DataFrame:
     """Suffix array ``(text_id, rank, pos)`` of packed texts.
 
-    Texts in which a star substring is longer than a chunk with its look-ahead (long runs) are
-    left to ``doubling``, which gives the same rows.
+    The text of names is sorted the same way until ``levels`` are used up or the names tell all
+    stars apart, then by ``doubling``.  Texts in which a star substring is longer than a chunk with its look-ahead (long runs) are
+    left to ``doubling`` at once.  The rows are the same either way.
     """
     symbols = min(max(2, KEY_BYTES // texts.width), texts.halo)
     directory = with_directory(texts)
-    stars = star_order(texts, stages, name, depth, directory)
+    stars = star_order(texts, stages, name, levels, directory)
     if stars is None:
         return doubling(texts, stages, f"{name}-doubling")
     keys = sort_keys(pieces(directory, texts, symbols),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +39,14 @@ def direct(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
 
 def suffix_array(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
                  method: str = "auto", symbol_bytes: int | None = None, chunk: int = CHUNK,
-                 halo: int = HALO) -> DataFrame:
+                 halo: int = HALO, levels: int = 1) -> DataFrame:
     """The suffix array of every text: ``(text_id, rank, pos)``.
 
     Symbols compare as unsigned integers and a suffix that is a proper prefix of another sorts
     first.  ``unit`` is ``'byte'`` (strings as UTF-8), ``'char'`` (code points) or ``'token'``
     (arrays of non-negative integers).  ``method`` is ``'direct'`` (short texts only),
-    ``'doubling'``, ``'induced'`` or ``'auto'``; all give the same rows.  Ids must be unique; null
+    ``'doubling'``, ``'induced'`` (over ``levels`` texts of names; for long repeats) or
+    ``'auto'``; all give the same rows.  Ids must be unique; null
     and empty texts give no rows.  All but ``'direct'`` run jobs when called and return a reader
     of stage tables.
     """
@@ -52,16 +55,16 @@ def suffix_array(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
     tasks = max(parallelism(df.sparkSession),
                 int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return sort_texts(chunk_texts(df, id_col, text_col, unit, symbol_bytes, chunk, halo, tasks),
-                      method)
+                      method, levels)
 
 
-def sort_texts(texts: Texts, method: str = "auto") -> DataFrame:
+def sort_texts(texts: Texts, method: str = "auto", levels: int = 1) -> DataFrame:
     """The suffix array ``(text_id, rank, pos)`` of packed texts.
 
     Texts of one chunk are groups of bounded size and go through plain windows; the others are
     split over tasks however long they are.
     """
-    plans = {"auto": doubling, "doubling": doubling, "induced": induced}
+    plans = {"auto": doubling, "doubling": doubling, "induced": partial(induced, levels=levels)}
     if method not in plans:
         raise ValueError(f"unknown method {method!r}")
     stages = Stages(texts.chunks.sparkSession)

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexorder.functions.ints import pack_big_endian, unpack_big_endian
+
 CHUNK = 1 << 16     # own symbols of a chunk
 HALO = 1 << 12      # look-ahead symbols kept with it
 MAX_LENGTH = (1 << 40) // 2   # longest text, in symbols
@@ -47,18 +49,6 @@ def symbol_width(unit: str, symbol_bytes: int | None = None) -> int:
     return width
 
 
-def pack_big_endian(value: Column, width: int) -> Column:
-    """A non-negative integer as ``width`` big-endian bytes; larger values are an error."""
-    too_large = value < 0 if width == 8 else (value < 0) | (value >= F.lit(1 << (8 * width)))
-    return F.unhex(F.when(too_large, F.raise_error(F.lit(f"symbol does not fit {width} bytes")))
-                   .otherwise(F.lpad(F.hex(value), 2 * width, "0")))
-
-
-def unpack_big_endian(packed: Column) -> Column:
-    """The integer held in up to eight big-endian bytes (values of 2^63 and more are an error)."""
-    return F.conv(F.hex(packed), 16, 10).cast("long")
-
-
 def packed_text(text: Column, unit: str, width: int) -> Column:
     """A text column (string, binary or integer array) as packed symbols."""
     if unit == "byte":
@@ -153,11 +143,12 @@ def random_text(spark: SparkSession, n: int, sigma: int, seed: int, first: int =
         (F.floor(F.rand(seed) * sigma) + first).cast("long").alias("sym"))
 
 
-def pack_symbols(symbols: DataFrame, width: int, chunk: int = CHUNK,
-                 halo: int = HALO) -> Texts:
+def pack_symbols(symbols: DataFrame, width: int, chunk: int = CHUNK, halo: int = HALO,
+                 single: bool = False) -> Texts:
     """Pack ``(text_id, pos, sym)`` rows with positions ``0..n-1`` back into chunks.
 
-    A group holds at most ``chunk`` symbols, whatever the length of its text.
+    A group holds at most ``chunk`` symbols, whatever the length of its text.  ``single`` says
+    that no text is longer than a chunk, so that no chunk has a neighbour to exchange with.
     """
     own = (symbols.withColumn("chunk_id", F.expr(f"pos div {chunk}"))
            .withColumn("bytes", pack_big_endian(F.col("sym"), width))
@@ -165,4 +156,8 @@ def pack_symbols(symbols: DataFrame, width: int, chunk: int = CHUNK,
            .agg(F.count("*").cast("int").alias("len"),
                 F.expr("listagg(bytes) within group (order by pos)").alias("data"))
            .withColumn("beg", F.col("chunk_id") * chunk))
+    if single:
+        return Texts(own.select("text_id", "chunk_id", "beg", "len", F.lit(True).alias("last"),
+                                F.lit(None).cast("binary").alias("prev"), "data"),
+                     width, chunk, halo)
     return add_halo(Texts(own, width, chunk, min(halo, chunk)))
