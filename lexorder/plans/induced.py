@@ -118,11 +118,14 @@ def induced(texts: Packed, stages: Stages, name: str = "induced",
     """
     symbols = min(max(2, KEY_BYTES // texts.width), texts.halo)
     directory = with_directory(texts)
-    stars = star_order(texts, stages, name, levels, directory)
+    inner = stages.inner(f"{name}-stars")
+    stars = star_order(texts, inner, name, levels, directory)
     if stars is None:
+        inner.remove()
         return doubling(texts, stages, f"{name}-doubling")
     keys = sort_keys(pieces(directory, texts, symbols),
                      stars.withColumnRenamed("star_idx", "next_idx"), texts.width, symbols)
     first = rank(keys, ["text_id"], ["prefix", "ahead"], texts.total, texts, stages,
                  f"{name}-first")
+    inner.remove()
     return refine(first, symbols, texts, stages, name)

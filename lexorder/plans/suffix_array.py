@@ -81,4 +81,5 @@ def sort_texts(texts: Texts, method: str = "auto", levels: int = 1) -> DataFrame
               for one, row in stats.items()]
     if not orders:
         return chunks.select("text_id", F.col("beg").alias("rank"), F.col("beg").alias("pos"))
+    stages.remove("chunks")
     return union(orders)

@@ -36,9 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Stages:
     """The stage tables of one run, in one folder of their own."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+        self.folder = folder or f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+
+    def inner(self, name: str) -> Stages:
+        """A folder for tables that can go before the others do."""
+        return Stages(self.spark, f"{self.folder}/{name}")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as table ``name`` and return the table as read back."""
@@ -46,9 +50,9 @@ class Stages:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+    def remove(self, name: str = "") -> None:
+        """Delete a table, or the whole folder, that no later plan reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
