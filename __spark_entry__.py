@@ -50,9 +50,9 @@ def _part_sequences(spark: SparkSession, sf: str) -> DataFrame:
     lines = _table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("text_id"), "l_orderkey", "l_linenumber",
         F.col("l_partkey").alias("sym"))
-    return rank_rows(lines, ["text_id"], ["l_orderkey", "l_linenumber"], [],
+    return rank_rows(lines, ["text_id"], ["l_orderkey", "l_linenumber", "sym"], [],
                      2 * parallelism(spark), Stages(spark), "lines",
-                     keep=["text_id", "sym"]).select("text_id", F.col("rank").alias("pos"), "sym")
+                     keep=["text_id", "sym"], what="row").select("text_id", F.col("rank").alias("pos"), "sym")
 
 
 # --- suffix arrays ----------------------------------------------------------------------------
@@ -92,12 +92,10 @@ def sa_chars(spark, sf):
 
 
 def sa_tokens(spark, sf):
-    """Order lines as arrays of part keys."""
-    # An order has a handful of lines: the group is bounded.
-    orders = _table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))),
-                    lambda line: line["l_partkey"]).alias("parts"))
-    return suffix_array(orders, "l_orderkey", "parts", unit="token", symbol_bytes=5)
+    """Texts over an alphabet of integers: the byte length of every word."""
+    words = _turns(spark, sf).select("id", F.transform(
+        F.split("text", " "), lambda word: F.octet_length(word).cast("long")).alias("words"))
+    return suffix_array(words, "id", "words", unit="token", symbol_bytes=3)
 
 
 def sa_symbol_rows(spark, sf):
@@ -372,19 +370,19 @@ SQL = {
 SELECT id AS text_id, p AS pos,
        row_number() OVER (PARTITION BY id ORDER BY substr(text, (p + 1)::BIGINT)) - 1 AS rank
 FROM (SELECT id, text, unnest(range(0, length(text))) AS p FROM ({TURNS}))""",
-    "sa_tokens": """
-SELECT l_orderkey AS text_id, p AS pos,
-       row_number() OVER (PARTITION BY l_orderkey ORDER BY substr(h, 10 * p + 1)) - 1 AS rank
-FROM (SELECT l_orderkey, h, unnest(range(0, length(h) // 10)) AS p
-      FROM (SELECT l_orderkey, string_agg(printf('%010x', l_partkey), ''
-                                          ORDER BY l_linenumber) AS h
-            FROM lineitem GROUP BY l_orderkey))""",
+    "sa_tokens": f"""
+SELECT id AS text_id, p AS pos,
+       row_number() OVER (PARTITION BY id ORDER BY substr(h, 6 * p + 1)) - 1 AS rank
+FROM (SELECT id, h, unnest(range(0, length(h) // 6)) AS p
+      FROM (SELECT id, array_to_string(list_transform(string_split(text, ' '),
+                   lambda w: printf('%06x', octet_length(encode(w)))), '') AS h
+            FROM ({TURNS})))""",
     "sa_symbol_rows": """
 SELECT l_suppkey AS text_id, p AS pos,
        row_number() OVER (PARTITION BY l_suppkey ORDER BY substr(h, 10 * p + 1)) - 1 AS rank
 FROM (SELECT l_suppkey, h, unnest(range(0, length(h) // 10)) AS p
       FROM (SELECT l_suppkey, string_agg(printf('%010x', l_partkey), ''
-                                         ORDER BY l_orderkey, l_linenumber) AS h
+                                         ORDER BY l_orderkey, l_linenumber, l_partkey) AS h
             FROM lineitem GROUP BY l_suppkey))""",
     "symbols": f"WITH {SYMBOLS} SELECT text_id, pos, sym FROM sy",
     "code_points": f"""

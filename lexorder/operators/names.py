@@ -23,7 +23,7 @@ def name_substrings(stars: DataFrame, stages: Stages | None = None) -> DataFrame
                         (~F.col("terminal")).alias("goes_on"))
     return rank_rows(rows, ["text_id"], ["sub", "goes_on"], ["pos"], 2 * parallelism(spark),
                      stages or Stages(spark), "names", keep=["text_id", "star_idx", "pos"],
-                     dense=True).select("text_id", "star_idx", "pos",
+                     what="dense").select("text_id", "star_idx", "pos",
                                         F.col("rank").alias("name"))
 
 
@@ -46,7 +46,7 @@ def pair_names(symbols: DataFrame, stages: Stages | None = None) -> DataFrame:
     spark = symbols.sparkSession
     return rank_rows(symbols, ["text_id"], ["sym", "tail_is_plus", "tail_name"], ["pos"],
                      2 * parallelism(spark), stages or Stages(spark), "pairs",
-                     dense=True).select("text_id", "pos", F.col("rank").alias("name"))
+                     what="dense").select("text_id", "pos", F.col("rank").alias("name"))
 
 
 def table_names(stars: DataFrame, total: int, stages: Stages, name: str) -> tuple[DataFrame, int]:

@@ -52,7 +52,7 @@ def _changed(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return flags
 
 
-def _number_partition(group: list[str], key: list[str], keep: list[str], dense: bool):
+def _number_partition(group: list[str], key: list[str], keep: list[str], what: str):
     """The ``mapInArrow`` function that numbers the sorted rows of one partition.
 
     ``_local`` is a row's number counted from where its group starts in this partition; ``_open``
@@ -106,7 +106,9 @@ def _number_partition(group: list[str], key: list[str], keep: list[str], dense:
 
             index = np.arange(rows, rows + size)
             group_start = np.maximum.accumulate(np.where(starts_group, index, group_at))
-            if dense:
+            if what == "row":
+                local = index - group_start
+            elif what == "dense":
                 seen = np.cumsum(starts_key)
                 local = seen - 1 - np.maximum.accumulate(
                     np.where(starts_group, seen - 1, -1 - keys))
@@ -136,7 +138,7 @@ NUMBERED = [
 CARRY = "_part int, _add_first long, _add long, _from_before boolean, _goes_on boolean"
 
 
-def _carries(edges: list, group: list[str], key: list[str], dense: bool) -> list[tuple]:
+def _carries(edges: list, group: list[str], key: list[str], what: str) -> list[tuple]:
     """What the open group of each partition takes over from the partitions before it.
 
     One row per partition: what to add to an open row's number if it has the partition's very
@@ -158,8 +160,8 @@ def _carries(edges: list, group: list[str], key: list[str], dense: bool) -> list
             number += 1
         if not same_key:
             key_at = offset
-        add_first, add = ((number, number) if dense
-                          else (key_at - group_at, offset - group_at))
+        add = number if what == "dense" else offset - group_at
+        add_first = key_at - group_at if what == "rank" else add
         out.append([part, add_first, add, same_key, False])
         if not last["_open"]:
             group_at, number = offset + last["_group_at"], last["_local"]
@@ -175,13 +177,14 @@ def _carries(edges: list, group: list[str], key: list[str], dense: bool) -> list
 
 def rank_rows(df: DataFrame, group: list[str], key: list[str], tie: list[str], tasks: int,
               stages: Stages, name: str, keep: list[str] | None = None,
-              dense: bool = False) -> DataFrame:
+              what: str = "rank") -> DataFrame:
     """Number the rows of every group in key order, from 0, however large the group.
 
-    Returns ``keep`` (default: group and tie) with ``rank``, the least row number of the row's
-    key in its group (with ``dense``: the number of smaller keys), and ``tied``, whether another
-    row shares the key.  ``group``, ``key`` and ``tie`` together must tell rows apart; no column
-    may be null.
+    Returns ``keep`` (default: group and tie) with ``rank`` and ``tied``.  ``rank`` is the least
+    row number of the row's key in its group, the number of smaller keys (``what='dense'``) or
+    the row's own number (``what='row'``); ``tied`` tells whether another row
+    shares the key.  ``group``, ``key`` and ``tie`` together should tell rows apart (or large ties stay in
+    one task); no column may be null.
     """
     keep = keep if keep is not None else group + [c for c in tie if c not in group]
     order = group + [c for c in key if c not in group]
@@ -191,11 +194,11 @@ def rank_rows(df: DataFrame, group: list[str], key: list[str], tie: list[str], t
     numbered = stages.save(
         df.select(*dict.fromkeys(order + keep))
         .repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-        .mapInArrow(_number_partition(group, key, keep, dense), schema), name)
+        .mapInArrow(_number_partition(group, key, keep, what), schema), name)
 
     edges = numbered.filter("_edge > 0").collect()      # at most two rows per partition
-    carries = df.sparkSession.createDataFrame(_carries(edges, group, key, dense), CARRY)
-    first_key = F.lit(False) if dense else F.col("_local") == 0
+    carries = df.sparkSession.createDataFrame(_carries(edges, group, key, what), CARRY)
+    first_key = F.col("_local") == 0
     carried = F.when(~F.col("_open"), 0).when(first_key, F.col("_add_first")).otherwise(
         F.col("_add"))
     tied = (F.col("_tied")

@@ -43,35 +43,40 @@ def prefixes(chunks: DataFrame, width: int, symbols: int) -> DataFrame:
 
 def _read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,
                 tasks: int) -> DataFrame:
-    """Add ``next``: up to ``symbols`` symbols of each suffix, starting ``depth`` symbols in."""
+    """Add ``next``: up to ``symbols`` symbols of each suffix, starting ``depth`` symbols in.
+
+    Rows that tie have ``depth`` symbols, so the chunk of the last of them exists; it shows the
+    symbols after it, or that there are none.
+    """
     at = ((F.col("pos") + depth - F.col("beg")) * texts.width + 1).cast("int")
-    upcoming = F.coalesce(F.substring(F.col("data"), at, F.lit(symbols * texts.width)), F.lit(b""))
+    upcoming = F.substring(F.col("data"), at, F.lit(symbols * texts.width))
     if texts.single:
         # One chunk per text: partitioned by text, the rows are in place for the ranking too.
         wanted, key = rows, ["text_id"]
     else:
-        wanted = rows.withColumn("chunk_id", F.expr(f"(pos + {depth}) div {texts.chunk}"))
+        wanted = rows.withColumn("chunk_id", F.expr(f"(pos + {depth - 1}) div {texts.chunk}"))
         key = ["text_id", "chunk_id"]
     held = texts.chunks.select(*key, "beg", "data")
-    return (wanted.repartition(tasks, *key).join(held.repartition(tasks, *key), key, "left")
+    return (wanted.repartition(tasks, *key).join(held.repartition(tasks, *key), key)
             .select(*rows.columns, upcoming.alias("next")))
 
 
-def _rank_ahead(rows: DataFrame, ranks: DataFrame, depth: int, count: int) -> DataFrame:
-    """Add ``next``: the known rank of the suffix ``depth`` symbols in, -1 past the end."""
+def _rank_ahead(rows: DataFrame, ranks: DataFrame, texts: Packed, depth: int,
+                count: int) -> DataFrame:
+    """Add ``next``: the known rank of the suffix ``depth`` symbols in, -1 at the text's end.
+
+    Rows that tie have ``depth`` symbols, so that position is in the text or just past its end.
+    Few rows are sent to the ranks, which then need no exchange.
+    """
+    ends = texts.chunks.filter("last").select(
+        "text_id", (F.col("beg") + F.col("len")).alias("pos"), F.lit(-1).cast("long")
+        .alias("rank"))
+    known = ranks.select("text_id", "pos", "rank").unionByName(ends).select(
+        "text_id", F.col("pos").alias("_ahead"), F.col("rank").alias("next"))
     wanted = rows.withColumn("_ahead", F.col("pos") + depth)
-    known = ranks.select(F.col("text_id").alias("_text"), F.col("pos").alias("_ahead"),
-                         F.col("rank").alias("next"))
     if count <= BROADCAST_ROWS:
-        # Few rows look up: they go to the ranks, which then need no exchange.
-        found = known.join(F.broadcast(
-            wanted.select(F.col("text_id").alias("_text"), "_ahead").distinct()),
-            ["_text", "_ahead"], "left_semi")
-    else:
-        found = known
-    on = (wanted.text_id == found._text) & (wanted._ahead == found._ahead)
-    return wanted.join(found, on, "left").select(
-        *rows.columns, F.coalesce("next", F.lit(-1).cast("long")).alias("next"))
+        wanted = F.broadcast(wanted)
+    return known.join(wanted, ["text_id", "_ahead"]).select(*rows.columns, "next")
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -108,7 +113,8 @@ def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: s
             rows = _read_ahead(open_rows, texts, depth, symbols,
                                tasks_for(ranked.sparkSession, count))
         else:
-            rows = _rank_ahead(open_rows, union([*final, ranked.filter("tied")]), depth, count)
+            rows = _rank_ahead(open_rows, union([*final, ranked.filter("tied")]), texts, depth,
+                               count)
             symbols = depth
         ranked = rank(rows, ["text_id", "base"], ["next"], count, texts, stages, f"{name}-{turn}")
         ranked = ranked.select("text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"),
