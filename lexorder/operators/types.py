@@ -15,9 +15,10 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from lexorder.sources.texts import Texts
 
@@ -68,7 +69,9 @@ class Block:
         verdict[edge] = np.where(ends, 1, carried)
         differs[edge] = True
         index = np.where(differs, np.arange(len(sym)), len(sym))
-        self.minus = verdict[np.minimum.accumulate(index[::-1])[::-1]]
+        self.run_stop = np.minimum.accumulate(index[::-1])[::-1]    # last index of the run
+        self.minus = verdict[self.run_stop]
+        self.leaves = ~ends[self.row] & (self.run_stop == edge[self.row])   # may go on after it
 
         prev = batch.column("prev")
         before = np.zeros(len(sym), dtype=np.int8)       # type of the symbol before
@@ -120,31 +123,56 @@ def map_blocks(chunks: DataFrame, texts: Texts, columns: dict[str, T.DataType],
     return chunks.mapInArrow(run, schema)
 
 
+def _single() -> Column:
+    return (F.col("chunk_id") == 0) & F.col("last")
+
+
+def _later() -> WindowSpec:
+    """The later chunks of a text, the nearest last; one row per chunk, 2^39 / 2^16 at most."""
+    return (Window.partitionBy("text_id").orderBy(F.col("chunk_id").desc())
+            .rowsBetween(Window.unboundedPreceding, -1))
+
+
+def with_types(texts: Texts) -> DataFrame:
+    """Add what decides a run that leaves the chunk: ``next_minus`` and ``next_run_end``.
+
+    They are the type of the position after the chunk and where the run there ends.  Texts of one
+    chunk need neither.
+    """
+    nothing = [F.lit(None).cast("boolean").alias("next_minus"),
+               F.lit(None).cast("long").alias("next_run_end")]
+    key = ["text_id", "chunk_id"]
+    long = texts.chunks.filter(~_single())
+
+    def first_run(block: Block) -> list:
+        head = block.start
+        open_run = block.leaves[head]
+        return [block.batch.column("text_id"), block.batch.column("chunk_id"),
+                pa.array(block.minus[head] == 1, mask=open_run),
+                pa.array(block.beg + block.run_stop[head] - head + 1, mask=open_run)]
+
+    # A chunk that is one run to the end of its look-ahead has the answers of the chunk after it.
+    firsts = map_blocks(long.select("*", *nothing), texts, {
+        "chunk_id": T.LongType(), "minus": T.BooleanType(), "run_end": T.LongType()}, first_run)
+    firsts = firsts.select(
+        *key, F.last("minus", ignorenulls=True).over(_later()).alias("next_minus"),
+        F.last("run_end", ignorenulls=True).over(_later()).alias("next_run_end"))
+    return (texts.chunks.filter(_single()).select("*", *nothing)
+            .unionByName(long.join(firsts, key)))
+
+
 def with_directory(texts: Texts) -> DataFrame:
-    """Add what a chunk must know of the others.
+    """Add to ``with_types`` what a chunk must know of the stars of the others.
 
-    ``next_minus``: the type of the position after the chunk; ``star_base``: minus-stars in
-    earlier chunks; ``next_star``: the first minus-star of the later chunks.  Texts of one chunk
-    need none of it.  The windows hold one row per chunk: at most 2^39 / 2^16 for one text.
+    ``star_base``: minus-stars in earlier chunks; ``next_star``: the first minus-star of the
+    later chunks.
     """
-    chunks = texts.chunks
-    single = (F.col("chunk_id") == 0) & F.col("last")
-    nothing = {"next_minus": "boolean", "star_base": "long", "next_star": "long"}
-    alone = chunks.filter(single).select(
-        "*", *[F.lit(0 if c == "star_base" else None).cast(t).alias(c)
-               for c, t in nothing.items()])
-    long = chunks.filter(~single)
+    typed = with_types(texts)
     key = ["text_id", "chunk_id"]
-    backward = Window.partitionBy("text_id").orderBy(F.col("chunk_id").desc())
-    later = backward.rowsBetween(Window.unboundedPreceding, -1)
+    long = typed.filter(~_single())
     earlier = (Window.partitionBy("text_id").orderBy("chunk_id")
                .rowsBetween(Window.unboundedPreceding, -1))
 
-    def first_type(block: Block) -> list:
-        first = block.minus[block.start]
-        return [block.batch.column("text_id"), block.batch.column("chunk_id"),
-                pa.array(first == 1, mask=first == UNKNOWN)]
-
     def stars(block: Block) -> list:
         at = np.flatnonzero(block.minus_star)
         count = np.bincount(block.row[at], minlength=len(block.start))
@@ -153,17 +181,48 @@ def with_directory(texts: Texts) -> DataFrame:
         return [block.batch.column("text_id"), block.batch.column("chunk_id"),
                 pa.array(count), pa.array(first, mask=count == 0)]
 
-    # A chunk that is one run to the end of its look-ahead has the type of the chunk after it.
-    types = map_blocks(long.withColumn("next_minus", F.lit(None).cast("boolean")), texts,
-                       {"chunk_id": T.LongType(), "minus": T.BooleanType()}, first_type)
-    types = types.select(*key, F.last("minus", ignorenulls=True).over(later).alias("next_minus"))
-    typed = long.join(types, key)
-    counts = map_blocks(typed, texts, {"chunk_id": T.LongType(), "stars": T.LongType(),
-                                       "first_star": T.LongType()}, stars)
+    counts = map_blocks(long, texts, {"chunk_id": T.LongType(), "stars": T.LongType(),
+                                      "first_star": T.LongType()}, stars)
     counts = counts.select(
         *key, F.coalesce(F.sum("stars").over(earlier), F.lit(0)).alias("star_base"),
-        F.last("first_star", ignorenulls=True).over(later).alias("next_star"))
-    return alone.unionByName(typed.join(counts, key))
+        F.last("first_star", ignorenulls=True).over(_later()).alias("next_star"))
+    alone = typed.filter(_single()).select("*", F.lit(0).cast("long").alias("star_base"),
+                                           F.lit(None).cast("long").alias("next_star"))
+    return alone.unionByName(long.join(counts, key))
+
+
+def run_pieces(texts: Texts, symbols: int) -> DataFrame:
+    """Own positions of the chunks, cut at runs of one symbol that are ``symbols`` or longer.
+
+    ``(text_id, pos, size, data, run_left, run_is_plus)``: ``size`` positions from ``pos``;
+    ``data`` reaches ``symbols`` from the last of them.  Inside a long run ``run_left`` tells how
+    much of the run is left at ``pos``, and all positions of the piece have ``symbols`` left;
+    elsewhere it is null.
+    """
+    def rows(block: Block) -> list:
+        count = len(block.sym)
+        carried = np.asarray(block.batch.column("next_run_end").fill_null(-1))[block.row]
+        left = block.run_stop - np.arange(count) + 1
+        beyond = block.leaves & (carried >= 0)
+        left = np.where(beyond, carried - block.beg[block.row] - block.off, left)
+        long = left >= symbols
+        new = np.ones(count, dtype=bool)
+        new[1:] = (long[1:] != long[:-1]) | (long[1:] & (block.run_stop[1:] != block.run_stop[:-1]))
+        starts = np.flatnonzero(block.own & (new | (block.off == 0)))
+        row = block.row[starts]
+        own_end = block.start[row] + block.length[row]
+        size = np.minimum(np.append(starts[1:], count), own_end) - starts
+        data_end = np.append(block.start[1:], count)[row]
+        stop = np.minimum(starts + size - 1 + symbols, data_end)
+        # In a long run every prefix is the same: one copy of it will do.
+        stop = np.where(long[starts], np.minimum(starts + symbols, data_end), stop)
+        return [block.take("text_id", row), block.beg[row] + block.off[starts], size,
+                block.slices(starts, stop), pa.array(left[starts], mask=~long[starts]),
+                block.minus[starts] == 0]
+
+    return map_blocks(with_types(texts), texts, {
+        "pos": T.LongType(), "size": T.LongType(), "data": T.BinaryType(),
+        "run_left": T.LongType(), "run_is_plus": T.BooleanType()}, rows)
 
 
 def classify_suffixes(texts: Texts) -> DataFrame:

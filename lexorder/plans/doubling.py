@@ -16,7 +16,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexorder.functions.ints import pack_big_endian
 from lexorder.operators.ranking import rank_bounded, rank_rows
+from lexorder.operators.types import run_pieces
 from lexorder.sources.texts import Texts
 from lexorder.staging import Stages, tasks_for
 
@@ -33,12 +35,23 @@ EXTENSION_BUDGET = 16   # a round may read this many symbols per symbol of all t
 BROADCAST_ROWS = 200_000    # look-ups of up to this many rows are broadcast (counted first)
 
 
-def prefixes(chunks: DataFrame, width: int, symbols: int) -> DataFrame:
-    """``(text_id, pos, prefix)``: the first ``symbols`` symbols of every suffix, fewer at the end."""
-    at = F.col("i") * width + 1
-    return (chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
-            .select("text_id", (F.col("beg") + F.col("i")).alias("pos"),
-                    F.substring(F.col("data"), at, F.lit(symbols * width)).alias("prefix")))
+def prefixes(texts: Packed, symbols: int) -> DataFrame:
+    """``(text_id, pos, prefix)``: the first ``symbols`` symbols of every suffix, fewer at the end.
+
+    Where they are all one symbol, what is left of the run follows as eight bytes, so that a run
+    of any length is in order at once: a run that a smaller symbol (or the end) stops sorts
+    before one that a greater symbol stops, the shorter first among the former, the longer first
+    among the latter.
+    """
+    width, i = texts.width, F.col("i")
+    plain = F.substring(F.col("data"), (i * width + 1).cast("int"), F.lit(symbols * width))
+    left = F.col("run_left") - i
+    order = pack_big_endian(F.when(F.col("run_is_plus"), F.lit(1 << 62) - left).otherwise(left), 8)
+    return (run_pieces(texts, symbols)
+            .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
+            .select("text_id", (F.col("pos") + i).alias("pos"),
+                    F.when(F.col("run_left").isNull(), plain)
+                    .otherwise(F.concat(F.col("data"), order)).alias("prefix")))
 
 
 def _read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,
@@ -122,9 +135,14 @@ def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: s
         depth += symbols
 
 
+def first_order(texts: Packed, stages: Stages, name: str) -> tuple[DataFrame, int]:
+    """Every suffix ranked by its prefix, and the symbols compared."""
+    symbols = min(max(2, PREFIX_BYTES // texts.width), texts.halo + 1)
+    return rank(prefixes(texts, symbols), ["text_id"], ["prefix"], texts.total, texts, stages,
+                f"{name}-0"), symbols
+
+
 def doubling(texts: Packed, stages: Stages, name: str = "doubling") -> DataFrame:
     """Suffix array ``(text_id, rank, pos)`` of packed texts."""
-    symbols = min(max(2, PREFIX_BYTES // texts.width), texts.halo + 1)
-    first = rank(prefixes(texts.chunks, texts.width, symbols), ["text_id"], ["prefix"],
-                 texts.total, texts, stages, f"{name}-0")
-    return refine(first, symbols, texts, stages, name)
+    ranked, symbols = first_order(texts, stages, name)
+    return refine(ranked, symbols, texts, stages, name)

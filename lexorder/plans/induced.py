@@ -8,7 +8,6 @@ or more with each level, whatever repeats the texts hold, so this is the method
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa

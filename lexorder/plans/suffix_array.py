@@ -7,11 +7,13 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexorder.plans.doubling import Packed, doubling, union
+from lexorder.plans.doubling import Packed, doubling, first_order, refine, union
 from lexorder.plans.induced import induced
 from lexorder.sources.texts import CHUNK, HALO, MAX_LENGTH, Texts, chunk_texts, symbol_width
 from lexorder.staging import Stages, parallelism
 
+MANY_TIES = 0.25        # share of suffixes tied on their prefix that makes texts repetitive
+REPEAT_LEVELS = 4       # levels of names for such texts
 DIRECT_LIMIT = 4096     # longest text, in symbols, whose suffixes are materialized
 
 
@@ -37,6 +39,15 @@ def direct(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
                     "pos"))
 
 
+def automatic(texts: Packed, stages: Stages, name: str, levels: int) -> DataFrame:
+    """``doubling``, unless many suffixes still tie after the first round: then ``induced``."""
+    ranked, symbols = first_order(texts, stages, name)
+    if ranked.filter("tied").count() <= MANY_TIES * texts.total:
+        return refine(ranked, symbols, texts, stages, name)
+    stages.remove(f"{name}-0")
+    return induced(texts, stages, name, max(levels, REPEAT_LEVELS))
+
+
 def suffix_array(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
                  method: str = "auto", symbol_bytes: int | None = None, chunk: int = CHUNK,
                  halo: int = HALO, levels: int = 1) -> DataFrame:
@@ -64,7 +75,7 @@ def sort_texts(texts: Texts, method: str = "auto", levels: int = 1) -> DataFrame
     Texts of one chunk are groups of bounded size and go through plain windows; the others are
     split over tasks however long they are.
     """
-    plans = {"auto": doubling, "doubling": doubling, "induced": partial(induced, levels=levels)}
+    plans = {"auto": partial(automatic, levels=levels), "doubling": doubling, "induced": partial(induced, levels=levels)}
     if method not in plans:
         raise ValueError(f"unknown method {method!r}")
     stages = Stages(texts.chunks.sparkSession)

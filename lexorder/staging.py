@@ -61,10 +61,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 # Rows that one sort task should hold, and the most tasks asked for in one exchange.
-ROWS_PER_TASK = 2_000_000
+ROWS_PER_TASK = 1_000_000
 MAX_TASKS = 100_000
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
-    """Task count for an exchange of ``rows`` narrow rows."""
-    return min(max(parallelism(spark), -(-rows // ROWS_PER_TASK)), MAX_TASKS)
+    """Task count for an exchange of ``rows`` narrow rows, in full waves of the cluster's cores."""
+    wave = parallelism(spark)
+    return min(-(-max(rows, 1) // (ROWS_PER_TASK * wave)) * wave, max(MAX_TASKS, wave))
