@@ -191,6 +191,20 @@ def with_directory(texts: Texts) -> DataFrame:
     return alone.unionByName(long.join(counts, key))
 
 
+def long_runs(block: Block, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each symbol: what is left of its run, whether that is ``symbols`` or more, and whether
+    a stretch of such symbols of one run, or of others, starts here."""
+    count = len(block.sym)
+    carried = np.asarray(block.batch.column("next_run_end").fill_null(-1))[block.row]
+    left = np.where(block.leaves & (carried >= 0),
+                    carried - block.beg[block.row] - block.off,
+                    block.run_stop - np.arange(count) + 1)
+    long = left >= symbols
+    new = np.ones(count, dtype=bool)
+    new[1:] = (long[1:] != long[:-1]) | (long[1:] & (block.run_stop[1:] != block.run_stop[:-1]))
+    return left, long, new
+
+
 def run_pieces(texts: Texts, symbols: int) -> DataFrame:
     """Own positions of the chunks, cut at runs of one symbol that are ``symbols`` or longer.
 
@@ -201,13 +215,7 @@ def run_pieces(texts: Texts, symbols: int) -> DataFrame:
     """
     def rows(block: Block) -> list:
         count = len(block.sym)
-        carried = np.asarray(block.batch.column("next_run_end").fill_null(-1))[block.row]
-        left = block.run_stop - np.arange(count) + 1
-        beyond = block.leaves & (carried >= 0)
-        left = np.where(beyond, carried - block.beg[block.row] - block.off, left)
-        long = left >= symbols
-        new = np.ones(count, dtype=bool)
-        new[1:] = (long[1:] != long[:-1]) | (long[1:] & (block.run_stop[1:] != block.run_stop[:-1]))
+        left, long, new = long_runs(block, symbols)
         starts = np.flatnonzero(block.own & (new | (block.off == 0)))
         row = block.row[starts]
         own_end = block.start[row] + block.length[row]
@@ -252,7 +260,7 @@ def star_positions(texts: Texts, kind: str = "minus") -> DataFrame:
     return map_blocks(with_directory(texts), texts, {"pos": T.LongType()}, rows)
 
 
-def _next_star(block: Block) -> tuple[np.ndarray, np.ndarray]:
+def following_star(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol: the index of the next minus-star of its chunk after it, and whether any."""
     far = len(block.sym)
     at = np.where(block.minus_star, np.arange(far), far)
@@ -266,7 +274,7 @@ def _next_star(block: Block) -> tuple[np.ndarray, np.ndarray]:
 def next_star(texts: Texts) -> DataFrame:
     """``(text_id, pos, next_star)``: the next minus-star right of every position, or null."""
     def rows(block: Block) -> list:
-        following, found = _next_star(block)
+        following, found = following_star(block)
         own = np.flatnonzero(block.own)
         row = block.row[own]
         beyond = block.take("next_star", row)
@@ -287,7 +295,7 @@ def stars_with_data(directory: DataFrame, texts: Texts) -> DataFrame:
     halo = texts.halo
 
     def rows(block: Block) -> list:
-        following, found = _next_star(block)
+        following, found = following_star(block)
         at = np.flatnonzero(block.minus_star)
         row = block.row[at]
         nth = np.arange(len(at)) - np.searchsorted(row, row)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexorder.functions.ints import pack_big_endian
@@ -35,23 +35,27 @@ EXTENSION_BUDGET = 16   # a round may read this many symbols per symbol of all t
 BROADCAST_ROWS = 200_000    # look-ups of up to this many rows are broadcast (counted first)
 
 
-def prefixes(texts: Packed, symbols: int) -> DataFrame:
-    """``(text_id, pos, prefix)``: the first ``symbols`` symbols of every suffix, fewer at the end.
+def prefix_of_piece(width: int, symbols: int) -> Column:
+    """The first ``symbols`` symbols of the suffix at offset ``i`` of a piece, fewer at the end.
 
     Where they are all one symbol, what is left of the run follows as eight bytes, so that a run
     of any length is in order at once: a run that a smaller symbol (or the end) stops sorts
     before one that a greater symbol stops, the shorter first among the former, the longer first
     among the latter.
     """
-    width, i = texts.width, F.col("i")
+    i = F.col("i")
     plain = F.substring(F.col("data"), (i * width + 1).cast("int"), F.lit(symbols * width))
     left = F.col("run_left") - i
     order = pack_big_endian(F.when(F.col("run_is_plus"), F.lit(1 << 62) - left).otherwise(left), 8)
+    return F.when(F.col("run_left").isNull(), plain).otherwise(F.concat(F.col("data"), order))
+
+
+def prefixes(texts: Packed, symbols: int) -> DataFrame:
+    """``(text_id, pos, prefix)``: the first symbols of every suffix (see ``prefix_of_piece``)."""
     return (run_pieces(texts, symbols)
             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-            .select("text_id", (F.col("pos") + i).alias("pos"),
-                    F.when(F.col("run_left").isNull(), plain)
-                    .otherwise(F.concat(F.col("data"), order)).alias("prefix")))
+            .select("text_id", (F.col("pos") + F.col("i")).alias("pos"),
+                    prefix_of_piece(texts.width, symbols).alias("prefix")))
 
 
 def _read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,

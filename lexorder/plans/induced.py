@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexorder.operators.names import reduced_text, table_names
-from lexorder.operators.types import Block, map_blocks, stars_with_data, with_directory, _next_star
-from lexorder.plans.doubling import Packed, doubling, rank, refine
+from lexorder.operators.types import (Block, following_star, long_runs, map_blocks,
+                                      stars_with_data, with_directory)
+from lexorder.plans.doubling import Packed, doubling, prefix_of_piece, rank, refine
 from lexorder.sources.texts import pack_symbols
 from lexorder.staging import Stages
 
@@ -31,37 +32,41 @@ def width_of(names: int) -> int:
 
 
 def pieces(directory: DataFrame, texts: Packed, symbols: int) -> DataFrame:
-    """Own positions of the chunks, cut where the next star changes.
+    """Own positions of the chunks, cut where the next star changes and at long runs.
 
-    ``(text_id, pos, size, next_idx, gap, data)``: ``size`` positions from ``pos`` whose next
-    minus-star has index ``next_idx`` and lies ``gap`` after ``pos`` (both null if there is
-    none); ``data`` reaches ``symbols`` beyond the last of them, or to that star, or to the end.
+    The columns of ``run_pieces`` with ``next_idx`` and ``gap``: the next minus-star of the
+    positions has that index and lies ``gap`` after ``pos`` (null if there is none); ``data``
+    ends with that star where it reaches it.
     """
     def rows(block: Block) -> list:
-        following, found = _next_star(block)
-        own = np.flatnonzero(block.own)
-        starts = own[(block.off[own] == 0) | block.minus_star[own]]
+        count = len(block.sym)
+        following, found = following_star(block)
+        left, long, new = long_runs(block, symbols)
+        starts = np.flatnonzero(block.own & ((block.off == 0) | block.minus_star | new))
         row = block.row[starts]
-        row_end = block.start[row] + block.length[row]
-        size = np.where(found[starts], np.minimum(following[starts], row_end), row_end) - starts
-        data_end = np.append(block.start[1:], len(block.sym))[row]
+        own_end = block.start[row] + block.length[row]
+        size = np.minimum(np.append(starts[1:], count), own_end) - starts
+        data_end = np.append(block.start[1:], count)[row]
         beyond = block.take("next_star", row)
         outside = np.asarray(beyond.fill_null(0)) - block.beg[row] + block.start[row]
         none = ~found[starts] & np.asarray(beyond.is_null())
         target = np.where(found[starts], following[starts], outside)
-        reach = np.minimum(starts + size - 1 + symbols, data_end)
-        stop = np.where(none, reach, np.minimum(reach, target + 1))
+        reach = np.where(long[starts], starts, starts + size - 1) + symbols
+        stop = np.minimum(reach, data_end)
+        stop = np.where(none, stop, np.minimum(stop, target + 1))
         # Stars of the chunk at or before the piece give the next one's index.
         passed = np.cumsum(block.minus_star)
         before = passed[starts] - passed[block.start[row]] + block.minus_star[block.start[row]]
         index = block.batch.column("star_base").to_numpy()[row] + before
         return [block.take("text_id", row), block.beg[row] + block.off[starts], size,
-                pa.array(index, mask=none), pa.array(target - starts, mask=none),
-                block.slices(starts, stop)]
+                block.slices(starts, stop), pa.array(left[starts], mask=~long[starts]),
+                block.minus[starts] == 0, pa.array(index, mask=none),
+                pa.array(target - starts, mask=none)]
 
     return map_blocks(directory, texts, {
-        "pos": T.LongType(), "size": T.LongType(), "next_idx": T.LongType(),
-        "gap": T.LongType(), "data": T.BinaryType()}, rows)
+        "pos": T.LongType(), "size": T.LongType(), "data": T.BinaryType(),
+        "run_left": T.LongType(), "run_is_plus": T.BooleanType(), "next_idx": T.LongType(),
+        "gap": T.LongType()}, rows)
 
 
 def sort_keys(cut: DataFrame, star_ranks: DataFrame, width: int, symbols: int) -> DataFrame:
@@ -72,15 +77,13 @@ def sort_keys(cut: DataFrame, star_ranks: DataFrame, width: int, symbols: int) -
     prefixes, one whose star is farther sorts last.
     """
     i = F.col("i")
-    left = F.col("gap") - i                     # distance to the star
-    prefix = F.substring(F.col("data"), (i * width + 1).cast("int"), F.lit(symbols * width))
-    ahead = (F.when(left < symbols, F.col("star_rank"))
+    ahead = (F.when(F.col("gap") - i < symbols, F.col("star_rank"))
              .when(F.octet_length("prefix") < symbols * width, F.lit(ENDS))
              .otherwise(F.lit(FAR)))
     return (cut.join(star_ranks, ["text_id", "next_idx"], "left")
             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-            .select("text_id", (F.col("pos") + i).alias("pos"), prefix.alias("prefix"), "gap",
-                    "i", "star_rank")
+            .select("text_id", (F.col("pos") + i).alias("pos"),
+                    prefix_of_piece(width, symbols).alias("prefix"), "gap", "i", "star_rank")
             .select("text_id", "pos", "prefix", ahead.cast("long").alias("ahead")))
 
 
