@@ -142,6 +142,8 @@ def with_types(texts: Texts) -> DataFrame:
     nothing = [F.lit(None).cast("boolean").alias("next_minus"),
                F.lit(None).cast("long").alias("next_run_end")]
     key = ["text_id", "chunk_id"]
+    if texts.single:
+        return texts.chunks.select("*", *nothing)
     long = texts.chunks.filter(~_single())
 
     def first_run(block: Block) -> list:
@@ -168,6 +170,10 @@ def with_directory(texts: Texts) -> DataFrame:
     later chunks.
     """
     typed = with_types(texts)
+    nothing = [F.lit(0).cast("long").alias("star_base"),
+               F.lit(None).cast("long").alias("next_star")]
+    if texts.single:
+        return typed.select("*", *nothing)
     key = ["text_id", "chunk_id"]
     long = typed.filter(~_single())
     earlier = (Window.partitionBy("text_id").orderBy("chunk_id")
@@ -186,9 +192,7 @@ def with_directory(texts: Texts) -> DataFrame:
     counts = counts.select(
         *key, F.coalesce(F.sum("stars").over(earlier), F.lit(0)).alias("star_base"),
         F.last("first_star", ignorenulls=True).over(_later()).alias("next_star"))
-    alone = typed.filter(_single()).select("*", F.lit(0).cast("long").alias("star_base"),
-                                           F.lit(None).cast("long").alias("next_star"))
-    return alone.unionByName(long.join(counts, key))
+    return typed.filter(_single()).select("*", *nothing).unionByName(long.join(counts, key))
 
 
 def long_runs(block: Block, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,8 +26,7 @@ from lexorder.staging import Stages, tasks_for
 class Packed(Texts):
     """Staged chunks, with what the plans must know of them."""
 
-    total: int = 0          # symbols in all texts
-    single: bool = False    # every text is one chunk, so a text is a bounded group
+    total: int = 0      # symbols in all texts
 
 
 PREFIX_BYTES = 24       # bytes compared in round 0 (at least two symbols)

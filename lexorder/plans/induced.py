@@ -103,7 +103,7 @@ def star_order(texts: Packed, stages: Stages, name: str, levels: int,
     single = longest < texts.chunk
     packed = pack_symbols(reduced_text(named), width_of(n_names), texts.chunk, texts.halo, single)
     reduced = Packed(stages.save(packed.chunks, f"{name}-reduced"), packed.width, packed.chunk,
-                     packed.halo, total, single)
+                     packed.halo, single, total)
     order = (induced(reduced, stages, f"{name}-names", levels - 1) if levels > 1
              else doubling(reduced, stages, f"{name}-doubling"))
     return order.select("text_id", F.col("pos").alias("star_idx"),

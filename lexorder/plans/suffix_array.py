@@ -87,7 +87,7 @@ def sort_texts(texts: Texts, method: str = "auto", levels: int = 1) -> DataFrame
     if any(row["longest"] > MAX_LENGTH for row in stats.values()):
         raise ValueError(f"texts may have up to {MAX_LENGTH} symbols")
     orders = [plans[method](Packed(chunks.filter(single if one else ~single), texts.width,
-                                   texts.chunk, texts.halo, row["total"], one),
+                                   texts.chunk, texts.halo, one, row["total"]),
                             stages, f"{method}-{'single' if one else 'long'}")
               for one, row in stats.items()]
     if not orders:

@@ -35,6 +35,7 @@ class Texts:
     width: int = 1      # bytes of a symbol
     chunk: int = CHUNK  # symbols a chunk may own
     halo: int = HALO    # look-ahead symbols
+    single: bool = False    # known: every text is one chunk, so a text is a bounded group
 
 
 def symbol_width(unit: str, symbol_bytes: int | None = None) -> int:
@@ -159,5 +160,5 @@ def pack_symbols(symbols: DataFrame, width: int, chunk: int = CHUNK, halo: int =
     if single:
         return Texts(own.select("text_id", "chunk_id", "beg", "len", F.lit(True).alias("last"),
                                 F.lit(None).cast("binary").alias("prev"), "data"),
-                     width, chunk, halo)
+                     width, chunk, halo, single=True)
     return add_halo(Texts(own, width, chunk, min(halo, chunk)))
