@@ -23,7 +23,7 @@ from lexorder.plans.suffix_array import sort_texts, suffix_array  # noqa: E402
 from lexorder.sources import files  # noqa: E402
 from lexorder.sources.texts import (Texts, chunk_texts, explode_symbols,  # noqa: E402
                                     pack_symbols)
-from lexorder.staging import Stages, parallelism, shared_dir  # noqa: E402
+from lexorder.staging import Stages, default_tasks, shared_dir  # noqa: E402
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,12 +37,12 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def _turn_texts(spark: SparkSession, sf: str, unit: str = "byte") -> Texts:
     """Chunks of the conversations, spread over the session's tasks."""
-    return chunk_texts(_turns(spark, sf), "id", "text", unit, tasks=2 * parallelism(spark))
+    return chunk_texts(_turns(spark, sf), "id", "text", unit, tasks=default_tasks(spark))
 
 
 def _document_texts(spark: SparkSession, sf: str) -> Texts:
     return chunk_texts(_table(spark, sf, "documents"), "doc_id", "text",
-                       tasks=2 * parallelism(spark))
+                       tasks=default_tasks(spark))
 
 
 def _part_sequences(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,8 +51,9 @@ def _part_sequences(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_suppkey").alias("text_id"), "l_orderkey", "l_linenumber",
         F.col("l_partkey").alias("sym"))
     return rank_rows(lines, ["text_id"], ["l_orderkey", "l_linenumber", "sym"], [],
-                     2 * parallelism(spark), Stages(spark), "lines",
-                     keep=["text_id", "sym"], what="row").select("text_id", F.col("rank").alias("pos"), "sym")
+                     default_tasks(spark), Stages(spark), "lines",
+                     keep=["text_id", "sym"], what="row").select(
+                         "text_id", F.col("rank").alias("pos"), "sym")
 
 
 # --- suffix arrays ----------------------------------------------------------------------------

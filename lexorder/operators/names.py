@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexorder.operators.ranking import rank_rows
-from lexorder.staging import Stages, parallelism, tasks_for
+from lexorder.staging import Stages, default_tasks, tasks_for
 
 BROADCAST_NAMES = 200_000       # a name table of up to this many rows and bytes is broadcast
 BROADCAST_BYTES = 16 << 20
+SALTS = 64      # tasks among which the rows of a frequent substring are spread
 
 
-def name_substrings(stars: DataFrame, stages: Stages | None = None) -> DataFrame:
+def name_substrings(stars: DataFrame, stages: Stages | None = None,
+                    tasks: int | None = None) -> DataFrame:
     """Dense names, from 0, of each text's star substrings in their order.
 
     Equal substrings share a name; the one that ends the text sorts before an equal one that
@@ -21,7 +23,7 @@ def name_substrings(stars: DataFrame, stages: Stages | None = None) -> DataFrame
     spark = stars.sparkSession
     rows = stars.select("text_id", "star_idx", "pos", "sub",
                         (~F.col("terminal")).alias("goes_on"))
-    return rank_rows(rows, ["text_id"], ["sub", "goes_on"], ["pos"], 2 * parallelism(spark),
+    return rank_rows(rows, ["text_id"], ["sub", "goes_on"], ["pos"], tasks or default_tasks(spark),
                      stages or Stages(spark), "names", keep=["text_id", "star_idx", "pos"],
                      what="dense").select("text_id", "star_idx", "pos",
                                         F.col("rank").alias("name"))
@@ -38,14 +40,15 @@ def reduced_text(names: DataFrame) -> DataFrame:
     return names.select("text_id", F.col("star_idx").alias("pos"), F.col("name").alias("sym"))
 
 
-def pair_names(symbols: DataFrame, stages: Stages | None = None) -> DataFrame:
+def pair_names(symbols: DataFrame, stages: Stages | None = None,
+               tasks: int | None = None) -> DataFrame:
     """Dense names of ``(sym, tail_is_plus, tail_name)`` within each text, from 0.
 
     Takes ``text_id, pos, sym, tail_is_plus, tail_name``; returns ``(text_id, pos, name)``.
     """
     spark = symbols.sparkSession
     return rank_rows(symbols, ["text_id"], ["sym", "tail_is_plus", "tail_name"], ["pos"],
-                     2 * parallelism(spark), stages or Stages(spark), "pairs",
+                     tasks or default_tasks(spark), stages or Stages(spark), "pairs",
                      what="dense").select("text_id", "pos", F.col("rank").alias("name"))
 
 
@@ -53,23 +56,34 @@ def table_names(stars: DataFrame, total: int, stages: Stages, name: str) -> tupl
     """Name star substrings alike in all texts; also returns the number of names.
 
     One row per distinct substring is sorted, after combining on the map side.  The names go
-    back by broadcast when the table is counted small; else those of frequent substrings are
-    broadcast (there are at most ``4 * tasks`` of them) and the rest meet in a shuffle join.
+    back by broadcast when the table is counted small, else by a shuffle join in which the rows
+    of a frequent substring are spread over ``SALTS`` tasks.  At most one substring per task of
+    the exchange counts as frequent; only their hashes are broadcast.
     """
-    tasks = tasks_for(stars.sparkSession, total)
+    spark = stars.sparkSession
+    tasks = tasks_for(spark, total)
     distinct = stages.save(stars.groupBy("sub", "terminal").count(), f"{name}-distinct")
     n_names, size = distinct.agg(F.count("*"), F.sum(F.octet_length("sub"))).first()
     # A single group of distinct keys: the rank is the row number.
     named = rank_rows(distinct.withColumn("goes_on", ~F.col("terminal")), [],
-                      ["sub", "goes_on"], [], tasks_for(stars.sparkSession, n_names), stages,
+                      ["sub", "goes_on"], [], tasks_for(spark, n_names), stages,
                       f"{name}-names", keep=["sub", "terminal", "count"])
     named = named.select("sub", "terminal", "count", F.col("rank").alias("name"))
     key = ["sub", "terminal"]
     if n_names <= BROADCAST_NAMES and size <= BROADCAST_BYTES:
         return stars.join(F.broadcast(named.drop("count")), key), n_names
-    frequent = F.col("count") * (4 * tasks) >= total
-    short = F.octet_length("sub") <= 1024
-    marked = stars.join(F.broadcast(named.filter(frequent & short).drop("count")), key, "left")
-    rest = marked.filter(F.col("name").isNull()).drop("name").join(
-        named.filter(~(frequent & short)).drop("count"), key)
-    return marked.filter(F.col("name").isNotNull()).unionByName(rest), n_names
+
+    hashed = F.xxhash64(*key)
+    frequent = F.broadcast(named.filter(F.col("count") * tasks >= total)
+                           .select(hashed.alias("_hash"), F.lit(SALTS).alias("_salts"))
+                           .distinct())
+
+    def salted(df: DataFrame) -> DataFrame:
+        return (df.withColumn("_hash", hashed).join(frequent, "_hash", "left")
+                .withColumn("_salts", F.coalesce("_salts", F.lit(1))).drop("_hash"))
+
+    copies = salted(named.drop("count")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    spread = salted(stars).withColumn(
+        "_salt", F.pmod("star_idx", "_salts").cast("int")).drop("_salts")
+    return spread.join(copies, [*key, "_salt"]).drop("_salt"), n_names

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexorder.functions.ints import unpack_big_endian
 from lexorder.operators.ranking import rank_rows
 from lexorder.sources.texts import Texts
-from lexorder.staging import Stages, parallelism
+from lexorder.staging import Stages, default_tasks
 
 
 def preceding_symbol(sa: DataFrame, texts: Texts) -> DataFrame:
@@ -32,11 +32,12 @@ def star_suffix_order(stars: DataFrame, reduced_sa: DataFrame) -> DataFrame:
             .select("text_id", "rank", "pos"))
 
 
-def order_within(sa: DataFrame, chosen: DataFrame, stages: Stages | None = None) -> DataFrame:
+def order_within(sa: DataFrame, chosen: DataFrame, stages: Stages | None = None,
+                 tasks: int | None = None) -> DataFrame:
     """``(text_id, rank, pos)`` of the suffixes at the chosen ``(text_id, pos)``, ranked anew."""
     kept = sa.join(chosen.select("text_id", "pos"), ["text_id", "pos"], "left_semi")
     spark = sa.sparkSession
-    return rank_rows(kept, ["text_id"], ["rank"], ["pos"], 2 * parallelism(spark),
+    return rank_rows(kept, ["text_id"], ["rank"], ["pos"], tasks or default_tasks(spark),
                      stages or Stages(spark), "chosen",
                      keep=["text_id", "pos"]).select("text_id", "rank", "pos")
 

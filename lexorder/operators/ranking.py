@@ -182,9 +182,9 @@ def rank_rows(df: DataFrame, group: list[str], key: list[str], tie: list[str], t
 
     Returns ``keep`` (default: group and tie) with ``rank`` and ``tied``.  ``rank`` is the least
     row number of the row's key in its group, the number of smaller keys (``what='dense'``) or
-    the row's own number (``what='row'``); ``tied`` tells whether another row
-    shares the key.  ``group``, ``key`` and ``tie`` together should tell rows apart (or large ties stay in
-    one task); no column may be null.
+    the row's own number (``what='row'``); ``tied`` tells whether another row shares the key.
+    ``group``, ``key`` and ``tie`` together should tell rows apart (or large ties stay in one
+    task); no column may be null.
     """
     keep = keep if keep is not None else group + [c for c in tie if c not in group]
     order = group + [c for c in key if c not in group]

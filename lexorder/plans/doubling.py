@@ -3,9 +3,9 @@
 Round 0 ranks every suffix by its first symbols.  A suffix that shares its prefix with no other
 is final and never moves again; the rest is refined.  While that is cheap, the next symbols are
 read from the packed chunks; then the known ranks further right take their place and the length
-compared doubles (Manber and Myers 1993, with the discarding of final rows after Dementiev,
-Kaerkkaeinen, Mehnert and Sanders 2008).  Every round is one range exchange of the rows still
-unordered, split by position within equal prefixes, so that no repeat makes one task heavy.
+compared doubles (Manber and Myers 1993).  A round exchanges the rows still unordered once for
+the look-up and once for the ranking.  Texts of one chunk are ranked by window; the rows of longer
+ones are split by position even within equal prefixes, so that no repeat makes one task heavy.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from lexorder.operators.types import run_pieces
 from lexorder.sources.texts import Texts
 from lexorder.staging import Stages, tasks_for
 
+
 @dataclass(frozen=True)
 class Packed(Texts):
     """Staged chunks, with what the plans must know of them."""
@@ -99,8 +100,8 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def rank(rows: DataFrame, group: list[str], key: list[str], count: int, texts: Packed, stages: Stages,
-         name: str) -> DataFrame:
+def rank(rows: DataFrame, group: list[str], key: list[str], count: int, texts: Packed,
+         stages: Stages, name: str) -> DataFrame:
     """Rank rows in their groups: by window if a group cannot exceed one chunk, else split up."""
     tasks = tasks_for(rows.sparkSession, count)
     keep = group + ["pos"]

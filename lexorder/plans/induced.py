@@ -115,8 +115,8 @@ def induced(texts: Packed, stages: Stages, name: str = "induced",
     """Suffix array ``(text_id, rank, pos)`` of packed texts.
 
     The text of names is sorted the same way until ``levels`` are used up or the names tell all
-    stars apart, then by ``doubling``.  Texts in which a star substring is longer than a chunk with its look-ahead (long runs) are
-    left to ``doubling`` at once.  The rows are the same either way.
+    stars apart, then by ``doubling``.  Texts in which a star substring is longer than the data
+    of its chunk (long runs) are left to ``doubling`` at once.  The rows are the same either way.
     """
     symbols = min(max(2, KEY_BYTES // texts.width), texts.halo)
     directory = with_directory(texts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexorder.plans.doubling import Packed, doubling, first_order, refine, union
 from lexorder.plans.induced import induced
 from lexorder.sources.texts import CHUNK, HALO, MAX_LENGTH, Texts, chunk_texts, symbol_width
-from lexorder.staging import Stages, parallelism
+from lexorder.staging import Stages, default_tasks
 
 MANY_TIES = 0.25        # share of suffixes tied on their prefix that makes texts repetitive
 REPEAT_LEVELS = 4       # levels of names for such texts
@@ -63,10 +63,8 @@ def suffix_array(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
     """
     if method == "direct":
         return direct(df, id_col, text_col, unit, symbol_bytes)
-    tasks = max(parallelism(df.sparkSession),
-                int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sort_texts(chunk_texts(df, id_col, text_col, unit, symbol_bytes, chunk, halo, tasks),
-                      method, levels)
+    return sort_texts(chunk_texts(df, id_col, text_col, unit, symbol_bytes, chunk, halo,
+                                  default_tasks(df.sparkSession)), method, levels)
 
 
 def sort_texts(texts: Texts, method: str = "auto", levels: int = 1) -> DataFrame:
@@ -75,7 +73,8 @@ def sort_texts(texts: Texts, method: str = "auto", levels: int = 1) -> DataFrame
     Texts of one chunk are groups of bounded size and go through plain windows; the others are
     split over tasks however long they are.
     """
-    plans = {"auto": partial(automatic, levels=levels), "doubling": doubling, "induced": partial(induced, levels=levels)}
+    plans = {"auto": partial(automatic, levels=levels), "doubling": doubling,
+             "induced": partial(induced, levels=levels)}
     if method not in plans:
         raise ValueError(f"unknown method {method!r}")
     stages = Stages(texts.chunks.sparkSession)

@@ -135,9 +135,9 @@ def explode_symbols(texts: Texts) -> DataFrame:
 
 
 def random_text(spark: SparkSession, n: int, sigma: int, seed: int, first: int = 0) -> DataFrame:
-    """A random text of ``n`` symbols from ``first .. first + sigma - 1`` as ``(text_id, pos, sym)``.
+    """A random text of ``n`` symbols as ``(text_id, pos, sym)``.
 
-    ``first=ord('a')`` gives random letters.
+    The symbols are ``first .. first + sigma - 1``; ``first=ord('a')`` gives random letters.
     """
     return spark.range(n).select(
         F.lit(0).cast("long").alias("text_id"), F.col("id").alias("pos"),

@@ -60,6 +60,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
 
+def default_tasks(spark: SparkSession) -> int:
+    """Task count where the rows are not counted: two waves, or what the session asks for."""
+    return max(2 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # Rows that one sort task should hold, and the most tasks asked for in one exchange.
 ROWS_PER_TASK = 1_000_000
 MAX_TASKS = 100_000
