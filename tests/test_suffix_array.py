@@ -61,6 +61,14 @@ def test_random_settings(spark, monkeypatch, seed):
                        chunk=chunk, halo=rng.randint(1, chunk), levels=rng.randint(1, 4)), texts)
 
 
+def test_names_joined_with_salt(spark, monkeypatch):
+    """One star substring makes up most of the text, and the name table may not be broadcast."""
+    monkeypatch.setattr(names_module, "BROADCAST_NAMES", 0)
+    text = b"ab" * 300 + b"acbca" + b"ab" * 100 + b"cab"
+    df = spark.createDataFrame([(0, text), (1, b"banana")], "id long, t binary")
+    check(suffix_array(df, "id", "t", method="induced"), [text, b"banana"])
+
+
 @pytest.mark.parametrize("unit, width", [("token", None), ("token", 3), ("char", None)])
 @pytest.mark.parametrize("method", ["direct", "doubling", "induced"])
 def test_wide_symbols(spark, unit, width, method):
