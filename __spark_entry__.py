@@ -25,6 +25,14 @@ from lexorder.sources.texts import (Texts, chunk_texts, explode_symbols,  # noqa
                                     pack_symbols)
 from lexorder.staging import Stages, default_tasks, shared_dir  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from lexorder.llm import queries as llm
+except ModuleNotFoundError as missing:      # both are there, or neither is
+    if missing.name not in ("lexorder.llm", "corpus_pipeline"):
+        raise
+    llm = corpus_pipeline = None
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -275,7 +283,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    found = {query.__name__: query for query in QUERIES}
+    if llm:
+        found |= {query.__name__: query for query in llm.QUERIES}
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 # --- SQL --------------------------------------------------------------------------------------
@@ -449,4 +461,4 @@ FROM (SELECT unnest(range(0, octet_length(encode(p_name)))) AS p FROM part) GROU
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | (llm.SQL if llm else {})
