@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, simhash
+from . import (decontaminate, language_id, lattice_lm, line_dedup, mixing, neighbours, pii, ring,
+               simhash, warc)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +21,70 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = [op1_language_id, op2_simhash]
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf, "documents"))
 
-SQL: dict[str, str] = {}
+
+def op4_lattice_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice_lm.score_texts(_table(spark, sf, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each benchmark item that a document holds, within the error budget."""
+    return decontaminate.find_contaminated(_table(spark, sf, "documents"),
+                                           _table(spark, sf, "benchmark"))
+
+
+def op6_ring_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return ring.assign(_table(spark, sf, "documents"))
+
+
+def op7_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbours(_table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(_table(spark, sf, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without later copies of three-line windows."""
+    return line_dedup.remove_repeats(_table(spark, sf, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf, "pages"))
+
+
+QUERIES = [op1_language_id, op2_simhash, op3_mixing, op4_lattice_lm, op5_decontaminate,
+           op6_ring_shards, op7_neighbours, op8_pii, op9_line_dedup, op10_warc]
+
+# A window is known by its three lines; a row by its id and text.
+LINE_DEDUP = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
+l AS (SELECT doc_id, text, a, unnest(range(0, len(a))) AS i
+      FROM (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM d)),
+w AS (SELECT doc_id, text, i, a[i + 1] || chr(10) || a[i + 2] || chr(10) || a[i + 3] AS k
+      FROM l WHERE i + 3 <= len(a) AND a[i + 1] || a[i + 2] || a[i + 3] <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, text, i) AS n FROM w),
+c AS (SELECT DISTINCT doc_id, text, i + unnest([0, 1, 2]) AS i FROM r WHERE n > 1),
+k AS (SELECT l.doc_id, l.text, string_agg(l.a[l.i + 1], chr(10) ORDER BY l.i) AS kept,
+             count(*) AS n
+      FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.text = l.text AND c.i = l.i
+      WHERE c.i IS NULL GROUP BY l.doc_id, l.text)
+SELECT s.doc_id, CASE WHEN s.text IS NOT NULL THEN coalesce(k.kept, '') END AS text,
+       coalesce(len(string_split(s.text, chr(10))), 0)::BIGINT AS n_lines,
+       coalesce(len(string_split(s.text, chr(10))) - coalesce(k.n, 0), 0)::BIGINT AS n_removed
+FROM documents AS s LEFT JOIN k ON k.doc_id = s.doc_id AND k.text = s.text"""
+
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT payload_digest, max(page_id) AS target FROM p WHERE payload_bytes >= 1000
+      GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN page_id < target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < target THEN target END AS refers_to
+FROM p LEFT JOIN t ON t.payload_digest = p.payload_digest"""
+
+SQL: dict[str, str] = {"op9_line_dedup": LINE_DEDUP, "op10_warc": WARC}
