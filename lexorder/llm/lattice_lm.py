@@ -50,6 +50,7 @@ HEAD = 1 << 17             # words sent to all tasks, at most
 HEAD_BYTES = 64            # a longer word is never sent
 COUNTED = 300_000          # distinct words a task counts before it hands them on
 CELLS = 1 << 19            # characters recursed through at once
+PART = 1024                # bytes of a word whose table both recursions hold when fitting
 PRIOR = 0.1                # of a piece, in counts
 BASE = np.uint64(0x100000001B3)   # of the rolling hash
 
@@ -84,6 +85,24 @@ def load_pieces(path: str = PIECES) -> tuple[list[bytes], np.ndarray]:
     return names, np.log(share / share.sum())
 
 
+@dataclass
+class Arcs:
+    """The pieces that some words hold, by length: (length, word, piece, first arc of each end)."""
+
+    length: np.ndarray
+    widest: int
+    found: list[tuple]
+
+    def into(self, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(begin, words, pieces) of the arcs that end at a place, for each length."""
+        for n, row, piece, first in self.found:
+            if n > end:
+                return
+            some = slice(first[end], first[end + 1])
+            if some.start < some.stop:
+                yield end - n, row[some], piece[some]
+
+
 @dataclass
 class Lattice:
     """Pieces in a hash table, and the recursions over many words at once."""
@@ -111,17 +130,13 @@ class Lattice:
     def _pieces(self, code: np.ndarray) -> np.ndarray:
         """Number of the piece with each code, -1 for none."""
         found = self.table[(code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)]
-        if self.chained:
-            while True:
-                wrong = np.flatnonzero((found >= 0) & (self.codes[found] != code))
-                if not len(wrong):
-                    return found
-                found[wrong] = self.next[found[wrong]]
+        while self.chained and (wrong := (found >= 0) & (self.codes[found] != code)).any():
+            found[wrong] = self.next[found[wrong]]
         found[(found >= 0) & (self.codes[found] != code)] = -1
         return found
 
-    def arcs(self, words: list[bytes]):
-        """(begin, end, row, piece) arrays of all arcs, by end, for words of similar length."""
+    def arcs(self, words: list[bytes]) -> Arcs:
+        """All arcs of some words, which should be of similar length."""
         length = np.array([len(w) for w in words])
         widest = int(length.max())
         flat = np.zeros((widest, len(words)), dtype=np.uint64)
@@ -132,42 +147,44 @@ class Lattice:
         prefix = np.zeros((widest + 1, len(words)), dtype=np.uint64)
         for i in range(widest):
             prefix[i + 1] = prefix[i] * BASE + flat[i]
-        power = {n: np.uint64(pow(int(BASE), n, 1 << 64)) for n in self.lengths}
-        out = []
-        for end in range(1, widest + 1):
-            alive = np.flatnonzero(length >= end)
-            for n in self.lengths:
-                if n > end:
-                    break
-                code = prefix[end, alive] - prefix[end - n, alive] * power[n]
-                piece = self._pieces(code)
-                hit = np.flatnonzero(piece >= 0)
-                if len(hit):
-                    out.append((end - n, end, alive[hit], piece[hit]))
-        return length, widest, out
-
-    def forward(self, words: list[bytes], arcs=None) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.arange(widest + 1)
+        found = []
+        for n in self.lengths:
+            if n > widest:
+                break
+            power = np.uint64(pow(int(BASE), n, 1 << 64))
+            piece = self._pieces(prefix[n:] - prefix[:-n] * power)
+            piece[ends[n:, None] > length[None, :]] = -1
+            end, row = np.nonzero(piece >= 0)
+            if len(end):
+                found.append((n, row, piece[end, row], np.searchsorted(end + n, ends).tolist()
+                              + [len(end)]))
+        return Arcs(length, widest, found)
+
+    def forward(self, arcs: Arcs) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of all segmentations of each word, and the table on the way."""
-        length, widest, steps = arcs or self.arcs(words)
-        alpha = np.full((widest + 1, len(words)), -np.inf)
+        words = np.arange(len(arcs.length))
+        alpha = np.full((arcs.widest + 1, len(words)), -np.inf)
         alpha[0] = 0
-        for begin, end, row, piece in steps:
-            alpha[end, row] = np.logaddexp(alpha[end, row], alpha[begin, row] + self.log_p[piece])
-        return alpha[length, np.arange(len(words))], alpha
+        for end in range(1, arcs.widest + 1):
+            for begin, row, piece in arcs.into(end):
+                alpha[end, row] = np.logaddexp(alpha[end, row],
+                                               alpha[begin, row] + self.log_p[piece])
+        return alpha[arcs.length, words], alpha
 
     def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """How often each piece is expected in the words, each as many times as it occurred."""
         arcs = self.arcs(words)
-        length, widest, steps = arcs
-        total, alpha = self.forward(words, arcs)
-        beta = np.full((widest + 1, len(words)), -np.inf)
-        beta[length, np.arange(len(words))] = 0
+        total, alpha = self.forward(arcs)
+        beta = np.full(alpha.shape, -np.inf)
+        beta[arcs.length, np.arange(len(words))] = 0
         counts = np.zeros(len(self.names))
-        for begin, end, row, piece in reversed(steps):
-            after = beta[end, row] + self.log_p[piece]
-            beta[begin, row] = np.logaddexp(beta[begin, row], after)
-            share = np.exp(alpha[begin, row] + after - total[row]) * times[row]
-            counts += np.bincount(piece, share, minlength=len(counts))
+        for end in range(arcs.widest, 0, -1):
+            for begin, row, piece in arcs.into(end):
+                after = beta[end, row] + self.log_p[piece]
+                beta[begin, row] = np.logaddexp(beta[begin, row], after)
+                share = np.exp(alpha[begin, row] + after - total[row]) * times[row]
+                np.add.at(counts, piece, share)
         return counts
 
 
@@ -242,6 +259,17 @@ class Counts:
         return (self.ends + 1) / (self.tokens + 2)
 
 
+def _in_parts(words: list[bytes], times: list[int]) -> tuple[list[bytes], np.ndarray]:
+    """Words to be fitted; what is longer than ``PART`` bytes is fitted in parts."""
+    here, counts = [], []
+    for word, n in zip(words, times):
+        word = SPACE + word
+        parts = [word[at:at + PART] for at in range(0, len(word), PART)]
+        here += parts
+        counts += [n] * len(parts)
+    return here, np.array(counts, dtype=float)
+
+
 def fit_pieces(words: DataFrame, names: list[bytes], log_p: np.ndarray,
                rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the pieces after rounds of forward-backward over training words."""
@@ -254,8 +282,7 @@ def fit_pieces(words: DataFrame, names: list[bytes], log_p: np.ndarray,
             lattice = shared.value
             counts = np.zeros(len(lattice.names))
             for batch in batches:
-                here = [SPACE + w for w in batch.column(0).to_pylist()]
-                times = batch.column(1).to_numpy().astype(float)
+                here, times = _in_parts(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 for group in _groups(here):
                     counts += lattice.expected([here[i] for i in group], times[group])
             at = np.flatnonzero(counts > 0)
@@ -264,6 +291,8 @@ def fit_pieces(words: DataFrame, names: list[bytes], log_p: np.ndarray,
 
         summed = training.mapInArrow(expect, "piece int, n double").groupBy("piece").agg(
             F.sum("n").alias("n")).collect()
+        if not summed:
+            break
         counts = np.full(len(names), PRIOR)
         for piece, n in summed:
             counts[piece] += n
@@ -286,7 +315,7 @@ def score_words(words: DataFrame, names: list[bytes], log_p: np.ndarray,
             number = np.array([i for i, w in enumerate(raw) if w != END], dtype=np.int64)
             here = [SPACE + raw[i] for i in number]
             for group in _groups(here) if here else ():
-                total, _ = lattice.forward([here[i] for i in group])
+                total, _ = lattice.forward(lattice.arcs([here[i] for i in group]))
                 # That the first piece is a start is given, that one follows is not: they cancel.
                 log_word[number[group]] = total + math.log1p(-of.ends_spelled)
             seen = (1 - spelled) * c / max(of.tokens, 1)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lexorder.staging import Stages
 
-from .common import WORD, free_name, keep_rows
+from .common import WORD, keep_rows
 
 BLOCK = 32                  # words in a block
 MOST = 3                    # times a source, a shard or a document may be taken
@@ -206,19 +206,20 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                          words_in(text).alias("size"))
     planned = plan(stages.save(narrow, "sizes"), stages, block, seed)
     own = planned.select(
-        F.col("doc_id").alias(row), F.struct(
-            "whole", "rest", "start", "stop", "shard_size", "blocks", "turn").alias("_mix"),
-        taken_words(F.col("start"), F.col("stop")).alias("_taken"),
-        F.col("size").alias("_size")).filter("_taken > 0")
-    joined = rows.join(own, row).select(*rows.columns, "_taken", "_size", "_mix.*")
-    spare = F.col("_taken") - F.col("whole") * F.col("_size")
-    pick = F.filter(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), lambda _, i: _chosen(
-        _block_at(F.col("start") + i)))
-    part = F.when(spare == F.col("_size"), F.col(text)).otherwise(F.array_join(pick, " "))
-    texts = F.when(F.col("whole") > 0, F.array_repeat(F.col(text), F.col("whole").cast("int")))
-    texts = F.concat(F.coalesce(texts, F.array().cast("array<string>")),
-                     F.when(spare > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    return joined.withColumn(text, F.explode(texts)).select(*docs.columns)
+        F.col("doc_id").alias(row), "whole", "rest", "start", "shard_size", "blocks", "turn",
+        "size", taken_words(F.col("start"), F.col("stop")).alias("taken")).filter("taken > 0")
+    # The row travels as one struct, so its columns cannot clash with the plan's.
+    joined = rows.select(row, F.col(text).alias("text"),
+                         F.struct(*[F.col(c) for c in docs.columns]).alias("doc")).join(own, row)
+    spare = F.col("taken") - F.col("whole") * F.col("size")
+    pick = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
+                    lambda _, i: _chosen(_block_at(F.col("start") + i)))
+    part = F.when(spare == F.col("size"), F.col("text")).otherwise(F.array_join(pick, " "))
+    none = F.array().cast("array<string>")
+    texts = F.concat(F.array_repeat("text", F.col("whole").cast("int")),
+                     F.when(spare > 0, F.array(part)).otherwise(none))
+    return (joined.withColumn("text", F.explode(texts))
+            .select(F.col("doc").withField(text, F.col("text")).alias("doc")).select("doc.*"))
 
 
 def _block_at(word: Column) -> Column:
