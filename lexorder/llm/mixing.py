@@ -71,6 +71,7 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: Column, seats: Col
     """
     of_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     started = (parties.withColumn("_votes", votes.cast("double")).withColumn("_seats", seats)
+               .withColumn("_place", F.row_number().over(of_group.orderBy(*order)))
                .withColumn("_all", F.sum("_votes").over(of_group))
                .withColumn("_quota", F.when(F.col("_all") > 0, F.floor(
                    F.col("_seats") * F.col("_votes") / F.col("_all") + 0.5)).otherwise(0))
@@ -86,8 +87,9 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: Column, seats: Col
         .when(more, F.col("_votes") / (2 * (F.col("_quota") + F.col("_step")) - 1))
         .otherwise(-F.col("_votes") / (2 * (F.col("_quota") - F.col("_step")) + 1)))
     # Step 0 keeps a party in the list; it stands last and wins nothing.
-    ranked = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    ranked = ranked.orderBy(F.col("_quotient").desc_nulls_last(), *order, F.col("_step"))
+    # Among equals the first wins a seat, and the last loses one.
+    ranked = of_group.orderBy(F.col("_quotient").desc_nulls_last(),
+                              F.signum("_off") * F.col("_place"), "_step")
     won = (F.row_number().over(ranked) <= F.abs("_off")) & (F.col("_step") > 0)
     changed = listed.withColumn("_won", F.when(won, F.signum("_off")).otherwise(0).cast("long"))
     return (changed.groupBy(*parties.columns).agg(
