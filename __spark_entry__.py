@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from lexorder.functions.ints import pack_little_endian, unpack_little_endian  # noqa: E402
 from lexorder.operators import counts, names, positions, types  # noqa: E402
 from lexorder.operators.ranking import rank_rows  # noqa: E402
+from lexorder.plans.induced import induce  # noqa: E402
 from lexorder.plans.suffix_array import sort_texts, suffix_array  # noqa: E402
 from lexorder.sources import files  # noqa: E402
 from lexorder.sources.texts import (Texts, chunk_texts, explode_symbols,  # noqa: E402
@@ -83,8 +84,9 @@ def sa_induced(spark, sf):
 
 
 def sa_induced_levels(spark, sf):
+    """Names of names, level by level, over texts cut into small chunks."""
     return suffix_array(_table(spark, sf, "benchmark"), "item_id", "text", method="induced",
-                        levels=8)
+                        chunk=64, halo=16)
 
 
 def sa_long_text(spark, sf):
@@ -160,14 +162,7 @@ def n_names(spark, sf):
 
 def pair_names(spark, sf):
     """Pairs of a symbol and the one after it; the pair at the end has the tail name -1."""
-    typed = types.classify_suffixes(_turn_texts(spark, sf))
-    tails = typed.select("text_id", (F.col("pos") - 1).alias("pos"),
-                         F.col("sym").alias("tail_name"),
-                         (~F.col("is_minus")).alias("tail_is_plus"))
-    pairs = (typed.select("text_id", "pos", "sym").join(tails, ["text_id", "pos"], "left")
-             .withColumn("tail_name", F.coalesce("tail_name", F.lit(-1)))
-             .withColumn("tail_is_plus", F.coalesce("tail_is_plus", F.lit(False))))
-    return names.pair_names(pairs)
+    return names.pair_names(types.symbol_pairs(_turn_texts(spark, sf)))
 
 
 def reduced_text(spark, sf):
@@ -181,21 +176,17 @@ def star_suffix_order(spark, sf):
 
 
 def plus_suffix_order(spark, sf):
-    texts = _turn_texts(spark, sf)
-    return positions.order_within(sort_texts(texts, "induced"),
-                                  types.classify_suffixes(texts).filter("NOT is_minus"))
+    return induce(_turn_texts(spark, sf), star_suffix_order(spark, sf), "plus")
 
 
 def minus_suffix_order(spark, sf):
-    texts = _turn_texts(spark, sf)
-    return positions.order_within(sort_texts(texts, "induced"),
-                                  types.classify_suffixes(texts).filter("is_minus"))
+    return induce(_turn_texts(spark, sf), star_suffix_order(spark, sf), "minus")
 
 
 # --- counts -----------------------------------------------------------------------------------
 
 def symbol_histogram(spark, sf):
-    return counts.symbol_histogram(explode_symbols(_document_texts(spark, sf)))
+    return counts.symbol_histogram(chunk_texts(_table(spark, sf, "documents"), "doc_id", "text"))
 
 
 def bucket_starts(spark, sf):
@@ -262,7 +253,7 @@ def packed_as_text(spark, sf):
 def stored_suffix_array(spark, sf):
     folder = _fresh_folder(spark)
     files.write_suffix_array(suffix_array(_table(spark, sf, "benchmark"), "item_id", "text"),
-                             folder, max_records=100_000)
+                             folder, max_records=1_000)
     return spark.read.parquet(folder)
 
 

@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexorder.operators.types import decode
+from lexorder.sources.texts import Texts
+
+
+ZEROS = 1 << 20     # zeros of a gap that one row brings
+
+
+def symbol_histogram(texts: Texts) -> DataFrame:
+    """``(text_id, sym, count)`` of the symbols that occur: the bucket sizes of the suffix array.
+
+    Symbols are counted chunk by chunk where the chunks lie; only counts are exchanged.
+    """
+    width = texts.width
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = batch.column("text_id"), batch.column("len").to_pylist()
+            for row, size in enumerate(sizes):
+                raw = np.frombuffer(batch.column("data")[row].as_buffer(), np.uint8)
+                sym, n = np.unique(decode(raw[:size * width], width), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([row] * len(sym))), pa.array(sym.astype(np.int64)),
+                     pa.array(n)], names=["text_id", "sym", "n"])
 
-def symbol_histogram(symbols: DataFrame) -> DataFrame:
-    """``(text_id, sym, count)`` of the symbols that occur: the bucket sizes of the suffix array."""
-    return symbols.groupBy("text_id", "sym").agg(F.count("*").alias("count"))
+    schema = T.StructType([texts.chunks.schema["text_id"], T.StructField("sym", T.LongType()),
+                           T.StructField("n", T.LongType())])
+    return (texts.chunks.select("text_id", "len", "data").mapInArrow(count, schema)
+            .groupBy("text_id", "sym").agg(F.sum("n").alias("count")))
 
 
 def bucket_starts(histogram: DataFrame) -> DataFrame:
@@ -29,10 +58,14 @@ def dense_counts(typed: DataFrame, flag: str) -> DataFrame:
     """
     counts = (typed.filter(flag).groupBy("text_id", "sym").agg(F.count("*").alias("count")))
     below = Window.partitionBy("text_id").orderBy("sym")
-    # Each symbol brings the zeros between itself and the next smaller one that occurs.
-    return (counts
+    # Each symbol brings the zeros between itself and the next smaller one that occurs, by rows
+    # of bounded size that are spread over the tasks.
+    gaps = (counts
             .withColumn("low", F.coalesce(F.lag("sym").over(below) + 1, F.lit(0)))
-            .withColumn("at", F.explode(F.sequence("low", "sym")))
+            .withColumn("low", F.explode(F.sequence("low", "sym", F.lit(ZEROS).cast("long"))))
+            .withColumn("high", F.least("sym", F.col("low") + (ZEROS - 1))))
+    return (gaps.repartition("text_id", "low")
+            .withColumn("at", F.explode(F.sequence("low", "high")))
             .select("text_id", F.col("at").alias("sym"),
                     F.when(F.col("at") == F.col("sym"), F.col("count")).otherwise(0)
                     .alias("count")))

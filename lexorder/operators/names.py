@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexorder.functions.ints import pack_big_endian
 from lexorder.operators.ranking import rank_rows
 from lexorder.staging import Stages, default_tasks, tasks_for
 
 BROADCAST_NAMES = 200_000       # a name table of up to this many rows and bytes is broadcast
 BROADCAST_BYTES = 16 << 20
-SALTS = 64      # tasks among which the rows of a frequent substring are spread
+FAN = 4096      # names that make up a value of the next round
 
 
 def name_substrings(stars: DataFrame, stages: Stages | None = None,
@@ -52,31 +53,56 @@ def pair_names(symbols: DataFrame, stages: Stages | None = None,
                      what="dense").select("text_id", "pos", F.col("rank").alias("name"))
 
 
-def table_names(stars: DataFrame, total: int, stages: Stages, name: str) -> tuple[DataFrame, int]:
-    """Name star substrings alike in all texts; also returns the number of names.
+def sequence_ranks(parts: DataFrame, key: list[str], stages: Stages, name: str) -> DataFrame:
+    """Dense ranks, from 0, of lists of values: ``(*key, rank)``.
 
-    One row per distinct substring is sorted, after combining on the map side.  The names go
-    back by broadcast when the table is counted small, else by a shuffle join in which the rows
-    of a frequent substring are spread over ``SALTS`` tasks.  At most one substring per task of
-    the exchange counts as frequent; only their hashes are broadcast.
+    ``parts`` has ``key``, ``k`` (0, 1, ... within the key) and a binary ``value``; lists compare
+    value by value, and a list that another one goes on from comes first.  Values get names, and up
+    to ``FAN`` names in a row are a value of the next round, so no value grows with its list.
+    """
+    spark, turn = parts.sparkSession, 0
+    while True:
+        parts = stages.save(parts, f"{name}-parts-{turn}")
+        distinct = stages.save(parts.select("value").distinct(), f"{name}-values-{turn}")
+        ranked = rank_rows(distinct, [], ["value"], [], tasks_for(spark, distinct.count()), stages,
+                           f"{name}-named-{turn}", keep=["value"])
+        named = stages.save(parts.join(ranked, "value").select(*key, "k", "rank"),
+                            f"{name}-ranks-{turn}")
+        if not named.agg(F.max("k")).first()[0]:
+            return named.select(*key, "rank")
+        parts = (named.withColumn("name", pack_big_endian(F.col("rank"), 8))
+                 .withColumn("at", F.col("k")).withColumn("k", F.expr(f"k div {FAN}"))
+                 .groupBy(*key, "k")
+                 .agg(F.expr("listagg(name) within group (order by at)").alias("value")))
+        turn += 1
+
+
+def table_names(stars: DataFrame, key: list[str], total: int, stages: Stages,
+                name: str) -> tuple[DataFrame, int]:
+    """Name rows alike in ``key`` in all texts; also returns the number of names.
+
+    Names ascend with ``key``; of its columns only the first may be long.  One row per distinct
+    key is sorted, after combining on the map side.  The names go back by broadcast when the
+    table is counted small, else by a shuffle join in which the rows of a frequent key are spread
+    over as many tasks as they would fill.  At most one key per task of the exchange counts as
+    frequent; only their hashes are broadcast.
     """
     spark = stars.sparkSession
     tasks = tasks_for(spark, total)
-    distinct = stages.save(stars.groupBy("sub", "terminal").count(), f"{name}-distinct")
-    n_names, size = distinct.agg(F.count("*"), F.sum(F.octet_length("sub"))).first()
+    distinct = stages.save(stars.groupBy(*key).count(), f"{name}-distinct")
+    n_names, size = distinct.agg(F.count("*"), F.sum(F.octet_length(key[0]))).first()
     # A single group of distinct keys: the rank is the row number.
-    named = rank_rows(distinct.withColumn("goes_on", ~F.col("terminal")), [],
-                      ["sub", "goes_on"], [], tasks_for(spark, n_names), stages,
-                      f"{name}-names", keep=["sub", "terminal", "count"])
-    named = named.select("sub", "terminal", "count", F.col("rank").alias("name"))
-    key = ["sub", "terminal"]
+    named = rank_rows(distinct, [], key, [], tasks_for(spark, n_names), stages, f"{name}-names",
+                      keep=[*key, "count"])
+    named = named.select(*key, "count", F.col("rank").alias("name"))
     if n_names <= BROADCAST_NAMES and size <= BROADCAST_BYTES:
         return stars.join(F.broadcast(named.drop("count")), key), n_names
 
     hashed = F.xxhash64(*key)
     frequent = F.broadcast(named.filter(F.col("count") * tasks >= total)
-                           .select(hashed.alias("_hash"), F.lit(SALTS).alias("_salts"))
-                           .distinct())
+                           .groupBy(hashed.alias("_hash"))
+                           .agg(F.max(F.ceil(F.col("count") * tasks / total)).cast("int")
+                                .alias("_salts")))
 
     def salted(df: DataFrame) -> DataFrame:
         return (df.withColumn("_hash", hashed).join(frequent, "_hash", "left")

@@ -3,9 +3,9 @@
 ``Window.partitionBy(g)`` puts a whole group into one task, and one text (or one repeated key)
 may hold a third of all rows.  ``rank_rows`` gives the same numbers without that: rows are range
 partitioned on ``(group, key, tie)``, so even rows that share group and key spread over tasks;
-each task numbers its own sorted rows; and only the first and last row of each partition go to
-the driver, to learn what the partitions before add.  That summary grows with the number of
-partitions, never with the rows.
+each task numbers its own sorted rows; and of the first and last row of each partition a few
+numbers and 128-bit hashes of group and key go to the driver, to learn what the partitions before
+add.  That summary grows with the number of partitions, never with the rows or the keys.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,7 +138,13 @@ NUMBERED = [
 CARRY = "_part int, _add_first long, _add long, _from_before boolean, _goes_on boolean"
 
 
-def _carries(edges: list, group: list[str], key: list[str], what: str) -> list[tuple]:
+def _hash(columns: list[str]) -> Column:
+    """128 bits that tell values of ``columns`` apart."""
+    seeded = [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
+    return F.array(*seeded)
+
+
+def _carries(edges: list, what: str) -> list[tuple]:
     """What the open group of each partition takes over from the partitions before it.
 
     One row per partition: what to add to an open row's number if it has the partition's very
@@ -150,8 +156,8 @@ def _carries(edges: list, group: list[str], key: list[str], what: str) -> list[t
     group_at = key_at = number = 0      # of the last row before: global indexes, dense number
     for part in sorted(firsts):
         first, last = firsts[part], lasts[part]
-        same_group = before is not None and all(before[c] == first[c] for c in group)
-        same_key = same_group and all(before[c] == first[c] for c in key)
+        same_group = before is not None and before["_group"] == first["_group"]
+        same_key = same_group and before["_key"] == first["_key"]
         if same_key:
             out[-1][4] = True
         if not same_group:
@@ -196,8 +202,11 @@ def rank_rows(df: DataFrame, group: list[str], key: list[str], tie: list[str], t
         .repartitionByRange(tasks, *order).sortWithinPartitions(*order)
         .mapInArrow(_number_partition(group, key, keep, what), schema), name)
 
-    edges = numbered.filter("_edge > 0").collect()      # at most two rows per partition
-    carries = df.sparkSession.createDataFrame(_carries(edges, group, key, what), CARRY)
+    # At most two rows per partition.
+    edges = numbered.filter("_edge > 0").select(
+        "_part", "_local", "_open", "_edge", "_index", "_group_at", _hash(group).alias("_group"),
+        _hash(key).alias("_key")).collect()
+    carries = df.sparkSession.createDataFrame(_carries(edges, what), CARRY)
     first_key = F.col("_local") == 0
     carried = F.when(~F.col("_open"), 0).when(first_key, F.col("_add_first")).otherwise(
         F.col("_add"))

@@ -61,7 +61,7 @@ class Block:
         last = batch.column("last").to_numpy(False)
         ends = last | (size - self.length < halo)        # the text ends with this data
         carried = batch.column("next_minus").cast(pa.int8()).fill_null(UNKNOWN).to_numpy()
-        edge = self.start + size - 1
+        self.edge = edge = self.start + size - 1
         verdict = np.zeros(len(sym), dtype=np.int8)      # type, where the next symbol differs
         differs = np.ones(len(sym), dtype=bool)
         verdict[:-1] = sym[:-1] > sym[1:]
@@ -84,6 +84,7 @@ class Block:
             symbol = decode(np.frombuffer(joined, np.uint8), width)
             at = head[known]
             before[at] = np.where(symbol == sym[at], self.minus[at], symbol > sym[at])
+        self.before = before
         self.minus_star = self.own & (self.minus == 1) & (before == 0)
         self.plus_star = self.own & (self.minus == 0) & (before == 1)
 
@@ -133,66 +134,81 @@ def _later() -> WindowSpec:
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def with_types(texts: Texts) -> DataFrame:
-    """Add what decides a run that leaves the chunk: ``next_minus`` and ``next_run_end``.
+UNDECIDED = {"next_minus": "boolean", "next_run_end": "long", "star_base": "long",
+             "next_star": "long"}
+
+
+def _without_neighbours(columns: list[str]) -> list[Column]:
+    """What a chunk without later or earlier ones is given."""
+    return [F.lit(0 if name == "star_base" else None).cast(UNDECIDED[name]).alias(name)
+            for name in columns]
+
 
-    They are the type of the position after the chunk and where the run there ends.  Texts of one
-    chunk need neither.
+def chunk_directory(texts: Texts) -> DataFrame:
+    """A small row per chunk of the texts that have several, from one pass over the blocks.
+
+    ``(text_id, chunk_id)`` with what the chunk must know of the others: the type of the position
+    after it (``next_minus``), where the run there ends (``next_run_end``), the minus-stars of
+    earlier chunks (``star_base``) and the first one of the later chunks (``next_star``).
     """
-    nothing = [F.lit(None).cast("boolean").alias("next_minus"),
-               F.lit(None).cast("long").alias("next_run_end")]
     key = ["text_id", "chunk_id"]
-    if texts.single:
-        return texts.chunks.select("*", *nothing)
     long = texts.chunks.filter(~_single())
 
-    def first_run(block: Block) -> list:
+    def rows(block: Block) -> list:
         head = block.start
         open_run = block.leaves[head]
+        at = np.flatnonzero(block.minus_star)
+        count = np.bincount(block.row[at], minlength=len(head))
+        place = block.beg[block.row] + block.off
+        first = np.zeros(len(head), dtype=np.int64)
+        first[block.row[at][::-1]] = place[at][::-1]
+        # The first position of a run that leaves the chunk is a star if the run is minus.
+        maybe = np.flatnonzero(block.own & block.leaves & (block.before == 0) & (place > 0))
+        open_star = np.full(len(head), -1, dtype=np.int64)
+        open_star[block.row[maybe]] = place[maybe]
         return [block.batch.column("text_id"), block.batch.column("chunk_id"),
                 pa.array(block.minus[head] == 1, mask=open_run),
-                pa.array(block.beg + block.run_stop[head] - head + 1, mask=open_run)]
-
+                pa.array(block.beg + block.run_stop[head] - head + 1, mask=open_run),
+                pa.array(count), pa.array(first, mask=count == 0),
+                pa.array(open_star, mask=open_star < 0)]
+
+    found = map_blocks(long.select("*", *_without_neighbours(["next_minus", "next_run_end"])),
+                       texts, {"chunk_id": T.LongType(), "minus": T.BooleanType(),
+                               "run_end": T.LongType(), "stars": T.LongType(),
+                               "first_star": T.LongType(), "open_star": T.LongType()}, rows)
     # A chunk that is one run to the end of its look-ahead has the answers of the chunk after it.
-    firsts = map_blocks(long.select("*", *nothing), texts, {
-        "chunk_id": T.LongType(), "minus": T.BooleanType(), "run_end": T.LongType()}, first_run)
-    firsts = firsts.select(
-        *key, F.last("minus", ignorenulls=True).over(_later()).alias("next_minus"),
+    typed = found.select(
+        "*", F.last("minus", ignorenulls=True).over(_later()).alias("next_minus"),
         F.last("run_end", ignorenulls=True).over(_later()).alias("next_run_end"))
-    return (texts.chunks.filter(_single()).select("*", *nothing)
-            .unionByName(long.join(firsts, key)))
+    opened = F.when(F.col("next_minus"), F.col("open_star"))
+    starred = typed.withColumn("stars", F.col("stars") + F.when(opened.isNotNull(), 1).otherwise(
+        0)).withColumn("first_star", F.coalesce("first_star", opened))
+    earlier = (Window.partitionBy("text_id").orderBy("chunk_id")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    return starred.select(
+        *key, "next_minus", "next_run_end",
+        F.coalesce(F.sum("stars").over(earlier), F.lit(0)).alias("star_base"),
+        F.last("first_star", ignorenulls=True).over(_later()).alias("next_star"))
 
 
-def with_directory(texts: Texts) -> DataFrame:
-    """Add to ``with_types`` what a chunk must know of the stars of the others.
-
-    ``star_base``: minus-stars in earlier chunks; ``next_star``: the first minus-star of the
-    later chunks.
-    """
-    typed = with_types(texts)
-    nothing = [F.lit(0).cast("long").alias("star_base"),
-               F.lit(None).cast("long").alias("next_star")]
+def _joined(texts: Texts, columns: list[str]) -> DataFrame:
+    nothing = _without_neighbours(columns)
     if texts.single:
-        return typed.select("*", *nothing)
+        return texts.chunks.select("*", *nothing)
     key = ["text_id", "chunk_id"]
-    long = typed.filter(~_single())
-    earlier = (Window.partitionBy("text_id").orderBy("chunk_id")
-               .rowsBetween(Window.unboundedPreceding, -1))
+    long = texts.chunks.filter(~_single())
+    return (texts.chunks.filter(_single()).select("*", *nothing).unionByName(
+        long.join(chunk_directory(texts).select(*key, *columns), key)))
 
-    def stars(block: Block) -> list:
-        at = np.flatnonzero(block.minus_star)
-        count = np.bincount(block.row[at], minlength=len(block.start))
-        first = np.zeros(len(block.start), dtype=np.int64)
-        first[block.row[at][::-1]] = (block.beg[block.row[at]] + block.off[at])[::-1]
-        return [block.batch.column("text_id"), block.batch.column("chunk_id"),
-                pa.array(count), pa.array(first, mask=count == 0)]
 
-    counts = map_blocks(long, texts, {"chunk_id": T.LongType(), "stars": T.LongType(),
-                                      "first_star": T.LongType()}, stars)
-    counts = counts.select(
-        *key, F.coalesce(F.sum("stars").over(earlier), F.lit(0)).alias("star_base"),
-        F.last("first_star", ignorenulls=True).over(_later()).alias("next_star"))
-    return typed.filter(_single()).select("*", *nothing).unionByName(long.join(counts, key))
+def with_types(texts: Texts) -> DataFrame:
+    """The chunks with what decides a run that leaves them (see ``chunk_directory``)."""
+    return _joined(texts, ["next_minus", "next_run_end"])
+
+
+def with_directory(texts: Texts) -> DataFrame:
+    """The chunks with all that they must know of the others (see ``chunk_directory``)."""
+    return _joined(texts, list(UNDECIDED))
 
 
 def long_runs(block: Block, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,7 +262,7 @@ def classify_suffixes(texts: Texts) -> DataFrame:
                 block.sym[own].astype(np.int64), block.minus[own] == 1,
                 block.minus_star[own], block.plus_star[own]]
 
-    return map_blocks(with_directory(texts), texts, {
+    return map_blocks(with_types(texts), texts, {
         "pos": T.LongType(), "sym": T.LongType(), "is_minus": T.BooleanType(),
         "is_minus_star": T.BooleanType(), "is_plus_star": T.BooleanType()}, rows)
 
@@ -261,7 +277,27 @@ def star_positions(texts: Texts, kind: str = "minus") -> DataFrame:
         row = block.row[at]
         return [block.take("text_id", row), block.beg[row] + block.off[at]]
 
-    return map_blocks(with_directory(texts), texts, {"pos": T.LongType()}, rows)
+    return map_blocks(with_types(texts), texts, {"pos": T.LongType()}, rows)
+
+
+def symbol_pairs(texts: Texts) -> DataFrame:
+    """``(text_id, pos, sym, tail_name, tail_is_plus)``: each symbol with the one after it.
+
+    At the end of the text the tail is -1 and not plus.
+    """
+    def rows(block: Block) -> list:
+        own = np.flatnonzero(block.own)
+        row = block.row[own]
+        ends = own == block.edge[row]       # only the last symbol of a text has none after it
+        after = np.where(ends, own, own + 1)
+        return [block.take("text_id", row), block.beg[row] + block.off[own],
+                block.sym[own].astype(np.int64),
+                np.where(ends, -1, block.sym[after].astype(np.int64)),
+                ~ends & (block.minus[after] == 0)]
+
+    return map_blocks(with_types(texts), texts, {
+        "pos": T.LongType(), "sym": T.LongType(), "tail_name": T.LongType(),
+        "tail_is_plus": T.BooleanType()}, rows)
 
 
 def following_star(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -290,6 +326,49 @@ def next_star(texts: Texts) -> DataFrame:
                       {"pos": T.LongType(), "next_star": T.LongType()}, rows)
 
 
+def _star_ends(block: Block, halo: int) -> dict[str, np.ndarray]:
+    """Of the stars of a block: their symbol, row, index, where they stop, and what data there is.
+
+    ``stop`` is beyond the data where the substring leaves it.
+    """
+    following, found = following_star(block)
+    at = np.flatnonzero(block.minus_star)
+    row = block.row[at]
+    nth = np.arange(len(at)) - np.searchsorted(row, row)
+    beyond = block.take("next_star", row)
+    terminal = ~found[at] & np.asarray(beyond.is_null())
+    data_end = np.append(block.start[1:], len(block.sym))[row]
+    ended = np.asarray(block.take("last", row)) | (
+        data_end - block.start[row] - block.length[row] < halo)
+    stop = np.where(found[at], following[at] + 1,
+                    np.asarray(beyond.fill_null(0)) - block.beg[row] + block.start[row] + 1)
+    stop = np.where(terminal, np.where(ended, data_end, data_end + 1), stop)
+    return {"at": at, "row": row, "terminal": terminal, "stop": stop, "data_end": data_end,
+            "index": block.batch.column("star_base").to_numpy()[row] + nth,
+            "end": block.beg[row] + stop - 1 - block.start[row]}
+
+
+def star_heads(directory: DataFrame, texts: Texts) -> DataFrame:
+    """Minus-stars with the first ``halo`` symbols of their substring.
+
+    ``(text_id, star_idx, pos, end_pos, terminal, head, more)``; ``more`` tells that the substring
+    goes on, and ``end_pos`` of a terminal star may be null then.
+    """
+    halo = texts.halo
+
+    def rows(block: Block) -> list:
+        star = _star_ends(block, halo)
+        at, row, stop = star["at"], star["row"], star["stop"]
+        beyond = stop > star["data_end"]
+        return [block.take("text_id", row), star["index"], block.beg[row] + block.off[at],
+                pa.array(star["end"], mask=star["terminal"] & beyond), star["terminal"],
+                block.slices(at, np.minimum(stop, at + halo)), stop - at > halo]
+
+    return map_blocks(directory, texts, {
+        "star_idx": T.LongType(), "pos": T.LongType(), "end_pos": T.LongType(),
+        "terminal": T.BooleanType(), "head": T.BinaryType(), "more": T.BooleanType()}, rows)
+
+
 def stars_with_data(directory: DataFrame, texts: Texts) -> DataFrame:
     """Minus-stars with their substring up to the next one, as far as the chunk's data reaches.
 
@@ -299,25 +378,13 @@ def stars_with_data(directory: DataFrame, texts: Texts) -> DataFrame:
     halo = texts.halo
 
     def rows(block: Block) -> list:
-        following, found = following_star(block)
-        at = np.flatnonzero(block.minus_star)
-        row = block.row[at]
-        nth = np.arange(len(at)) - np.searchsorted(row, row)
-        index = block.batch.column("star_base").to_numpy()[row] + nth
-        beyond = block.take("next_star", row)
-        terminal = ~found[at] & np.asarray(beyond.is_null())
-        data_end = np.append(block.start[1:], len(block.sym))[row]
-        ended = np.asarray(block.take("last", row)) | (
-            data_end - block.start[row] - block.length[row] < halo)
-        stop = np.where(found[at], following[at] + 1,
-                        np.asarray(beyond.fill_null(0)) - block.beg[row] + block.start[row] + 1)
-        stop = np.where(terminal, np.where(ended, data_end, data_end + 1), stop)
-        fits = stop <= data_end
-        subs = block.slices(at, np.where(fits, stop, at))
-        end = block.beg[row] + stop - 1 - block.start[row]
-        return [block.take("text_id", row), index, block.beg[row] + block.off[at],
-                pa.array(end, mask=terminal & ~fits), terminal,
-                pc.if_else(pa.array(fits), subs, pa.scalar(None, pa.binary()))]
+        star = _star_ends(block, halo)
+        at, row, stop = star["at"], star["row"], star["stop"]
+        fits = stop <= star["data_end"]
+        return [block.take("text_id", row), star["index"], block.beg[row] + block.off[at],
+                pa.array(star["end"], mask=star["terminal"] & ~fits), star["terminal"],
+                pc.if_else(pa.array(fits), block.slices(at, np.where(fits, stop, at)),
+                           pa.scalar(None, pa.binary()))]
 
     return map_blocks(directory, texts, {
         "star_idx": T.LongType(), "pos": T.LongType(), "end_pos": T.LongType(),

@@ -58,7 +58,7 @@ def prefixes(texts: Packed, symbols: int) -> DataFrame:
                     prefix_of_piece(texts.width, symbols).alias("prefix")))
 
 
-def _read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,
+def read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,
                 tasks: int) -> DataFrame:
     """Add ``next``: up to ``symbols`` symbols of each suffix, starting ``depth`` symbols in.
 
@@ -110,10 +110,12 @@ def rank(rows: DataFrame, group: list[str], key: list[str], count: int, texts: P
     return rank_rows(rows, group, key, ["pos"], tasks, stages, name, keep)
 
 
-def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: str) -> DataFrame:
+def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: str,
+           by_rank: bool = True) -> DataFrame:
     """Finish an order in which equal ranks mean equal first ``depth`` symbols.
 
-    ``ranked`` has ``text_id, pos, rank, tied``.  Returns the suffix array ``text_id, rank, pos``.
+    ``ranked`` has ``text_id, pos, rank, tied``.  Without ``by_rank`` only symbols are compared,
+    as far as two suffixes agree.  Returns the suffix array ``text_id, rank, pos``.
     """
     final, turn = [], 0
     while True:
@@ -126,8 +128,10 @@ def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: s
         # A text of one chunk can be read to its end; elsewhere the halo is the limit.
         reach = texts.chunk if texts.single else texts.halo
         symbols = min(EXTENSION_BUDGET * texts.total // (count * texts.width), reach)
-        if symbols >= depth:    # either way the length compared at least doubles
-            rows = _read_ahead(open_rows, texts, depth, symbols,
+        if not by_rank:
+            symbols = min(depth, reach)
+        if symbols >= depth or not by_rank:     # by rank the length compared at least doubles
+            rows = read_ahead(open_rows, texts, depth, symbols,
                                tasks_for(ranked.sparkSession, count))
         else:
             rows = _rank_ahead(open_rows, union([*final, ranked.filter("tied")]), texts, depth,
@@ -146,6 +150,16 @@ def first_order(texts: Packed, stages: Stages, name: str) -> tuple[DataFrame, in
                 f"{name}-0"), symbols
 
 
+def direct(texts: Packed, stages: Stages, name: str = "direct") -> DataFrame:
+    """Suffix array ``(text_id, rank, pos)`` of packed texts, from nothing but their symbols.
+
+    Each round compares as many symbols more as were compared before, at most a look-ahead; a
+    text with long repeats takes a round for every look-ahead's worth of them.
+    """
+    ranked, symbols = first_order(texts, stages, name)
+    return refine(ranked, symbols, texts, stages, name, by_rank=False)
+
+
 def doubling(texts: Packed, stages: Stages, name: str = "doubling") -> DataFrame:
     """Suffix array ``(text_id, rank, pos)`` of packed texts."""
     ranked, symbols = first_order(texts, stages, name)

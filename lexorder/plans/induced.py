@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexorder.operators.names import reduced_text, table_names
-from lexorder.operators.types import (Block, following_star, long_runs, map_blocks,
-                                      stars_with_data, with_directory)
-from lexorder.plans.doubling import Packed, doubling, prefix_of_piece, rank, refine
-from lexorder.sources.texts import pack_symbols
-from lexorder.staging import Stages
+from lexorder.operators.names import reduced_text, sequence_ranks, table_names
+from lexorder.operators.types import (Block, following_star, long_runs, map_blocks, star_heads,
+                                      with_directory)
+from lexorder.plans.doubling import Packed, prefix_of_piece, rank, read_ahead, refine, union
+from lexorder.sources.texts import Texts, pack_symbols
+from lexorder.staging import Stages, tasks_for
 
 KEY_BYTES = 16          # symbols before the next star that go into the key, in bytes
 ENDS, FAR = -1, 1 << 62     # in place of a star's rank: the text ends; no star within the key
@@ -32,17 +32,18 @@ def width_of(names: int) -> int:
 
 
 def pieces(directory: DataFrame, texts: Packed, symbols: int) -> DataFrame:
-    """Own positions of the chunks, cut where the next star changes and at long runs.
+    """Own positions of the chunks, cut at stars of either kind and at long runs.
 
-    The columns of ``run_pieces`` with ``next_idx`` and ``gap``: the next minus-star of the
-    positions has that index and lies ``gap`` after ``pos`` (null if there is none); ``data``
-    ends with that star where it reaches it.
+    The columns of ``run_pieces`` with ``star_pos``, the next minus-star of the positions (null if
+    there is none).  ``data`` ends with that star where it reaches it.  All positions of a piece
+    are of one type, ``run_is_plus``.
     """
     def rows(block: Block) -> list:
         count = len(block.sym)
         following, found = following_star(block)
         left, long, new = long_runs(block, symbols)
-        starts = np.flatnonzero(block.own & ((block.off == 0) | block.minus_star | new))
+        starts = np.flatnonzero(block.own & ((block.off == 0) | block.minus_star
+                                             | block.plus_star | new))
         row = block.row[starts]
         own_end = block.start[row] + block.length[row]
         size = np.minimum(np.append(starts[1:], count), own_end) - starts
@@ -54,80 +55,174 @@ def pieces(directory: DataFrame, texts: Packed, symbols: int) -> DataFrame:
         reach = np.where(long[starts], starts, starts + size - 1) + symbols
         stop = np.minimum(reach, data_end)
         stop = np.where(none, stop, np.minimum(stop, target + 1))
-        # Stars of the chunk at or before the piece give the next one's index.
-        passed = np.cumsum(block.minus_star)
-        before = passed[starts] - passed[block.start[row]] + block.minus_star[block.start[row]]
-        index = block.batch.column("star_base").to_numpy()[row] + before
-        return [block.take("text_id", row), block.beg[row] + block.off[starts], size,
-                block.slices(starts, stop), pa.array(left[starts], mask=~long[starts]),
-                block.minus[starts] == 0, pa.array(index, mask=none),
-                pa.array(target - starts, mask=none)]
+        pos = block.beg[row] + block.off[starts]
+        return [block.take("text_id", row), pos, size, block.slices(starts, stop),
+                pa.array(left[starts], mask=~long[starts]), block.minus[starts] == 0,
+                pa.array(pos + target - starts, mask=none)]
 
     return map_blocks(directory, texts, {
         "pos": T.LongType(), "size": T.LongType(), "data": T.BinaryType(),
-        "run_left": T.LongType(), "run_is_plus": T.BooleanType(), "next_idx": T.LongType(),
-        "gap": T.LongType()}, rows)
+        "run_left": T.LongType(), "run_is_plus": T.BooleanType(), "star_pos": T.LongType()}, rows)
+
+
+def ahead(read: Column, left: Column, symbols: int, width: int) -> Column:
+    """What stands for the text after the ``symbols`` symbols that were to be read.
+
+    The rank of the next star if that is one of them (it lies ``left`` from the first); else
+    whether the text ends among them.  A suffix that ends inside sorts first among equal
+    prefixes, one whose star is farther sorts last.
+    """
+    return (F.when(left < symbols, F.col("star_rank"))
+            .when(F.octet_length(read) < symbols * width, F.lit(ENDS))
+            .otherwise(F.lit(FAR)).cast("long"))
 
 
 def sort_keys(cut: DataFrame, star_ranks: DataFrame, width: int, symbols: int) -> DataFrame:
-    """``(text_id, pos, prefix, ahead)`` for every suffix.
+    """``(text_id, pos, prefix, ahead)`` and the star of every suffix of some pieces.
 
     ``prefix`` runs to the next star if that lies within ``symbols``, and ``ahead`` is its rank;
-    else ``prefix`` is as long as it may be.  A suffix that ends inside sorts first among equal
-    prefixes, one whose star is farther sorts last.
+    else ``prefix`` is as long as it may be.  ``star_ranks`` are ``(text_id, star_pos,
+    star_rank)``.
     """
     i = F.col("i")
-    ahead = (F.when(F.col("gap") - i < symbols, F.col("star_rank"))
-             .when(F.octet_length("prefix") < symbols * width, F.lit(ENDS))
-             .otherwise(F.lit(FAR)))
-    return (cut.join(star_ranks, ["text_id", "next_idx"], "left")
+    return (cut.join(star_ranks, ["text_id", "star_pos"], "left")
             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
             .select("text_id", (F.col("pos") + i).alias("pos"),
-                    prefix_of_piece(width, symbols).alias("prefix"), "gap", "i", "star_rank")
-            .select("text_id", "pos", "prefix", ahead.cast("long").alias("ahead")))
+                    prefix_of_piece(width, symbols).alias("prefix"), "star_pos", "star_rank")
+            .withColumn("ahead", ahead(F.col("prefix"), F.col("star_pos") - F.col("pos"), symbols,
+                                       width)))
+
+
+def _key_symbols(texts: Texts) -> int:
+    return min(max(2, KEY_BYTES // texts.width), texts.halo)
 
 
-def star_order(texts: Packed, stages: Stages, name: str, levels: int,
-               directory: DataFrame) -> DataFrame | None:
-    """``(text_id, star_idx, star_rank)``, or None if a substring outgrows its chunk's data."""
-    stars = stages.save(stars_with_data(directory, texts), f"{name}-stars")
-    total, whole, longest = stars.agg(F.count("*"), F.count("sub"), F.max("star_idx")).first()
-    if whole < total:
-        return None
+def long_tails(stars: DataFrame, texts: Packed, stages: Stages, name: str) -> DataFrame:
+    """``(text_id, star_idx, tail)``: the order of what follows the heads of long substrings.
+
+    A substring is read in pieces of ``halo`` symbols, each from the one chunk that holds it, and
+    the lists of the pieces' names are ranked, from 1.
+    """
+    halo, width = texts.halo, texts.width
+    ends = texts.chunks.filter("last").select(
+        "text_id", (F.col("beg") + F.col("len") - 1).alias("text_end"))
+    at = F.col("pos") + (F.col("k") + 1) * halo
+    read = F.substring(F.col("data"), ((F.col("at") - F.col("beg")) * width + 1).cast("int"),
+                       (F.least(F.lit(halo), F.col("end_pos") + 1 - F.col("at")) * width)
+                       .cast("int"))
+    parts = (stars.filter("more").join(ends, "text_id")
+             .withColumn("end_pos", F.coalesce("end_pos", "text_end"))
+             .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(
+                 f"(end_pos - pos) div {halo} - 1"))))
+             .withColumn("at", at).withColumn("chunk_id", F.expr(f"at div {texts.chunk}"))
+             .join(texts.chunks.select("text_id", "chunk_id", "beg", "data"),
+                   ["text_id", "chunk_id"])
+             .select("text_id", "star_idx", "k", read.alias("value")))
+    ranked = sequence_ranks(parts, ["text_id", "star_idx"], stages, name)
+    return ranked.select("text_id", "star_idx", (F.col("rank") + 1).alias("tail"))
+
+
+def star_order(texts: Packed, stages: Stages, name: str, directory: DataFrame) -> DataFrame:
+    """``(text_id, star_pos, star_rank)`` of the minus-stars, by names and the text they spell.
+
+    A text whose stars all have names of their own is in order by them; the others' texts of
+    names, which have at most half the symbols, are sorted the same way.
+    """
+    stars = stages.save(star_heads(directory, texts), f"{name}-stars")
+    total, long = stars.agg(F.count("*"), F.count_if("more")).first()
     if total == 0:
-        return stars.select("text_id", "star_idx", F.col("star_idx").alias("star_rank"))
-    named, n_names = table_names(stars, total, stages, name)
-    if n_names == total:                        # names tell all stars apart
-        return stages.save(named.select("text_id", "star_idx", F.col("name").alias("star_rank")),
-                           f"{name}-ranks")
+        return stars.select("text_id", F.col("pos").alias("star_pos"),
+                            F.col("star_idx").alias("star_rank"))
+    tails = F.lit(0).cast("long").alias("tail")
+    if long:
+        tailed = long_tails(stars, texts, stages, f"{name}-tails")
+        stars = stages.save(stars.join(tailed, ["text_id", "star_idx"], "left").withColumn(
+            "tail", F.coalesce("tail", F.lit(0))), f"{name}-tailed")
+        tails = F.col("tail")
+    named, n_names = table_names(
+        stars.select("text_id", "star_idx", "pos", "head", tails,
+                     (~F.col("terminal")).alias("goes_on")),
+        ["head", "tail", "goes_on"], total, stages, name)
+    named = stages.save(named.select("text_id", "star_idx", "pos", "name"), f"{name}-named")
+    by_name = named.select("text_id", F.col("pos").alias("star_pos"),
+                           F.col("name").alias("star_rank"))
+    if n_names == total:
+        return by_name
+    again = stages.save(named.groupBy("text_id", "name").count().filter("count > 1")
+                        .select("text_id").distinct(), f"{name}-again")
+    rest = stages.save(named.join(again, "text_id", "left_semi"), f"{name}-rest")
+    left, longest = rest.agg(F.count("*"), F.max("star_idx")).first()
+    if left == 0:
+        return by_name
     single = longest < texts.chunk
-    packed = pack_symbols(reduced_text(named), width_of(n_names), texts.chunk, texts.halo, single)
+    packed = pack_symbols(reduced_text(rest), width_of(n_names), texts.chunk, texts.halo, single)
     reduced = Packed(stages.save(packed.chunks, f"{name}-reduced"), packed.width, packed.chunk,
-                     packed.halo, single, total)
-    order = (induced(reduced, stages, f"{name}-names", levels - 1) if levels > 1
-             else doubling(reduced, stages, f"{name}-doubling"))
-    return order.select("text_id", F.col("pos").alias("star_idx"),
-                        F.col("rank").alias("star_rank"))
+                     packed.halo, single, left)
+    order = induced(reduced, stages, f"{name}-names").select(
+        "text_id", F.col("pos").alias("star_idx"), F.col("rank").alias("star_rank"))
+    ranked = rest.join(order, ["text_id", "star_idx"]).select(
+        "text_id", F.col("pos").alias("star_pos"), "star_rank")
+    if left == total:
+        return ranked
+    return by_name.join(again, "text_id", "left_anti").unionByName(ranked)
 
 
-def induced(texts: Packed, stages: Stages, name: str = "induced",
-            levels: int = 1) -> DataFrame:
+def induced(texts: Packed, stages: Stages, name: str = "induced") -> DataFrame:
     """Suffix array ``(text_id, rank, pos)`` of packed texts.
 
-    The text of names is sorted the same way until ``levels`` are used up or the names tell all
-    stars apart, then by ``doubling``.  Texts in which a star substring is longer than the data
-    of its chunk (long runs) are left to ``doubling`` at once.  The rows are the same either way.
+    The texts of names are sorted the same way, level by level, until the names tell the stars of
+    a text apart.
     """
-    symbols = min(max(2, KEY_BYTES // texts.width), texts.halo)
+    symbols = _key_symbols(texts)
     directory = with_directory(texts)
     inner = stages.inner(f"{name}-stars")
-    stars = star_order(texts, inner, name, levels, directory)
-    if stars is None:
-        inner.remove()
-        return doubling(texts, stages, f"{name}-doubling")
-    keys = sort_keys(pieces(directory, texts, symbols),
-                     stars.withColumnRenamed("star_idx", "next_idx"), texts.width, symbols)
+    stars = star_order(texts, inner, name, directory)
+    keys = sort_keys(pieces(directory, texts, symbols), stars, texts.width, symbols)
     first = rank(keys, ["text_id"], ["prefix", "ahead"], texts.total, texts, stages,
                  f"{name}-first")
     inner.remove()
     return refine(first, symbols, texts, stages, name)
+
+
+def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None = None) -> DataFrame:
+    """``(text_id, rank, pos)`` of the plus or minus suffixes, from the minus-stars' order.
+
+    ``star_sa`` are the minus-star suffixes as ``(text_id, rank, pos)``.  A suffix is ordered by
+    its symbols up to the next star, and then by that star; what lies far before its star is read
+    on until all differ.  Suffixes of the other kind are not sorted.
+    """
+    if kind not in ("minus", "plus"):
+        raise ValueError("kind must be 'minus' or 'plus'")
+    stages = stages or Stages(texts.chunks.sparkSession)
+    chunks = stages.save(texts.chunks, f"{kind}-chunks")
+    packed = Packed(chunks, texts.width, texts.chunk, texts.halo, texts.single)
+    symbols = _key_symbols(texts)
+    cut = pieces(with_directory(packed), packed, symbols).filter(
+        F.col("run_is_plus") == (kind == "plus"))
+    stars = star_sa.select("text_id", F.col("pos").alias("star_pos"),
+                           F.col("rank").alias("star_rank"))
+    keys = stages.save(sort_keys(cut, stars, texts.width, symbols), f"{kind}-keys")
+    ranked = rank(keys, ["text_id"], ["prefix", "ahead"], keys.count(), packed, stages,
+                  f"{kind}-0")
+    info = keys.select("text_id", "pos", "star_pos", "star_rank")
+    final, depth, turn = [], symbols, 0
+    while True:
+        final.append(ranked.filter(~F.col("tied")).select("text_id", "rank", "pos"))
+        still = ranked.filter("tied").select("text_id", "pos", F.col("rank").alias("base"))
+        count = still.count()
+        if count == 0:
+            return union(final)
+        turn += 1
+        more = min(depth, texts.halo)
+        read = read_ahead(still.join(info, ["text_id", "pos"]), packed, depth, more,
+                          tasks_for(keys.sparkSession, count))
+        left = F.col("star_pos") - F.col("pos") - depth
+        shown = F.when(left < more, F.substring(
+            F.col("next"), F.lit(1), ((left + 1) * texts.width).cast("int"))).otherwise(
+                F.col("next"))
+        rows = read.withColumn("ahead", ahead(F.col("next"), left, more, texts.width)).withColumn(
+            "next", shown)
+        ranked = rank(rows, ["text_id", "base"], ["next", "ahead"], count, packed, stages,
+                      f"{kind}-{turn}").select(
+            "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"), "tied")
+        depth += more

@@ -2,93 +2,78 @@
 
 from __future__ import annotations
 
-from functools import partial
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexorder.plans.doubling import Packed, doubling, first_order, refine, union
+from lexorder.plans.doubling import Packed, direct, doubling, first_order, refine, union
 from lexorder.plans.induced import induced
-from lexorder.sources.texts import CHUNK, HALO, MAX_LENGTH, Texts, chunk_texts, symbol_width
+from lexorder.sources.texts import CHUNK, HALO, Texts, chunk_texts
 from lexorder.staging import Stages, default_tasks
 
-MANY_TIES = 0.25        # share of suffixes tied on their prefix that makes texts repetitive
-REPEAT_LEVELS = 4       # levels of names for such texts
-DIRECT_LIMIT = 4096     # longest text, in symbols, whose suffixes are materialized
+MANY_TIES = 0.25        # share of suffixes tied on their prefix that makes a text repetitive
 
 
-def direct(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
-           symbol_bytes: int | None = None) -> DataFrame:
-    """Sort whole suffixes, for texts of up to ``DIRECT_LIMIT`` symbols; a longer one is an error.
-
-    The bound keeps each window group small and the suffixes of one text below 9 MB per byte of
-    symbol width.
-    """
-    width = symbol_width(unit, symbol_bytes)
-    chunks = chunk_texts(df, id_col, text_col, unit, symbol_bytes, DIRECT_LIMIT, 0).chunks
-    whole = F.when(F.col("last") & (F.col("chunk_id") == 0), F.col("data")).otherwise(
-        F.raise_error(F.lit(f"method 'direct' takes texts of up to {DIRECT_LIMIT} symbols")))
-    suffix = F.substring(F.col("text"), F.col("pos").cast("int") * width + 1,
-                         F.octet_length("text"))
-    by_text = Window.partitionBy("text_id").orderBy("suffix")
-    return (chunks.withColumn("text", whole)
-            .withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                    F.col("len").cast("long") - 1)))
-            .withColumn("suffix", suffix)
-            .select("text_id", (F.row_number().over(by_text) - 1).cast("long").alias("rank"),
-                    "pos"))
-
-
-def automatic(texts: Packed, stages: Stages, name: str, levels: int) -> DataFrame:
-    """``doubling``, unless many suffixes still tie after the first round: then ``induced``."""
+def automatic(texts: Packed, stages: Stages, name: str = "auto") -> DataFrame:
+    """``doubling``, and ``induced`` for the texts of which many suffixes tie after round 0."""
     ranked, symbols = first_order(texts, stages, name)
-    if ranked.filter("tied").count() <= MANY_TIES * texts.total:
+    ties = ranked.groupBy("text_id").agg(F.count("*").alias("n"), F.count_if("tied").alias("ties"))
+    repetitive = stages.save(ties.filter(F.col("ties") > MANY_TIES * F.col("n")),
+                             f"{name}-repetitive")
+    total = repetitive.agg(F.sum("n")).first()[0] or 0
+    if total == 0:
         return refine(ranked, symbols, texts, stages, name)
-    stages.remove(f"{name}-0")
-    return induced(texts, stages, name, max(levels, REPEAT_LEVELS))
+    parts = [induced(replace(texts, total=total, chunks=texts.chunks.join(
+        repetitive, "text_id", "left_semi")), stages, f"{name}-induced")]
+    if total < texts.total:
+        others = replace(texts, total=texts.total - total, chunks=texts.chunks.join(
+            repetitive, "text_id", "left_anti"))
+        rest = stages.save(ranked.join(repetitive, "text_id", "left_anti"), f"{name}-others")
+        parts.append(refine(rest, symbols, others, stages, f"{name}-refined"))
+    return union(parts)
+
+
+PLANS = {"auto": automatic, "direct": direct, "doubling": doubling, "induced": induced}
 
 
 def suffix_array(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
                  method: str = "auto", symbol_bytes: int | None = None, chunk: int = CHUNK,
-                 halo: int = HALO, levels: int = 1) -> DataFrame:
+                 halo: int = HALO) -> DataFrame:
     """The suffix array of every text: ``(text_id, rank, pos)``.
 
     Symbols compare as unsigned integers and a suffix that is a proper prefix of another sorts
     first.  ``unit`` is ``'byte'`` (strings as UTF-8), ``'char'`` (code points) or ``'token'``
-    (arrays of non-negative integers).  ``method`` is ``'direct'`` (short texts only),
-    ``'doubling'``, ``'induced'`` (over ``levels`` texts of names; for long repeats) or
-    ``'auto'``; all give the same rows.  Ids must be unique; null
-    and empty texts give no rows.  All but ``'direct'`` run jobs when called and return a reader
-    of stage tables.
+    (arrays of non-negative integers).  ``method`` is ``'direct'`` (symbols only),
+    ``'doubling'``, ``'induced'`` (over texts of names; for long repeats) or ``'auto'``, which
+    chooses between these two for each text; all give the same rows.  Null and repeated ids are
+    errors; null and empty texts give no rows.  Runs jobs when called and returns a reader of
+    stage tables.
     """
-    if method == "direct":
-        return direct(df, id_col, text_col, unit, symbol_bytes)
     return sort_texts(chunk_texts(df, id_col, text_col, unit, symbol_bytes, chunk, halo,
-                                  default_tasks(df.sparkSession)), method, levels)
+                                  default_tasks(df.sparkSession)), method)
 
 
-def sort_texts(texts: Texts, method: str = "auto", levels: int = 1) -> DataFrame:
+def sort_texts(texts: Texts, method: str = "auto") -> DataFrame:
     """The suffix array ``(text_id, rank, pos)`` of packed texts.
 
     Texts of one chunk are groups of bounded size and go through plain windows; the others are
     split over tasks however long they are.
     """
-    plans = {"auto": partial(automatic, levels=levels), "doubling": doubling,
-             "induced": partial(induced, levels=levels)}
-    if method not in plans:
+    if method not in PLANS:
         raise ValueError(f"unknown method {method!r}")
     stages = Stages(texts.chunks.sparkSession)
     chunks = stages.save(texts.chunks, "chunks")
+    twice = chunks.groupBy("text_id", "chunk_id").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"two texts have the id {twice['text_id']!r}")
     single = (F.col("chunk_id") == 0) & F.col("last")
-    stats = {row["single"]: row for row in chunks.groupBy(single.alias("single")).agg(
-        F.sum("len").alias("total"), F.max(F.col("beg") + F.col("len")).alias("longest"))
-        .collect()}
-    if any(row["longest"] > MAX_LENGTH for row in stats.values()):
-        raise ValueError(f"texts may have up to {MAX_LENGTH} symbols")
-    orders = [plans[method](Packed(chunks.filter(single if one else ~single), texts.width,
-                                   texts.chunk, texts.halo, one, row["total"]),
+    totals = {row["single"]: row["total"] for row in chunks.groupBy(single.alias("single")).agg(
+        F.sum("len").alias("total")).collect()}
+    orders = [PLANS[method](Packed(chunks.filter(single if one else ~single), texts.width,
+                                   texts.chunk, texts.halo, one, total),
                             stages, f"{method}-{'single' if one else 'long'}")
-              for one, row in stats.items()]
+              for one, total in totals.items()]
     if not orders:
         return chunks.select("text_id", F.col("beg").alias("rank"), F.col("beg").alias("pos"))
     stages.remove("chunks")

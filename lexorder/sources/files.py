@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
                                     InputPartition, WriterCommitMessage)
 
-from lexorder.sources.texts import CHUNK, HALO, MAX_LENGTH, Texts
+from lexorder.sources.texts import CHUNK, HALO, Texts, check_shape
 from lexorder.staging import tasks_for
 
 SPLIT = 64 << 20        # bytes of a file that one task reads
@@ -96,8 +96,6 @@ class TextFileReader(DataSourceReader):
                 raise ValueError(f"{file.path}: {file.size} bytes are not whole symbols of "
                                  f"{self.width} bytes")
             size = file.size // self.width
-            if size > MAX_LENGTH:
-                raise ValueError(f"{file.path}: texts may have up to {MAX_LENGTH} symbols")
             ranges += [FileRange(file.path, beg, min(beg + step, size), size)
                        for beg in range(0, size, step)]
         return ranges or [FileRange("", 0, 0, 0)]
@@ -130,6 +128,7 @@ def read_text_chunks(spark: SparkSession, path: str, symbol_bytes: int = 1, chun
 
     Each task reads its own byte range with the look-ahead it needs.
     """
+    check_shape(chunk, halo)
     spark.dataSource.register(TextFiles)
     chunks = (spark.read.format(TextFiles.name()).option("width", symbol_bytes)
               .option("chunk", chunk).option("halo", halo).load(path))

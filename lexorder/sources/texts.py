@@ -22,7 +22,6 @@ from lexorder.functions.ints import pack_big_endian, unpack_big_endian
 
 CHUNK = 1 << 16     # own symbols of a chunk
 HALO = 1 << 12      # look-ahead symbols kept with it
-MAX_LENGTH = (1 << 40) // 2   # longest text, in symbols
 
 WIDTH_OF_UNIT = {"byte": 1, "char": 4, "token": 8}
 
@@ -68,18 +67,31 @@ def packed_text(text: Column, unit: str, width: int) -> Column:
     return F.unhex(F.array_join(F.transform(text, digits), ""))
 
 
+def check_shape(chunk: int, halo: int) -> None:
+    if not 1 <= halo <= chunk:
+        raise ValueError("the halo must have between one symbol and a chunk")
+
+
+def named(id_col: str) -> Column:
+    """The ids of a column, for which a null is an error."""
+    return F.when(F.col(id_col).isNotNull(), F.col(id_col)).otherwise(
+        F.raise_error(F.lit("a text has a null id")))
+
+
 def chunk_texts(df: DataFrame, id_col: str, text_col: str, unit: str = "byte",
                 symbol_bytes: int | None = None, chunk: int = CHUNK, halo: int = HALO,
                 tasks: int | None = None) -> Texts:
     """Cut every text of a column into packed chunks.
 
-    ``id_col`` names a unique id of any atomic type.  A null or empty text gives no rows.  A byte
-    text must be whole symbols long when ``symbol_bytes`` is above one (otherwise an error).
+    ``id_col`` names a unique id of any atomic type; a null id is an error.  A null or empty text
+    gives no rows.  A byte text must be whole symbols long when ``symbol_bytes`` is above one
+    (otherwise an error).
     ``tasks`` spreads the chunks over that many partitions, which moves packed bytes only.
     """
+    check_shape(chunk, halo)
     width = symbol_width(unit, symbol_bytes)
     packed = packed_text(F.col(text_col), unit, width)
-    texts = df.select(F.col(id_col).alias("text_id"), packed.alias("packed"))
+    texts = df.select(named(id_col).alias("text_id"), packed.alias("packed"))
     size = F.octet_length("packed")
     if unit == "byte" and width > 1:
         size = F.when(size % width == 0, size).otherwise(
@@ -109,8 +121,7 @@ def add_halo(texts: Texts) -> Texts:
     the chunk after it; a chunk that is handed nothing is the last of its text.
     """
     own, width, chunk, halo = texts.chunks, texts.width, texts.chunk, texts.halo
-    if not 1 <= halo <= chunk:
-        raise ValueError("the halo must have between one symbol and a chunk")
+    check_shape(chunk, halo)
     key = ["text_id", "chunk_id"]
     ahead = own.filter("chunk_id > 0").select(
         "text_id", (F.col("chunk_id") - 1).alias("chunk_id"),

@@ -65,12 +65,10 @@ def default_tasks(spark: SparkSession) -> int:
     return max(2 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-# Rows that one sort task should hold, and the most tasks asked for in one exchange.
-ROWS_PER_TASK = 1_000_000
-MAX_TASKS = 100_000
+ROWS_PER_TASK = 1_000_000       # rows that one sort task should hold
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
     """Task count for an exchange of ``rows`` narrow rows, in full waves of the cluster's cores."""
     wave = parallelism(spark)
-    return min(-(-max(rows, 1) // (ROWS_PER_TASK * wave)) * wave, max(MAX_TASKS, wave))
+    return -(-max(rows, 1) // (ROWS_PER_TASK * wave)) * wave

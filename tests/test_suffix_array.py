@@ -7,7 +7,8 @@ from lexorder.operators import positions
 from lexorder.plans import doubling as doubling_plan
 from lexorder.plans import induced as induced_plan
 from lexorder.operators import names as names_module
-from lexorder.plans.suffix_array import DIRECT_LIMIT, sort_texts, suffix_array
+from lexorder.plans.suffix_array import sort_texts, suffix_array
+from lexorder.sources.files import read_text_chunks
 from lexorder.sources.texts import chunk_texts, explode_symbols, pack_symbols, random_text
 from tests import model
 
@@ -38,9 +39,10 @@ def test_golden(spark):
 
 
 @pytest.mark.parametrize("method, options", [
-    ("direct", {}), ("auto", {}), ("doubling", {}), ("doubling", {"chunk": 7, "halo": 5}),
-    ("doubling", {"chunk": 40, "halo": 20}), ("induced", {}), ("induced", {"levels": 9}),
-    ("induced", {"chunk": 7, "halo": 5}), ("induced", {"chunk": 50, "halo": 50, "levels": 3})])
+    ("direct", {}), ("direct", {"chunk": 7, "halo": 5}), ("auto", {}), ("doubling", {}),
+    ("doubling", {"chunk": 7, "halo": 5}), ("doubling", {"chunk": 40, "halo": 20}),
+    ("induced", {}), ("induced", {"chunk": 7, "halo": 5}), ("induced", {"chunk": 50, "halo": 50}),
+    ("auto", {"chunk": 16, "halo": 1})])
 def test_every_method_gives_the_brute_force_order(sample, method, options):
     texts, df = sample
     check(suffix_array(df, "id", "text", method=method, **options), texts)
@@ -58,7 +60,7 @@ def test_random_settings(spark, monkeypatch, seed):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text binary")
     chunk = rng.choice([5, 16, 64])
     check(suffix_array(df, "id", "text", method=["doubling", "induced", "induced"][seed],
-                       chunk=chunk, halo=rng.randint(1, chunk), levels=rng.randint(1, 4)), texts)
+                       chunk=chunk, halo=rng.randint(1, chunk)), texts)
 
 
 def test_names_joined_with_salt(spark, monkeypatch):
@@ -91,10 +93,85 @@ def test_string_ids_and_empty_input(spark):
     assert nothing.columns == ["text_id", "rank", "pos"] and nothing.count() == 0
 
 
-def test_direct_refuses_long_texts(spark):
-    df = spark.createDataFrame([(0, b"a" * (DIRECT_LIMIT + 1))], "id long, t binary")
-    with pytest.raises(Exception, match="direct"):
-        suffix_array(df, "id", "t", method="direct").collect()
+def test_direct_takes_texts_of_any_length(spark):
+    text = bytes(random.Random(1).choices(b"ab", k=9_000)) * 2
+    df = spark.createDataFrame([(0, text)], "id long, t binary")
+    got = [r.pos for r in suffix_array(df, "id", "t", method="direct", chunk=2_048, halo=512)
+           .orderBy("rank").collect()]
+    assert got == [r.pos for r in suffix_array(df, "id", "t", method="doubling")
+                   .orderBy("rank").collect()]
+
+
+@pytest.mark.parametrize("method", ["auto", "direct", "doubling", "induced"])
+def test_null_and_repeated_ids_are_errors(spark, method):
+    df = spark.createDataFrame([(0, "banana"), (None, "mississippi")], "id long, t string")
+    with pytest.raises(Exception, match="null id"):
+        suffix_array(df, "id", "t", method=method)
+    df = spark.createDataFrame([(0, "banana"), (1, "x"), (0, "mississippi")], "id long, t string")
+    with pytest.raises(ValueError, match="two texts"):
+        suffix_array(df, "id", "t", method=method)
+
+
+@pytest.mark.parametrize("halo", [0, -1, 17])
+def test_halo_must_fit(spark, tmp_path, halo):
+    df = spark.createDataFrame([(0, "banana" * 10)], "id long, t string")
+    with pytest.raises(ValueError, match="halo"):
+        suffix_array(df, "id", "t", chunk=16, halo=halo)
+    (tmp_path / "t").write_bytes(b"banana")
+    with pytest.raises(ValueError, match="halo"):
+        read_text_chunks(spark, str(tmp_path / "t"), chunk=16, halo=halo)
+
+
+def test_induced_stays_induced_with_one_long_run(spark, monkeypatch):
+    """Substrings longer than any chunk's data are named by their pieces."""
+    monkeypatch.setattr(names_module, "FAN", 3)
+    monkeypatch.setattr(doubling_plan, "doubling", None)
+    rng = random.Random(2)
+    texts = [bytes(rng.choices(b"abc", k=400)) for _ in range(3)]
+    texts += [texts[0][:90] + b"b" * 300 + texts[1][:50] + b"b" * 300 + b"ca" + b"b" * 299 + b"c",
+              b"ab" * 150, b"a" + b"b" * 200, b"cb" + bytes(range(200, 20, -1)) * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t binary")
+    check(suffix_array(df, "id", "t", method="induced", chunk=32, halo=8), texts)
+
+
+def test_texts_with_names_of_their_own_leave_the_recursion(spark, monkeypatch):
+    """Two texts share substrings; only the third repeats its own."""
+    sorted_again = []
+    packing = induced_plan.pack_symbols
+    monkeypatch.setattr(induced_plan, "pack_symbols", lambda symbols, *rest: (
+        sorted_again.append({r.text_id for r in symbols.select("text_id").distinct().collect()})
+        or packing(symbols, *rest)))
+    texts = [b"banana", b"canana", b"mississippimississippi"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t binary")
+    check(suffix_array(df, "id", "t", method="induced"), texts)
+    assert sorted_again[0] == {2}
+
+
+def test_auto_chooses_for_each_text(spark, monkeypatch):
+    from lexorder.plans import suffix_array as plan
+    chosen = []
+    monkeypatch.setattr(plan, "induced", lambda texts, stages, name: chosen.append(
+        {r.text_id for r in texts.chunks.collect()}) or induced_plan.induced(texts, stages, name))
+    rng = random.Random(3)
+    plain, repeated = bytes(rng.choices(range(65, 90), k=300)), bytes(rng.choices(b"abc", k=60)) * 5
+    df = spark.createDataFrame([(0, plain), (1, repeated), (2, b"x")], "id long, t binary")
+    check(suffix_array(df, "id", "t"), [plain, repeated, b"x"])
+    assert chosen == [{1}]
+
+
+@pytest.mark.parametrize("shape", [{}, {"chunk": 7, "halo": 5}, {"chunk": 16, "halo": 1}])
+def test_plus_and_minus_suffixes_induced_from_the_stars(spark, sample, shape):
+    texts, df = sample
+    packed = chunk_texts(df, "id", "text", **shape)
+    star_rows = [(i, rank, p) for i, text in enumerate(texts) for rank, p in enumerate(
+        q for q in model.suffix_array(text) if q in model.stars(text)[0])]
+    stars = spark.createDataFrame(star_rows, "text_id long, rank long, pos long")
+    for kind in ("plus", "minus"):
+        got = orders(induced_plan.induce(packed, stars, kind))
+        for i, text in enumerate(texts):
+            minus = model.minus(text)
+            assert got.get(i, []) == [p for p in model.suffix_array(text)
+                                      if minus[p] == (kind == "minus")], (text, kind)
 
 
 @pytest.mark.parametrize("method", ["doubling", "induced"])

@@ -71,9 +71,39 @@ def test_counts_are_dense_to_the_largest_used_symbol(spark):
     assert sorted(tuple(r) for r in counts.plus_counts(typed).collect()) == [(0, 0, 1), (0, 1, 1)]
 
 
+def test_gaps_of_any_width_are_filled_by_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(counts, "ZEROS", 100)
+    df = spark.createDataFrame([(0, [1, 70_000, 3])], "id long, text array<long>")
+    typed = types.classify_suffixes(chunk_texts(df, "id", "text", "token"))
+    got = {r.sym: r["count"] for r in counts.star_counts(typed, "minus").collect()}
+    assert len(got) == 70_001 and got[70_000] == 1 and sum(got.values()) == 1
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_symbol_pairs(sample, shape):
+    texts, df = sample
+    got = {(r.text_id, r.pos): (r.sym, r.tail_name, r.tail_is_plus) for r in
+           types.symbol_pairs(chunk_texts(df, "id", "text", **shape)).collect()}
+    for i, text in enumerate(texts):
+        minus = model.minus(text)
+        for p, sym in enumerate(text):
+            tail = (text[p + 1], not minus[p + 1]) if p + 1 < len(text) else (-1, False)
+            assert got[i, p] == (sym, *tail)
+
+
+def test_one_pass_over_the_blocks_for_types(spark):
+    df = spark.createDataFrame([(0, "banana" * 20)], "id long, text string")
+    texts = chunk_texts(df, "id", "text", chunk=16, halo=4)
+    for made, passes in ((types.with_types(texts), 1), (types.with_directory(texts), 1),
+                         (types.classify_suffixes(texts), 2), (types.star_positions(texts), 2),
+                         (types.next_star(texts), 2), (types.symbol_pairs(texts), 2)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == passes
+
+
 def test_histogram_and_bucket_starts(spark):
     df = spark.createDataFrame([(0, "banana")], "id long, text string")
-    histogram = counts.symbol_histogram(explode_symbols(chunk_texts(df, "id", "text")))
+    histogram = counts.symbol_histogram(chunk_texts(df, "id", "text", chunk=4, halo=2))
     got = {r.sym: (r["count"], r.start) for r in counts.bucket_starts(histogram).collect()}
     assert got == {ord("a"): (3, 0), ord("b"): (1, 3), ord("n"): (2, 4)}
 
