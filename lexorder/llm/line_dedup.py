@@ -26,18 +26,26 @@ from lexorder.staging import Stages
 WINDOW = 3
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often lambdas in ``use`` refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _windows(lines: Column, size: int) -> Column:
     """Array of structs (at, low, high) of the windows that are not empty lines only."""
-    def window(i):
-        part = [F.get(lines, i + k) for k in range(size)]
-        return F.struct(i.alias("at"), F.xxhash64(*part).alias("low"),
-                        F.xxhash64(F.lit(size), *part[::-1]).alias("high"),
-                        F.concat(*part).alias("joined"))
+    def made(a):
+        def window(i):
+            part = [F.get(a, i + k) for k in range(size)]
+            return F.struct(i.alias("at"), F.xxhash64(*part).alias("low"),
+                            F.xxhash64(F.lit(size), *part[::-1]).alias("high"))
+
+        def empty(i):
+            return F.concat(*[F.get(a, i + k) for k in range(size)]) == ""
 
-    made = F.transform(F.sequence(F.lit(0), F.size(lines) - size), window)
-    kept = F.filter(made, lambda w: w["joined"] != "")
-    return F.when(F.size(lines) >= size, F.transform(kept, lambda w: F.struct(
-        w["at"].alias("at"), w["low"].alias("low"), w["high"].alias("high"))))
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - size), lambda i: ~empty(i))
+        return F.when(F.size(a) >= size, F.transform(starts, window))
+
+    return _once(lines, made)
 
 
 def covered_windows(rows: DataFrame, stages: Stages, size: int = WINDOW) -> DataFrame:
@@ -49,7 +57,7 @@ def covered_windows(rows: DataFrame, stages: Stages, size: int = WINDOW) -> Data
     first = (found.groupBy("low", "high").agg(F.min(order).alias("first"),
                                               F.count("*").alias("times"))
              .filter("times > 1").select("low", "high", "first"))
-    return (found.join(first, ["low", "high"])
+    return (found.join(first.hint("merge"), ["low", "high"])
             .filter(~(F.col("id").eqNullSafe(F.col("first.id"))
                       & (F.col("hash") == F.col("first.hash"))
                       & (F.col("at") == F.col("first.at")))).select("id", "hash", "at"))
@@ -59,12 +67,15 @@ def _kept(lines: Column, at: Column, size: int) -> Column:
     """The lines between the covered windows; ``at`` are their starts, ascending."""
     last = F.size(at)
 
-    def piece(i):
-        begin = F.when(i == 0, 0).otherwise(F.get(at, i - 1) + size)
-        end = F.when(i == last, F.size(lines)).otherwise(F.get(at, i))
-        return F.slice(lines, begin + 1, F.greatest(F.lit(0), end - begin))
+    def kept(a):
+        def piece(i):
+            begin = F.when(i == 0, 0).otherwise(F.get(at, i - 1) + size)
+            end = F.when(i == last, F.size(a)).otherwise(F.get(at, i))
+            return F.slice(a, begin + 1, F.greatest(F.lit(0), end - begin))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), piece))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), last), piece))
+    return _once(lines, kept)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -77,15 +88,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         covered_windows(rows, stages, size).groupBy("id", "hash")
         .agg(F.array_sort(F.collect_set("at")).alias("covered"))
         .withColumnsRenamed({"id": "of", "hash": "of_hash"}), "covered")
-    joined = rows.join(covered, rows["id"].eqNullSafe(covered["of"])
+    # The covered windows have no bound, so they are never broadcast, however few there are.
+    joined = rows.join(covered.hint("merge"), rows["id"].eqNullSafe(covered["of"])
                        & (rows["hash"] == covered["of_hash"]), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("covered").isNull(), lines).otherwise(_kept(lines, F.col("covered"), size))
     count = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
-    return (joined.withColumn("kept", kept)
-            .select(F.col("id").alias("doc_id"),
-                    F.when(F.col("covered").isNull(), F.col("text"))
-                    .otherwise(F.array_join("kept", "\n")).alias("text"),
-                    count.alias("n_lines"),
-                    F.when(F.col("covered").isNull(), 0).otherwise(
-                        F.size(lines) - F.size("kept")).cast("long").alias("n_removed")))
+    # A struct, so that the lines that are kept are worked out once for both columns.
+    result = F.when(F.col("covered").isNull(), F.struct(
+        F.col("text").alias("text"), F.lit(0).cast("long").alias("n_removed"))).otherwise(
+        _once(_kept(lines, F.col("covered"), size), lambda kept: F.struct(
+            F.array_join(kept, "\n").alias("text"),
+            (F.size(lines) - F.size(kept)).cast("long").alias("n_removed"))))
+    return (joined.select("id", count.alias("n_lines"), result.alias("result"))
+            .select(F.col("id").alias("doc_id"), "result.text", "n_lines", "result.n_removed"))
