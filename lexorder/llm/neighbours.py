@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 
 from lexorder.staging import Stages
 
-TABLES = 6
+TABLES = 4
 FIRST = 3                  # visits to each table before the bound is taken
 BUCKET_POINTS = 800        # points of a bucket that the number of directions aims at
-MOST_DIRECTIONS = 16
 WIDTH = 1.5                # of a bucket, in standard deviations of a projection
+BITS = 1.46                # entropy of the bucket number along one direction at that width
+MOST_DIRECTIONS = 16
 FIT_POINTS = 10_000
 FIT_QUERIES = 100
 RECALL = 0.96
@@ -59,7 +60,8 @@ class Hashing:
 
     @classmethod
     def drawn(cls, dims: int, points: int, norm: float, tables: int = TABLES, seed: int = 23):
-        count = int(np.clip(round(np.log2(max(points, 2) / BUCKET_POINTS)), 1, MOST_DIRECTIONS))
+        wanted = np.log2(max(points, 2) / BUCKET_POINTS) / BITS
+        count = int(np.clip(round(wanted), 1, MOST_DIRECTIONS))
         rng = np.random.default_rng(seed)
         width = WIDTH * norm
         return cls(rng.standard_normal((tables, count, dims + 1)),
