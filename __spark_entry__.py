@@ -250,6 +250,58 @@ def packed_as_text(spark, sf):
     return read.groupBy("sym").agg(F.count("*").alias("count"))
 
 
+def packed_overwrite(spark, sf):
+    """A second export takes the place of the first, in parts of bounded size."""
+    folder = _fresh_folder(spark)
+    files.export_packed(suffix_array(_table(spark, sf, "benchmark"), "item_id", "text"), folder)
+    files.export_packed(suffix_array(_table(spark, sf, "part"), "p_partkey", "p_name"), folder,
+                        mode="overwrite", max_records=5_000)
+    return files.import_packed(spark, folder)
+
+
+def _item_files(spark: SparkSession, sf: str) -> str:
+    """The benchmark's texts as files, named by item."""
+    folder = _fresh_folder(spark)
+    files.write_texts(_table(spark, sf, "benchmark"), "item_id", "text", folder)
+    return folder
+
+
+def _by_item(df: DataFrame) -> DataFrame:
+    item = F.regexp_extract("text_id", r"([0-9]+)\.txt$", 1).cast("long")
+    return df.withColumn("text_id", item)
+
+
+def sa_files(spark, sf):
+    """Whole files as rows."""
+    return _by_item(suffix_array(files.read_texts(spark, _item_files(spark, sf)), "text_id",
+                                 "text"))
+
+
+def sa_file_chunks(spark, sf):
+    """Files read by byte ranges, most of them in many chunks."""
+    return _by_item(sort_texts(files.read_text_chunks(spark, _item_files(spark, sf), chunk=64,
+                                                      halo=16)))
+
+
+def file_types(spark, sf):
+    return _by_item(types.classify_suffixes(files.read_text_chunks(
+        spark, _item_files(spark, sf), chunk=64, halo=16)))
+
+
+def damaged_order_errors(spark, sf):
+    """Errors found in arrays of which two ranks are exchanged, one is missing, one is doubled."""
+    texts = chunk_texts(_table(spark, sf, "benchmark"), "item_id", "text")
+    sa, rank = sort_texts(texts), F.col("rank")
+    damaged = {
+        "swapped": sa.withColumn("rank", F.when(rank == 2, 5).when(rank == 5, 2).otherwise(rank)),
+        "missing": sa.filter(rank != 4),
+        "doubled": sa.withColumn("rank", F.when(rank == 3, 4).otherwise(rank))}
+    found = [positions.suffix_order_errors(rows, explode_symbols(texts))
+             .groupBy(F.lit(name).alias("damage"), "text_id", "error")
+             .agg(F.count("*").alias("n")) for name, rows in damaged.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def stored_suffix_array(spark, sf):
     folder = _fresh_folder(spark)
     files.write_suffix_array(suffix_array(_table(spark, sf, "benchmark"), "item_id", "text"),
@@ -264,7 +316,8 @@ QUERIES = [
     pair_names, reduced_text, star_suffix_order, plus_suffix_order, minus_suffix_order,
     symbol_histogram, bucket_starts, minus_star_counts, plus_star_counts, plus_counts,
     sa_summary, preceding_symbol, suffix_order_errors, packed_positions, packed_roundtrip,
-    packed_as_text, stored_suffix_array,
+    packed_as_text, stored_suffix_array, packed_overwrite, sa_files, sa_file_chunks, file_types,
+    damaged_order_errors,
 ]
 
 
@@ -448,6 +501,35 @@ FROM ({_sa_sql(PARTS)})""",
 SELECT p AS sym, count(*) AS count
 FROM (SELECT unnest(range(0, octet_length(encode(p_name)))) AS p FROM part) GROUP BY p""",
     "stored_suffix_array": _sa_sql(BENCHMARK),
+    "packed_overwrite": _sa_sql(PARTS),
+    "sa_files": _sa_sql(BENCHMARK),
+    "sa_file_chunks": _sa_sql(BENCHMARK),
+    "file_types": f"""WITH {TYPES.replace(TURNS, BENCHMARK)}
+SELECT text_id, pos, sym, is_minus, coalesce(is_minus_star, false) AS is_minus_star,
+       coalesce(is_plus_star, false) AS is_plus_star FROM sr""",
+    "damaged_order_errors": f"""
+WITH {SYMBOLS.replace(TURNS, BENCHMARK)},
+sa AS ({_sa_sql(BENCHMARK)}),
+da AS (SELECT 'swapped' AS damage, text_id, pos,
+              CASE rank WHEN 2 THEN 5 WHEN 5 THEN 2 ELSE rank END AS rank FROM sa
+       UNION ALL SELECT 'missing', text_id, pos, rank FROM sa WHERE rank <> 4
+       UNION ALL SELECT 'doubled', text_id, pos, CASE rank WHEN 3 THEN 4 ELSE rank END FROM sa),
+su AS (SELECT d.damage, d.text_id, d.pos, d.rank, sym, coalesce(a.rank, -1) AS ahead
+       FROM da AS d JOIN sy ON sy.text_id = d.text_id AND sy.pos = d.pos
+       LEFT JOIN da AS a ON a.damage = d.damage AND a.text_id = d.text_id AND a.pos = d.pos + 1),
+er AS (SELECT damage, sy.text_id, 'position missing or not in the text' AS error
+       FROM sy CROSS JOIN (SELECT DISTINCT damage FROM da) AS k
+       WHERE NOT EXISTS (SELECT 1 FROM da WHERE da.damage = k.damage AND da.text_id = sy.text_id
+                         AND da.pos = sy.pos)
+       UNION ALL SELECT damage, text_id, 'rank given twice' FROM da
+       GROUP BY damage, text_id, rank HAVING count(*) > 1
+       UNION ALL SELECT s.damage, s.text_id, 'suffix is not below the next' FROM su AS s
+       JOIN su AS t ON t.damage = s.damage AND t.text_id = s.text_id AND t.rank = s.rank + 1
+       WHERE s.sym > t.sym OR s.sym = t.sym AND s.ahead >= t.ahead
+       UNION ALL SELECT t.damage, t.text_id, 'rank missing' FROM su AS t
+       WHERE t.rank > 0 AND NOT EXISTS (SELECT 1 FROM su AS s WHERE s.damage = t.damage
+             AND s.text_id = t.text_id AND s.rank = t.rank - 1))
+SELECT damage, text_id, error, count(*) AS n FROM er GROUP BY damage, text_id, error""",
 }
 
 

@@ -4,14 +4,17 @@ A text file is fixed-width unsigned symbols, low byte first, with no header; its
 size over the symbol width.  A packed suffix array is a folder of part files of ``width``-byte
 positions, low byte first, whose name order is ``(text_id, rank)`` order, so that the parts of one
 text, joined, are its suffix array.  A small Parquet file next to each part tells which ranks of
-which texts it holds.
+which texts it holds.  A list of the parts, written last and in one step, makes an export valid:
+until then the export before it is what is read, and a folder without a list is no export.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
                                     InputPartition, WriterCommitMessage)
@@ -41,6 +45,17 @@ def _index_of(part: str) -> str:
     return f"{folder}/_{name}.index"
 
 
+PARTS = "_parts.json"
+
+
+def _parts(fs: pafs.FileSystem, root: str) -> list[str] | None:
+    """The parts that a folder's list names, in order; None without a list."""
+    if fs.get_file_info(f"{root}/{PARTS}").type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(f"{root}/{PARTS}") as file:
+        return [f"{root}/{name}" for name in json.loads(file.read())]
+
+
 def _files(path: str) -> list[pafs.FileInfo]:
     """The data files of a folder, or the one file named, in name order."""
     fs, inner = _open(path)
@@ -49,6 +64,9 @@ def _files(path: str) -> list[pafs.FileInfo]:
         raise FileNotFoundError(path)
     if info.type == pafs.FileType.File:
         return [info]
+    parts = _parts(fs, inner)
+    if parts is not None:
+        return fs.get_file_info(parts)
     found = fs.get_file_info(pafs.FileSelector(inner, recursive=False))
     return sorted((f for f in found if f.type == pafs.FileType.File
                    and f.base_name[0] not in "._"),
@@ -135,6 +153,27 @@ def read_text_chunks(spark: SparkSession, path: str, symbol_bytes: int = 1, chun
     return Texts(chunks, symbol_bytes, chunk, halo)
 
 
+def write_texts(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
+    """Write every text (string or binary) that is not null to a file ``<id>.txt`` in a folder.
+
+    A task that runs again writes the same files.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(path)
+        for batch in batches:
+            for name, text in zip(*(column.to_pylist() for column in batch.columns)):
+                with fs.open_output_stream(f"{root}/{quote(name, safe='')}.txt",
+                                           compression=None) as file:
+                    file.write(text)
+            yield batch.slice(0, 0)
+
+    fs, root = _open(path)
+    fs.create_dir(root, recursive=True)
+    named = df.select(F.col(id_col).cast("string").alias("id"),
+                      F.col(text_col).cast("binary").alias("text")).filter("text IS NOT NULL")
+    named.mapInArrow(write, named.schema).write.format("noop").mode("overwrite").save()
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Byte files of less than 2 GB as one row each: ``texts(text_id, text)``."""
     return spark.read.format("binaryFile").load(path).selectExpr("path AS text_id",
@@ -186,18 +225,18 @@ class PackedPositions(DataSource):
 
 
 class PackedWriter(DataSourceArrowWriter):
-    """Each task writes under the job's own hidden folder; the commit moves what it reports."""
+    """Each task writes files of its own in the job's folder; the commit lists what it reports."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.width = int(options["width"])
         self.limit = int(options["max_records"]) or 1 << 62
-        self.job = f"_job-{uuid.uuid4().hex}"
+        self.job = f"parts-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         context = TaskContext.get()
         fs, root = _open(self.path)
-        folder = f"{root}/{self.job}/{context.taskAttemptId()}"
+        folder = f"{root}/{self.job}"
         fs.create_dir(folder, recursive=True)
         written, out, room, index = [], None, 0, []
 
@@ -213,7 +252,8 @@ class PackedWriter(DataSourceArrowWriter):
                     if out is not None:
                         close()
                     written.append(f"{folder}/part-{context.partitionId():06d}-"
-                                   f"{len(written):06d}.sa{self.width}")
+                                   f"{len(written):06d}-{context.taskAttemptId()}"
+                                   f".sa{self.width}")
                     out, room, index = fs.open_output_stream(written[-1]), self.limit, []
                 piece = batch.slice(at, min(room, BATCH))
                 out.write(self.pack(piece.column("pos").to_numpy()).tobytes())
@@ -243,12 +283,14 @@ class PackedWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         fs, root = _open(self.path)
-        for message in messages:
-            for path in message.files if message is not None else []:
-                final = f"{root}/{path.rsplit('/', 1)[1]}"
-                fs.move(_index_of(path), _index_of(final))
-                fs.move(path, final)
-        self.abort(messages)
+        names = sorted(path.removeprefix(f"{root}/") for message in messages
+                       if message is not None for path in message.files)
+        with fs.open_output_stream(f"{root}/{PARTS}.{self.job}") as file:
+            file.write(json.dumps(names).encode())
+        fs.move(f"{root}/{PARTS}.{self.job}", f"{root}/{PARTS}")
+        for info in fs.get_file_info(pafs.FileSelector(root, recursive=False)):
+            if info.base_name.startswith("parts-") and info.base_name != self.job:
+                fs.delete_dir(info.path)        # what the export before this one wrote
 
     def abort(self, messages: list) -> None:
         fs, root = _open(self.path)
@@ -300,7 +342,8 @@ def export_packed(sa: DataFrame, path: str, width: int = 5, mode: str = "errorif
                   rows: int | None = None, max_records: int = 0) -> None:
     """Write a suffix array (long or string ids) as packed positions of ``width`` bytes.
 
-    ``mode`` is ``'errorifexists'`` or ``'overwrite'``; ``max_records`` bounds a part (0: none).
+    ``mode`` is ``'errorifexists'`` or ``'overwrite'``, which leaves an export that is there in
+    force until the new one is whole; ``max_records`` bounds a part (0: none).
     """
     if mode not in ("errorifexists", "overwrite"):
         raise ValueError("mode must be 'errorifexists' or 'overwrite'")
@@ -309,10 +352,11 @@ def export_packed(sa: DataFrame, path: str, width: int = 5, mode: str = "errorif
     if not 1 <= width <= 8:
         raise ValueError("width must be between 1 and 8 bytes")
     fs, root = _open(path)
-    if fs.get_file_info(root).type != pafs.FileType.NotFound:
-        if mode == "errorifexists":
-            raise FileExistsError(path)
-        fs.delete_dir(root)
+    there = fs.get_file_info(root).type != pafs.FileType.NotFound
+    if there and mode == "errorifexists":
+        raise FileExistsError(path)
+    if there and _parts(fs, root) is None and fs.get_file_info(pafs.FileSelector(root)):
+        raise FileExistsError(f"{path} holds something else than an export")
     fs.create_dir(root, recursive=True)
     spark = sa.sparkSession
     spark.dataSource.register(PackedPositions)
@@ -326,5 +370,7 @@ def export_packed(sa: DataFrame, path: str, width: int = 5, mode: str = "errorif
 
 def import_packed(spark: SparkSession, path: str, width: int = 5) -> DataFrame:
     """Read what ``export_packed`` wrote: ``(text_id, rank, pos)``."""
+    if _parts(*_open(path)) is None:
+        raise FileNotFoundError(f"{path} holds no finished export")
     spark.dataSource.register(PackedPositions)
     return spark.read.format(PackedPositions.name()).option("width", width).load(path)

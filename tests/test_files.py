@@ -1,4 +1,6 @@
+import json
 import os
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from lexorder.functions.ints import (pack_big_endian, pack_little_endian, unpack
                                      unpack_little_endian)
 from lexorder.plans.suffix_array import sort_texts, suffix_array
 from lexorder.sources.files import (export_packed, import_packed, read_text_chunks, read_texts,
-                                    write_suffix_array)
+                                    write_suffix_array, write_texts)
 from lexorder.sources.texts import explode_symbols
 from lexorder.staging import shared_dir
 from tests import model
@@ -26,7 +28,7 @@ def sa(spark):
 def test_packed_round_trip(spark, sa, tmp_path, width):
     folder = str(tmp_path / "out")
     export_packed(sa, folder, width=width, max_records=100)
-    parts = sorted(n for n in os.listdir(folder) if not n.startswith("_"))
+    parts = json.load(open(f"{folder}/_parts.json"))
     assert max(os.path.getsize(f"{folder}/{n}") for n in parts) <= 100 * width
     raw = b"".join(open(f"{folder}/{n}", "rb").read() for n in parts)
     values = [int.from_bytes(raw[i:i + width], "little") for i in range(0, len(raw), width)]
@@ -42,6 +44,40 @@ def test_existing_output_is_kept_unless_overwritten(spark, sa, tmp_path):
         export_packed(sa, folder)
     export_packed(sa.filter("text_id = 2"), folder, mode="overwrite")
     assert import_packed(spark, folder).count() == 6
+    assert len(os.listdir(folder)) == 2         # one folder of parts, and the list
+
+
+def test_failed_overwrite_keeps_what_was_there(spark, sa, tmp_path):
+    folder = str(tmp_path / "out")
+    export_packed(sa, folder, width=2)
+    with pytest.raises(Exception, match="does not fit"):
+        export_packed(sa, folder, width=1, mode="overwrite")
+    assert import_packed(spark, folder, width=2).exceptAll(sa).count() == 0
+
+
+def test_an_export_may_overwrite_what_it_reads(spark, sa, tmp_path):
+    folder = str(tmp_path / "out")
+    export_packed(sa, folder)
+    export_packed(import_packed(spark, folder).filter("text_id <> 1"), folder, mode="overwrite")
+    assert import_packed(spark, folder).count() == 7
+
+
+def test_only_finished_exports_are_read_or_replaced(spark, sa, tmp_path):
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "mine.txt").write_text("x")
+    with pytest.raises(FileNotFoundError, match="finished"):
+        import_packed(spark, str(tmp_path / "other"))
+    with pytest.raises(FileExistsError, match="something else"):
+        export_packed(sa, str(tmp_path / "other"), mode="overwrite")
+
+
+def test_texts_to_files_and_back(spark, tmp_path):
+    df = spark.createDataFrame([("a/b", "é x"), ("c", ""), ("d", None)], "id string, t string")
+    write_texts(df, "id", "t", str(tmp_path / "t"))
+    got = {unquote(r.text_id.rsplit("/", 1)[1]): bytes(r.text)
+           for r in read_texts(spark, str(tmp_path / "t")).collect()}
+    assert got == {"a/b.txt": "é x".encode()}         # an empty file is no row
+    assert (tmp_path / "t" / "c.txt").read_bytes() == b""
 
 
 def test_position_that_does_not_fit_is_an_error(sa, tmp_path):
