@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexorder.functions.ints import unpack_big_endian
 from lexorder.operators.ranking import rank_rows
-from lexorder.sources.texts import Texts
+from lexorder.sources.texts import Texts, symbol_value
 from lexorder.staging import Stages, default_tasks
 
 
@@ -22,7 +21,8 @@ def preceding_symbol(sa: DataFrame, texts: Texts) -> DataFrame:
         F.substring(F.col("data"), at, F.lit(texts.width)))
     return (sa.withColumn("chunk_id", F.expr(f"pos div {texts.chunk}"))
             .join(held, ["text_id", "chunk_id"])
-            .select("text_id", "rank", "pos", unpack_big_endian(before).alias("prev_sym")))
+            .select("text_id", "rank", "pos",
+                    symbol_value(before, texts.width).alias("prev_sym")))
 
 
 def star_suffix_order(stars: DataFrame, reduced_sa: DataFrame) -> DataFrame:

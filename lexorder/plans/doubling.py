@@ -58,12 +58,19 @@ def prefixes(texts: Packed, symbols: int) -> DataFrame:
                     prefix_of_piece(texts.width, symbols).alias("prefix")))
 
 
+def read_size(texts: Packed, symbols: int, count: int) -> int:
+    """Bytes of ``count`` rows with ``symbols`` symbols each, and of the chunks they read."""
+    chunks = min(texts.total, count * (texts.chunk + texts.halo))
+    return (count * symbols + chunks) * texts.width
+
+
 def read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,
-                tasks: int) -> DataFrame:
+               count: int) -> DataFrame:
     """Add ``next``: up to ``symbols`` symbols of each suffix, starting ``depth`` symbols in.
 
     Rows that tie have ``depth`` symbols, so the chunk of the last of them exists; it shows the
-    symbols after it, or that there are none.
+    symbols after it, or that there are none.  Few rows are sent to the chunks first, so that only
+    chunks that are read from move.  Tasks are sized by the bytes that meet in them.
     """
     at = ((F.col("pos") + depth - F.col("beg")) * texts.width + 1).cast("int")
     upcoming = F.substring(F.col("data"), at, F.lit(symbols * texts.width))
@@ -74,6 +81,9 @@ def read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,
         wanted = rows.withColumn("chunk_id", F.expr(f"(pos + {depth - 1}) div {texts.chunk}"))
         key = ["text_id", "chunk_id"]
     held = texts.chunks.select(*key, "beg", "data")
+    if count <= BROADCAST_ROWS:
+        held = held.join(F.broadcast(wanted.select(*key).distinct()), key, "left_semi")
+    tasks = tasks_for(rows.sparkSession, count, read_size(texts, symbols, count))
     return (wanted.repartition(tasks, *key).join(held.repartition(tasks, *key), key)
             .select(*rows.columns, upcoming.alias("next")))
 
@@ -101,9 +111,9 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def rank(rows: DataFrame, group: list[str], key: list[str], count: int, texts: Packed,
-         stages: Stages, name: str) -> DataFrame:
+         stages: Stages, name: str, size: int = 0) -> DataFrame:
     """Rank rows in their groups: by window if a group cannot exceed one chunk, else split up."""
-    tasks = tasks_for(rows.sparkSession, count)
+    tasks = tasks_for(rows.sparkSession, count, size)
     keep = group + ["pos"]
     if texts.single:
         return rank_bounded(rows, group, key, tasks, stages, name, keep, cluster=["text_id"])
@@ -131,13 +141,14 @@ def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: s
         if not by_rank:
             symbols = min(depth, reach)
         if symbols >= depth or not by_rank:     # by rank the length compared at least doubles
-            rows = read_ahead(open_rows, texts, depth, symbols,
-                               tasks_for(ranked.sparkSession, count))
+            rows, size = (read_ahead(open_rows, texts, depth, symbols, count),
+                          read_size(texts, symbols, count))
         else:
             rows = _rank_ahead(open_rows, union([*final, ranked.filter("tied")]), texts, depth,
                                count)
-            symbols = depth
-        ranked = rank(rows, ["text_id", "base"], ["next"], count, texts, stages, f"{name}-{turn}")
+            symbols, size = depth, 0
+        ranked = rank(rows, ["text_id", "base"], ["next"], count, texts, stages, f"{name}-{turn}",
+                      size)
         ranked = ranked.select("text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"),
                                "tied")
         depth += symbols

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from lexorder.operators.names import reduced_text, sequence_ranks, table_names
 from lexorder.operators.types import (Block, following_star, long_runs, map_blocks, star_heads,
                                       with_directory)
-from lexorder.plans.doubling import Packed, prefix_of_piece, rank, read_ahead, refine, union
+from lexorder.plans.doubling import (Packed, prefix_of_piece, rank, read_ahead, read_size, refine,
+                                     union)
 from lexorder.sources.texts import Texts, pack_symbols
-from lexorder.staging import Stages, tasks_for
+from lexorder.staging import Stages
 
 KEY_BYTES = 16          # symbols before the next star that go into the key, in bytes
 ENDS, FAR = -1, 1 << 62     # in place of a star's rank: the text ends; no star within the key
@@ -195,7 +196,8 @@ def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None =
         raise ValueError("kind must be 'minus' or 'plus'")
     stages = stages or Stages(texts.chunks.sparkSession)
     chunks = stages.save(texts.chunks, f"{kind}-chunks")
-    packed = Packed(chunks, texts.width, texts.chunk, texts.halo, texts.single)
+    packed = Packed(chunks, texts.width, texts.chunk, texts.halo, texts.single,
+                    chunks.agg(F.sum("len")).first()[0] or 0)
     symbols = _key_symbols(texts)
     cut = pieces(with_directory(packed), packed, symbols).filter(
         F.col("run_is_plus") == (kind == "plus"))
@@ -214,8 +216,7 @@ def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None =
             return union(final)
         turn += 1
         more = min(depth, texts.halo)
-        read = read_ahead(still.join(info, ["text_id", "pos"]), packed, depth, more,
-                          tasks_for(keys.sparkSession, count))
+        read = read_ahead(still.join(info, ["text_id", "pos"]), packed, depth, more, count)
         left = F.col("star_pos") - F.col("pos") - depth
         shown = F.when(left < more, F.substring(
             F.col("next"), F.lit(1), ((left + 1) * texts.width).cast("int"))).otherwise(
@@ -223,6 +224,6 @@ def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None =
         rows = read.withColumn("ahead", ahead(F.col("next"), left, more, texts.width)).withColumn(
             "next", shown)
         ranked = rank(rows, ["text_id", "base"], ["next", "ahead"], count, packed, stages,
-                      f"{kind}-{turn}").select(
+                      f"{kind}-{turn}", read_size(packed, more, count)).select(
             "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"), "tied")
         depth += more

@@ -135,12 +135,17 @@ def add_halo(texts: Texts) -> Texts:
     return Texts(whole, width, chunk, halo)
 
 
+def symbol_value(symbol: Column, width: int) -> Column:
+    """A packed symbol as an integer, null for null."""
+    if width == 1:      # ascii() of a one-byte Latin-1 string is the byte's value
+        return F.ascii(F.decode(symbol, "ISO-8859-1")).cast("long")
+    return unpack_big_endian(symbol)
+
+
 def explode_symbols(texts: Texts) -> DataFrame:
     """One row per symbol: ``symbols(text_id, pos, sym)``."""
     symbol = F.substring(F.col("data"), F.col("i") * texts.width + 1, F.lit(texts.width))
-    # ascii() of a one-byte Latin-1 string is the byte's value.
-    value = (F.ascii(F.decode(symbol, "ISO-8859-1")).cast("long") if texts.width == 1
-             else unpack_big_endian(symbol))
+    value = symbol_value(symbol, texts.width)
     return (texts.chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
             .select("text_id", (F.col("beg") + F.col("i")).alias("pos"), value.alias("sym")))
 

@@ -65,10 +65,15 @@ def default_tasks(spark: SparkSession) -> int:
     return max(2 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-ROWS_PER_TASK = 1_000_000       # rows that one sort task should hold
+# What one sort task should hold.
+ROWS_PER_TASK = 1_000_000
+BYTES_PER_TASK = 256 << 20
 
 
-def tasks_for(spark: SparkSession, rows: int) -> int:
-    """Task count for an exchange of ``rows`` narrow rows, in full waves of the cluster's cores."""
+def tasks_for(spark: SparkSession, rows: int, size: int = 0) -> int:
+    """Task count for an exchange of ``rows`` rows, in full waves of the cluster's cores.
+
+    ``size`` are the bytes exchanged, where the rows are not narrow.
+    """
     wave = parallelism(spark)
-    return -(-max(rows, 1) // (ROWS_PER_TASK * wave)) * wave
+    return max(1, -(-rows // (ROWS_PER_TASK * wave)), -(-size // (BYTES_PER_TASK * wave))) * wave
