@@ -12,17 +12,21 @@ from lexorder.plans.induced import induced
 from lexorder.sources.texts import CHUNK, HALO, Texts, chunk_texts
 from lexorder.staging import Stages, default_tasks
 
-MANY_TIES = 0.25        # share of suffixes tied on their prefix that makes a text repetitive
+MANY_TIES = 0.75        # share of suffixes tied on their prefix that makes a text repetitive
+WORTH = 0.25            # share of all suffixes in such texts from which levels of names pay
 
 
 def automatic(texts: Packed, stages: Stages, name: str = "auto") -> DataFrame:
-    """``doubling``, and ``induced`` for the texts of which many suffixes tie after round 0."""
+    """``doubling``, and ``induced`` for the texts of which many suffixes tie after round 0.
+
+    Levels of names are many jobs, so a few such texts among others are refined with them.
+    """
     ranked, symbols = first_order(texts, stages, name)
     ties = ranked.groupBy("text_id").agg(F.count("*").alias("n"), F.count_if("tied").alias("ties"))
     repetitive = stages.save(ties.filter(F.col("ties") > MANY_TIES * F.col("n")),
                              f"{name}-repetitive")
     total = repetitive.agg(F.sum("n")).first()[0] or 0
-    if total == 0:
+    if total <= WORTH * texts.total:
         return refine(ranked, symbols, texts, stages, name)
     parts = [induced(replace(texts, total=total, chunks=texts.chunks.join(
         repetitive, "text_id", "left_semi")), stages, f"{name}-induced")]
