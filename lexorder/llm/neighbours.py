@@ -16,7 +16,9 @@ first; what a query has found by then is a bound below which later visits hand n
 
 The number of directions grows with the logarithm of the points, so that buckets keep their size.
 The number of visited buckets is fitted on a sample (``FIT_POINTS``, ``FIT_QUERIES``) until the
-sample's recall reaches ``RECALL``; every vector is indexed.
+sample's recall reaches ``RECALL``; every vector is indexed.  Queries that have met too few points
+for ``top`` neighbours by then visit twice as many buckets, and so on; those that still have too few
+after ``MORE_ROUNDS`` rounds are compared with all points, in blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do those whose length differs from the most common one (the larger on a tie), nor rows with a
@@ -46,6 +48,7 @@ MOST_DIRECTIONS = 16
 FIT_POINTS = 10_000
 FIT_QUERIES = 100
 RECALL = 0.96
+MORE_ROUNDS = 2            # of twice the visits, for queries that have met too few points
 BLOCK = 2048               # points, or queries, that travel together
 
 
@@ -247,41 +250,46 @@ def neighbours(df: DataFrame, is_query: Column, vec_id: str = "vec_id",
     hashing = Hashing.drawn(found["dims"], found["n"], found["norm"], tables)
     part = max(1, -(-found["n"] // FIT_POINTS))
     sample = points.filter(F.pmod(F.xxhash64("point", F.lit("fit")), F.lit(part)) == 0)
-    sample = np.array([r[0] for r in sample.orderBy("point").select("vector").collect()])
+    sample = np.array([r[0] for r in sample.orderBy(
+        F.xxhash64("point", F.lit("asked")), "point").select("vector").collect()])
     most = fit_probes(sample.reshape(len(sample), -1), hashing, top) if len(sample) else 1
-    shared = spark.sparkContext.broadcast((hashing, most))
+    shared = spark.sparkContext.broadcast(hashing)
     point_type = points.schema["point"].dataType.simpleString()
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             vectors = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-            buckets = shared.value[0].buckets(vectors)
+            buckets = shared.value.buckets(vectors)
             for t in range(buckets.shape[1]):
                 yield pd.DataFrame({"point": frame["point"], "vector": frame["vector"],
                                     "place": t, "bucket": [_key(b) for b in buckets[:, t]]})
 
-    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, most = shared.value
-        for frame in frames:
-            for at in range(0, len(frame), 64):
-                some = frame.iloc[at:at + 64]
-                visits = hashed.probes(np.stack(some["vector"].to_numpy()).astype(np.float64),
-                                       most)
-                yield pd.DataFrame(
-                    [(p, v, t, _key(b), n) for p, v, tables in
-                     zip(some["point"], some["vector"], visits)
-                     for t, sequence in enumerate(tables) for n, b in enumerate(sequence)],
-                    columns=["point", "vector", "place", "bucket", "turn"])
+    def visits_of(begin: int, end: int):
+        def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for at in range(0, len(frame), 64):
+                    some = frame.iloc[at:at + 64]
+                    visits = shared.value.probes(
+                        np.stack(some["vector"].to_numpy()).astype(np.float64), end)
+                    yield pd.DataFrame(
+                        [(p, v, t, _key(b), n) for p, v, tables in
+                         zip(some["point"], some["vector"], visits)
+                         for t, sequence in enumerate(tables)
+                         for n, b in enumerate(sequence) if n >= begin],
+                        columns=["point", "vector", "place", "bucket", "turn"])
+
+        return visit
 
     placed = (f"point {point_type}, vector {points.schema['vector'].dataType.simpleString()}, "
               "place int, bucket string")
     held = stages.save(points.select("point", "vector").mapInPandas(index, placed), "index")
     queries = points.join(asking.select("point").distinct(), "point").select("point", "vector")
     # Buckets that hold nothing are not visited.
-    visits = stages.save(
-        queries.mapInPandas(visit, f"{placed}, turn int").join(
-            held.select("place", "bucket").distinct(), ["place", "bucket"], "left_semi"),
-        "visits")
+    def visited(asked: DataFrame, begin: int, end: int) -> DataFrame:
+        return asked.mapInPandas(visits_of(begin, end), f"{placed}, turn int").join(
+            held.select("place", "bucket").distinct(), ["place", "bucket"], "left_semi")
+
+    visits = stages.save(visited(queries, 0, most), "visits")
 
     def compare(key: tuple, members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(asked):
@@ -306,7 +314,7 @@ def neighbours(df: DataFrame, is_query: Column, vec_id: str = "vec_id",
     keys = ["place", "bucket", "held_part", "visit_part"]
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "id", "hash")
 
-    def met(some: DataFrame) -> DataFrame:
+    def met(some: DataFrame, held: DataFrame = held) -> DataFrame:
         members, asked = _meetings(held, some, block)
         return (members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
             compare, f"query {point_type}, score double, id {id_type}, hash long"))
@@ -324,6 +332,25 @@ def neighbours(df: DataFrame, is_query: Column, vec_id: str = "vec_id",
                .withColumn("bound", F.coalesce("bound", F.lit(least))))
     # The same point found in several tables counts once.
     merged = stages.save(best(early.drop("n").union(late)), "merged")
+    counts = points.select(F.col("point.id").alias("id"), F.col("point.hash").alias("hash"),
+                           F.size("ids").alias("copies"))
+    for step in range(MORE_ROUNDS + 1):
+        # All that a query has met is in ``merged`` while that is fewer than top + 1.
+        enough = (merged.join(counts, ["id", "hash"]).groupBy("query")
+                  .agg(F.sum("copies").alias("rows")).filter(F.col("rows") > top)
+                  .select(F.col("query").alias("point")))
+        short = stages.save(queries.join(enough, "point", "left_anti"), f"short-{step}")
+        if short.isEmpty() or found["n"] == 1:
+            break
+        if step < MORE_ROUNDS:
+            more = met(visited(short, most, 2 * most).withColumn("bound", F.lit(least)))
+            most *= 2
+        else:
+            whole = [F.lit(-1).alias("place"), F.lit("").alias("bucket")]
+            more = met(short.select("point", "vector", *whole, F.lit(0).alias("turn"),
+                                    F.lit(least).alias("bound")),
+                       points.select("point", "vector", *whole))
+        merged = stages.save(best(merged.drop("n").union(more)), f"merged-{step}")
     named = merged.join(points.select(F.col("point.id").alias("id"),
                                       F.col("point.hash").alias("hash"), "ids"), ["id", "hash"])
     each = (named.join(asking.select(F.col("id").alias("query_id"),

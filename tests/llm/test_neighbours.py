@@ -64,6 +64,17 @@ def test_few_and_none(spark):
     assert got(table(spark, rows)) == brute(rows, lambda i: i % 20 == 0)
 
 
+def test_queries_of_sparse_regions_get_all_their_neighbours(spark, monkeypatch):
+    """One visit serves a dense cluster, but not the queries around it."""
+    rng = random.Random(3)
+    rows = [(i, [5 + rng.gauss(0, 0.001) for _ in range(8)], 0) for i in range(1, 3000)]
+    rows += [(20_000 + 20 * i, [rng.gauss(0, 5) for _ in range(8)], 0) for i in range(40)]
+    monkeypatch.setattr(A, "fit_probes", lambda *a, **k: 1)
+    monkeypatch.setattr(A, "BUCKET_POINTS", 4)
+    found = A.neighbours(table(spark, rows), F.col("id") >= 20_000).groupBy("query_id").count()
+    assert sorted(map(tuple, found.collect())) == [(20_000 + 20 * i, 20) for i in range(40)]
+
+
 def test_visits_come_in_order():
     rng = np.random.default_rng(2)
     place = rng.uniform(-3, 3, 4)
