@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, language_id, lattice_lm, line_dedup, mixing, neighbours, pii, ring,
-               simhash, warc)
+               simhash, spelling, warc)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf, "pages"))
 
 
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_forms(_table(spark, sf, "documents"))
+
+
 QUERIES = [op1_language_id, op2_simhash, op3_mixing, op4_lattice_lm, op5_decontaminate,
-           op6_ring_shards, op7_neighbours, op8_pii, op9_line_dedup, op10_warc]
+           op6_ring_shards, op7_neighbours, op8_pii, op9_line_dedup, op10_warc, op13_spelling]
 
 # A window is known by its three lines; a row by its id and text.
 LINE_DEDUP = """
@@ -87,4 +91,38 @@ SELECT page_id, payload_bytes, p.payload_digest,
        CASE WHEN page_id < target THEN target END AS refers_to
 FROM p LEFT JOIN t ON t.payload_digest = p.payload_digest"""
 
-SQL: dict[str, str] = {"op9_line_dedup": LINE_DEDUP, "op10_warc": WARC}
+# Near words share what is left without one code point; crc32 goes byte by byte through its table.
+SPELLING = """
+WITH RECURSIVE t AS (
+SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1
+       THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+o AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+             AS run
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run
+            FROM documents) WHERE length(run) >= 7),
+b AS (SELECT run, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h
+      FROM (SELECT doc_id, run, count(*) AS times FROM o GROUP BY ALL)),
+c AS (SELECT run, times, xor(4294967295, list_reduce([4294967295] || list_transform(
+             range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+             lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS code FROM b, t),
+w AS (SELECT CASE WHEN code % 31 = 0 THEN substr(run, 1, code % length(run))
+                  || substr(run, code % length(run) + 2) ELSE run END AS word,
+             sum(times)::BIGINT AS n FROM c GROUP BY 1),
+v AS (SELECT word, n FROM w WHERE length(word) >= 7 AND n >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less
+      FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d AS a JOIN d AS b
+      ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM d AS a JOIN v AS b ON a.less = b.word
+      UNION SELECT b.word, a.word, a.n FROM d AS a JOIN v AS b ON a.less = b.word),
+g AS (SELECT word, count(*) AS n_near, max(near_n) AS form_n,
+             arg_min(near, (-near_n, encode(near))) AS form FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN form_n >= 10 * v.n THEN form END AS form,
+             CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n
+      FROM v LEFT JOIN g ON g.word = v.word),
+r AS (SELECT word, word AS root FROM f WHERE form IS NULL
+      UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word"""
+
+SQL: dict[str, str] = {"op9_line_dedup": LINE_DEDUP, "op10_warc": WARC, "op13_spelling": SPELLING}
