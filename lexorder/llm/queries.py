@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language_id, lattice_lm, line_dedup, mixing, neighbours, pii, ring,
-               simhash, spelling, warc)
+from . import (decontaminate, language_id, lattice_lm, licences, line_dedup, mixing, neighbours,
+               pii, ring, simhash, spelling, warc, whitening)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -56,12 +56,21 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf, "pages"))
 
 
+def op11_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf, "embeddings"))
+
+
 def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_forms(_table(spark, sf, "documents"))
 
 
 QUERIES = [op1_language_id, op2_simhash, op3_mixing, op4_lattice_lm, op5_decontaminate,
-           op6_ring_shards, op7_neighbours, op8_pii, op9_line_dedup, op10_warc, op13_spelling]
+           op6_ring_shards, op7_neighbours, op8_pii, op9_line_dedup, op10_warc, op11_licences,
+           op12_whitening, op13_spelling]
 
 # A window is known by its three lines; a row by its id and text.
 LINE_DEDUP = """
