@@ -72,8 +72,34 @@ def test_nulls_copies_and_clashing_names(spark):
     assert C.keep_one(frame(spark, [])).collect() == []
 
 
-def test_rounds_leave_no_link_out(spark, monkeypatch):
-    monkeypatch.setattr(C, "FEW", 0)
+def test_small_parts_leave_no_link_out(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART", 7)
     rows = near_copies(7)
+    rng = random.Random(8)
+    # Texts with a passage in common share keys without being similar.
+    passage = " ".join(f"p{i}" for i in range(90))
+    rows += [(8000 + i, passage + " " + " ".join(f"w{rng.randrange(9000)}" for _ in range(40)),
+              "en", "s", 1) for i in range(60)]
+    rows += [(8200 + i, rows[-1 - i][1] + " end", "en", "s", 1) for i in range(5)]
     ids = sorted((r["doc_id"] for r in C.keep_one(frame(spark, rows)).collect()), key=str)
     assert ids == brute_kept(rows)
+
+
+def test_large_group_is_done_by_few_comparisons(monkeypatch):
+    """A part of near copies compares its first text with all, and hands on a tree."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    text = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [edited(rng, text, 1).encode() for _ in range(400)]
+    sets = [C.shingle_set(t) for t in texts]
+    asked = []
+    real = C._similar_to
+    monkeypatch.setattr(C, "_similar_to", lambda one, others: (asked.append(len(others)),
+                                                               real(one, others))[1])
+    n = list(range(400))
+    found = C._links(pa.table({
+        "node": n, "root": n, "part": [0] * 400, "size": [len(s) for s in sets],
+        "keys": [C.band_keys(s) for s in sets], "text": pa.array(texts, pa.binary())}))
+    assert found.num_rows == 399
+    assert sum(asked) < 2 * 400
