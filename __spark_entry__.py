@@ -183,6 +183,20 @@ def minus_suffix_order(spark, sf):
     return induce(_turn_texts(spark, sf), star_suffix_order(spark, sf), "minus")
 
 
+def sa_merged(spark, sf):
+    """Plus suffixes from the minus-stars, minus suffixes from the plus-stars, and both merged."""
+    texts = _turn_texts(spark, sf)
+    typed = types.classify_suffixes(texts)
+    plus = induce(texts, star_suffix_order(spark, sf), "plus")
+    plus_stars = positions.order_within(plus, typed.filter("is_plus_star"))
+    minus = induce(texts, plus_stars, "minus", stars="plus")
+    return positions.merge_orders(minus, plus, counts.type_counts(typed), texts)
+
+
+def type_counts(spark, sf):
+    return counts.type_counts(suffix_types(spark, sf))
+
+
 # --- counts -----------------------------------------------------------------------------------
 
 def symbol_histogram(spark, sf):
@@ -315,7 +329,7 @@ QUERIES = [
     minus_star, plus_star, next_star, star_substrings, star_index, star_names, n_names,
     pair_names, reduced_text, star_suffix_order, plus_suffix_order, minus_suffix_order,
     symbol_histogram, bucket_starts, minus_star_counts, plus_star_counts, plus_counts,
-    sa_summary, preceding_symbol, suffix_order_errors, packed_positions, packed_roundtrip,
+    sa_summary, sa_merged, type_counts, preceding_symbol, suffix_order_errors, packed_positions, packed_roundtrip,
     packed_as_text, stored_suffix_array, packed_overwrite, sa_files, sa_file_chunks, file_types,
     damaged_order_errors,
 ]
@@ -472,6 +486,10 @@ SELECT text_id, pos, dense_rank() OVER (
     "star_suffix_order": _order_sql("is_minus_star"),
     "plus_suffix_order": _order_sql("NOT is_minus"),
     "minus_suffix_order": _order_sql("is_minus"),
+    "sa_merged": _sa_sql(TURNS),
+    "type_counts": f"""WITH {TYPES}
+SELECT text_id, sym, count(*) FILTER (is_minus) AS n_minus,
+       count(*) FILTER (NOT is_minus) AS n_plus FROM sr GROUP BY text_id, sym""",
     "symbol_histogram": HISTOGRAM,
     "bucket_starts": f"""
 SELECT text_id, sym, count, (coalesce(sum(count) OVER (PARTITION BY text_id ORDER BY sym

@@ -83,6 +83,12 @@ def plus_counts(typed: DataFrame) -> DataFrame:
     return dense_counts(typed, "NOT is_minus")
 
 
+def type_counts(typed: DataFrame) -> DataFrame:
+    """``(text_id, sym, n_minus, n_plus)``: suffixes of either kind per first symbol."""
+    return typed.groupBy("text_id", "sym").agg(
+        F.count_if("is_minus").alias("n_minus"), F.count_if(~F.col("is_minus")).alias("n_plus"))
+
+
 def text_summary(typed: DataFrame, n_names: DataFrame) -> DataFrame:
     """One row per text: length, distinct symbols, largest symbol, stars and names.
 

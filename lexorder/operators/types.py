@@ -9,18 +9,19 @@ after it comes from a directory with one small row per chunk of the texts that h
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import WindowSpec
 
+from lexorder.operators.scans import scan_rows
 from lexorder.sources.texts import Texts
+from lexorder.staging import Stages
 
 SLICE = 1 << 20     # bytes of chunk data handled at once inside a task
 UNKNOWN = -1
@@ -128,14 +129,8 @@ def _single() -> Column:
     return (F.col("chunk_id") == 0) & F.col("last")
 
 
-def _later() -> WindowSpec:
-    """The later chunks of a text, the nearest last; one row per chunk, 2^39 / 2^16 at most."""
-    return (Window.partitionBy("text_id").orderBy(F.col("chunk_id").desc())
-            .rowsBetween(Window.unboundedPreceding, -1))
-
-
 UNDECIDED = {"next_minus": "boolean", "next_run_end": "long", "star_base": "long",
-             "next_star": "long"}
+             "next_star": "long", "next_plus_star": "long"}
 
 
 def _without_neighbours(columns: list[str]) -> list[Column]:
@@ -144,71 +139,77 @@ def _without_neighbours(columns: list[str]) -> list[Column]:
             for name in columns]
 
 
-def chunk_directory(texts: Texts) -> DataFrame:
+def chunk_directory(texts: Texts, stages: Stages) -> DataFrame:
     """A small row per chunk of the texts that have several, from one pass over the blocks.
 
     ``(text_id, chunk_id)`` with what the chunk must know of the others: the type of the position
     after it (``next_minus``), where the run there ends (``next_run_end``), the minus-stars of
-    earlier chunks (``star_base``) and the first one of the later chunks (``next_star``).
+    earlier chunks (``star_base``) and the first star of either kind of the later chunks
+    (``next_star``, ``next_plus_star``).  Chunks of a text are spread over the tasks.
     """
-    key = ["text_id", "chunk_id"]
     long = texts.chunks.filter(~_single())
 
     def rows(block: Block) -> list:
         head = block.start
         open_run = block.leaves[head]
-        at = np.flatnonzero(block.minus_star)
-        count = np.bincount(block.row[at], minlength=len(head))
         place = block.beg[block.row] + block.off
-        first = np.zeros(len(head), dtype=np.int64)
-        first[block.row[at][::-1]] = place[at][::-1]
-        # The first position of a run that leaves the chunk is a star if the run is minus.
-        maybe = np.flatnonzero(block.own & block.leaves & (block.before == 0) & (place > 0))
-        open_star = np.full(len(head), -1, dtype=np.int64)
-        open_star[block.row[maybe]] = place[maybe]
+
+        def first(star):
+            at = np.flatnonzero(star)
+            found = np.full(len(head), -1, dtype=np.int64)
+            found[block.row[at][::-1]] = place[at][::-1]
+            return pa.array(found, mask=found < 0)
+
+        # The first position of a run that leaves the chunk is a star if the run is of its kind.
+        start = block.own & block.leaves & (place > 0)
+        count = np.bincount(block.row[block.minus_star], minlength=len(head))
         return [block.batch.column("text_id"), block.batch.column("chunk_id"),
                 pa.array(block.minus[head] == 1, mask=open_run),
                 pa.array(block.beg + block.run_stop[head] - head + 1, mask=open_run),
-                pa.array(count), pa.array(first, mask=count == 0),
-                pa.array(open_star, mask=open_star < 0)]
-
-    found = map_blocks(long.select("*", *_without_neighbours(["next_minus", "next_run_end"])),
-                       texts, {"chunk_id": T.LongType(), "minus": T.BooleanType(),
-                               "run_end": T.LongType(), "stars": T.LongType(),
-                               "first_star": T.LongType(), "open_star": T.LongType()}, rows)
+                pa.array(count), first(block.minus_star), first(block.plus_star),
+                first(start & (block.before == 0)), first(start & (block.before == 1))]
+
+    found = stages.save(
+        map_blocks(long.select("*", *_without_neighbours(["next_minus", "next_run_end"])), texts,
+                   {"chunk_id": T.LongType(), "minus": T.BooleanType(), "run_end": T.LongType(),
+                    "stars": T.LongType(), "first_star": T.LongType(),
+                    "first_plus": T.LongType(), "open_star": T.LongType(),
+                    "open_plus": T.LongType()}, rows), "blocks")
+    count = found.count()
     # A chunk that is one run to the end of its look-ahead has the answers of the chunk after it.
-    typed = found.select(
-        "*", F.last("minus", ignorenulls=True).over(_later()).alias("next_minus"),
-        F.last("run_end", ignorenulls=True).over(_later()).alias("next_run_end"))
+    typed = scan_rows(found, "text_id", "chunk_id", {},
+                      {"next_minus": "minus", "next_run_end": "run_end"}, count, stages, "runs")
     opened = F.when(F.col("next_minus"), F.col("open_star"))
-    starred = typed.withColumn("stars", F.col("stars") + F.when(opened.isNotNull(), 1).otherwise(
-        0)).withColumn("first_star", F.coalesce("first_star", opened))
-    earlier = (Window.partitionBy("text_id").orderBy("chunk_id")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    return starred.select(
-        *key, "next_minus", "next_run_end",
-        F.coalesce(F.sum("stars").over(earlier), F.lit(0)).alias("star_base"),
-        F.last("first_star", ignorenulls=True).over(_later()).alias("next_star"))
-
-
-def _joined(texts: Texts, columns: list[str]) -> DataFrame:
+    opened_plus = F.when(~F.col("next_minus"), F.col("open_plus"))
+    starred = typed.select(
+        "text_id", "chunk_id", "next_minus", "next_run_end",
+        (F.col("stars") + F.when(opened.isNotNull(), 1).otherwise(0)).alias("stars"),
+        F.coalesce("first_star", opened).alias("first_star"),
+        F.coalesce("first_plus", opened_plus).alias("first_plus"))
+    return scan_rows(starred, "text_id", "chunk_id", {"star_base": "stars"},
+                     {"next_star": "first_star", "next_plus_star": "first_plus"}, count, stages,
+                     "stars")
+
+
+def _joined(texts: Texts, columns: list[str], stages: Stages | None) -> DataFrame:
     nothing = _without_neighbours(columns)
     if texts.single:
         return texts.chunks.select("*", *nothing)
     key = ["text_id", "chunk_id"]
+    stages = (stages or Stages(texts.chunks.sparkSession)).inner(f"directory-{uuid.uuid4().hex}")
     long = texts.chunks.filter(~_single())
     return (texts.chunks.filter(_single()).select("*", *nothing).unionByName(
-        long.join(chunk_directory(texts).select(*key, *columns), key)))
+        long.join(chunk_directory(texts, stages).select(*key, *columns), key)))
 
 
-def with_types(texts: Texts) -> DataFrame:
+def with_types(texts: Texts, stages: Stages | None = None) -> DataFrame:
     """The chunks with what decides a run that leaves them (see ``chunk_directory``)."""
-    return _joined(texts, ["next_minus", "next_run_end"])
+    return _joined(texts, ["next_minus", "next_run_end"], stages)
 
 
-def with_directory(texts: Texts) -> DataFrame:
+def with_directory(texts: Texts, stages: Stages | None = None) -> DataFrame:
     """The chunks with all that they must know of the others (see ``chunk_directory``)."""
-    return _joined(texts, list(UNDECIDED))
+    return _joined(texts, list(UNDECIDED), stages)
 
 
 def long_runs(block: Block, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,10 +301,11 @@ def symbol_pairs(texts: Texts) -> DataFrame:
         "tail_is_plus": T.BooleanType()}, rows)
 
 
-def following_star(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol: the index of the next minus-star of its chunk after it, and whether any."""
+def following_star(block: Block, kind: str = "minus") -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol: the index of the next star of its chunk after it, and whether any."""
     far = len(block.sym)
-    at = np.where(block.minus_star, np.arange(far), far)
+    star = block.minus_star if kind == "minus" else block.plus_star
+    at = np.where(star, np.arange(far), far)
     following = np.full(far, far)
     following[:-1] = np.minimum.accumulate(at[::-1])[::-1][1:]
     row_end = block.start[block.row] + block.length[block.row]
@@ -398,11 +400,11 @@ def star_substrings(texts: Texts) -> DataFrame:
     its chunk is put together from the chunks it covers.
     """
     chunks, width, chunk = texts.chunks, texts.width, texts.chunk
-    found = stars_with_data(with_directory(texts), texts)
+    directory = with_directory(texts)
+    found = stars_with_data(directory, texts)
     columns = found.columns
-    several = chunks.filter((F.col("chunk_id") > 0) | ~F.col("last"))
-    parts = stars_with_data(with_directory(replace(texts, chunks=several)), texts).filter(
-        F.col("sub").isNull())
+    several = chunks.filter(~_single())
+    parts = stars_with_data(directory.filter(~_single()), texts).filter(F.col("sub").isNull())
     ends = several.filter("last").select("text_id", (F.col("beg") + F.col("len") - 1)
                                          .alias("text_end"))
     begin = F.greatest("pos", "beg") - F.col("beg")

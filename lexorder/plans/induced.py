@@ -32,16 +32,18 @@ def width_of(names: int) -> int:
     return max(1, -(-max(names - 1, 0).bit_length() // 8))
 
 
-def pieces(directory: DataFrame, texts: Packed, symbols: int) -> DataFrame:
+def pieces(directory: DataFrame, texts: Packed, symbols: int, kind: str = "minus") -> DataFrame:
     """Own positions of the chunks, cut at stars of either kind and at long runs.
 
-    The columns of ``run_pieces`` with ``star_pos``, the next minus-star of the positions (null if
-    there is none).  ``data`` ends with that star where it reaches it.  All positions of a piece
-    are of one type, ``run_is_plus``.
+    The columns of ``run_pieces`` with ``star_pos``, the next star of the ``kind`` after the
+    positions (null if there is none).  ``data`` ends with that star where it reaches it.  All
+    positions of a piece are of one type, ``run_is_plus``.
     """
+    ahead_of = "next_star" if kind == "minus" else "next_plus_star"
+
     def rows(block: Block) -> list:
         count = len(block.sym)
-        following, found = following_star(block)
+        following, found = following_star(block, kind)
         left, long, new = long_runs(block, symbols)
         starts = np.flatnonzero(block.own & ((block.off == 0) | block.minus_star
                                              | block.plus_star | new))
@@ -49,7 +51,7 @@ def pieces(directory: DataFrame, texts: Packed, symbols: int) -> DataFrame:
         own_end = block.start[row] + block.length[row]
         size = np.minimum(np.append(starts[1:], count), own_end) - starts
         data_end = np.append(block.start[1:], count)[row]
-        beyond = block.take("next_star", row)
+        beyond = block.take(ahead_of, row)
         outside = np.asarray(beyond.fill_null(0)) - block.beg[row] + block.start[row]
         none = ~found[starts] & np.asarray(beyond.is_null())
         target = np.where(found[starts], following[starts], outside)
@@ -175,8 +177,8 @@ def induced(texts: Packed, stages: Stages, name: str = "induced") -> DataFrame:
     a text apart.
     """
     symbols = _key_symbols(texts)
-    directory = with_directory(texts)
     inner = stages.inner(f"{name}-stars")
+    directory = with_directory(texts, inner)
     stars = star_order(texts, inner, name, directory)
     keys = sort_keys(pieces(directory, texts, symbols), stars, texts.width, symbols)
     first = rank(keys, ["text_id"], ["prefix", "ahead"], texts.total, texts, stages,
@@ -185,25 +187,40 @@ def induced(texts: Packed, stages: Stages, name: str = "induced") -> DataFrame:
     return refine(first, symbols, texts, stages, name)
 
 
-def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None = None) -> DataFrame:
-    """``(text_id, rank, pos)`` of the plus or minus suffixes, from the minus-stars' order.
+def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None = None,
+           stars: str = "minus") -> DataFrame:
+    """``(text_id, rank, pos)`` of the plus or minus suffixes, from the order of the stars.
 
-    ``star_sa`` are the minus-star suffixes as ``(text_id, rank, pos)``.  A suffix is ordered by
-    its symbols up to the next star, and then by that star; what lies far before its star is read
-    on until all differ.  Suffixes of the other kind are not sorted.
+    ``star_sa`` are the minus-star suffixes (or, with ``stars='plus'``, the plus-star suffixes) as
+    ``(text_id, rank, pos)``.  A suffix is ordered by its symbols up to the next star, and then by
+    that star; what lies far before its star is read on until all differ.  Suffixes of the other
+    kind are not sorted.
     """
-    if kind not in ("minus", "plus"):
-        raise ValueError("kind must be 'minus' or 'plus'")
+    if kind not in ("minus", "plus") or stars not in ("minus", "plus"):
+        raise ValueError("kind and stars must be 'minus' or 'plus'")
     stages = stages or Stages(texts.chunks.sparkSession)
     chunks = stages.save(texts.chunks, f"{kind}-chunks")
     packed = Packed(chunks, texts.width, texts.chunk, texts.halo, texts.single,
                     chunks.agg(F.sum("len")).first()[0] or 0)
     symbols = _key_symbols(texts)
-    cut = pieces(with_directory(packed), packed, symbols).filter(
+    cut = pieces(with_directory(packed, stages), packed, symbols, stars).filter(
         F.col("run_is_plus") == (kind == "plus"))
-    stars = star_sa.select("text_id", F.col("pos").alias("star_pos"),
+    order = star_sa.select("text_id", F.col("pos").alias("star_pos"),
                            F.col("rank").alias("star_rank"))
-    keys = stages.save(sort_keys(cut, stars, texts.width, symbols), f"{kind}-keys")
+
+    def closed(read: Column, left: Column, within: int) -> Column:
+        """A suffix that goes on where another one's star is has the type that the star has not.
+
+        Among equal symbols minus comes first: before a plus-star, behind a minus-star.  As no
+        plus-star has the largest symbol, that symbol after it puts it behind.
+        """
+        if stars == "minus":
+            return read
+        return F.when(left < within, F.concat(read, F.lit(b"\xff" * texts.width))).otherwise(read)
+
+    keys = sort_keys(cut, order, texts.width, symbols)
+    keys = stages.save(keys.withColumn("prefix", closed(
+        F.col("prefix"), F.col("star_pos") - F.col("pos"), symbols)), f"{kind}-keys")
     ranked = rank(keys, ["text_id"], ["prefix", "ahead"], keys.count(), packed, stages,
                   f"{kind}-0")
     info = keys.select("text_id", "pos", "star_pos", "star_rank")
@@ -222,7 +239,7 @@ def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None =
             F.col("next"), F.lit(1), ((left + 1) * texts.width).cast("int"))).otherwise(
                 F.col("next"))
         rows = read.withColumn("ahead", ahead(F.col("next"), left, more, texts.width)).withColumn(
-            "next", shown)
+            "next", closed(shown, left, more))
         ranked = rank(rows, ["text_id", "base"], ["next", "ahead"], count, packed, stages,
                       f"{kind}-{turn}", read_size(packed, more, count)).select(
             "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"), "tied")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexorder.operators import positions
+from lexorder.operators import counts, positions, types
 from lexorder.plans import doubling as doubling_plan
 from lexorder.plans import induced as induced_plan
 from lexorder.operators import names as names_module
@@ -160,18 +160,40 @@ def test_auto_chooses_for_each_text(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("shape", [{}, {"chunk": 7, "halo": 5}, {"chunk": 16, "halo": 1}])
-def test_plus_and_minus_suffixes_induced_from_the_stars(spark, sample, shape):
+@pytest.mark.parametrize("star_kind", ["minus", "plus"])
+def test_plus_and_minus_suffixes_induced_from_the_stars(spark, sample, shape, star_kind):
     texts, df = sample
     packed = chunk_texts(df, "id", "text", **shape)
+    chosen = [set(model.stars(text)[star_kind == "plus"]) for text in texts]
     star_rows = [(i, rank, p) for i, text in enumerate(texts) for rank, p in enumerate(
-        q for q in model.suffix_array(text) if q in model.stars(text)[0])]
+        q for q in model.suffix_array(text) if q in chosen[i])]
     stars = spark.createDataFrame(star_rows, "text_id long, rank long, pos long")
-    for kind in ("plus", "minus"):
-        got = orders(induced_plan.induce(packed, stars, kind))
+    found = {kind: induced_plan.induce(packed, stars, kind, stars=star_kind)
+             for kind in ("plus", "minus")}
+    for kind, order in found.items():
+        got = orders(order)
         for i, text in enumerate(texts):
             minus = model.minus(text)
             assert got.get(i, []) == [p for p in model.suffix_array(text)
                                       if minus[p] == (kind == "minus")], (text, kind)
+    merged = positions.merge_orders(found["minus"], found["plus"], counts.type_counts(
+        types.classify_suffixes(packed)), packed)
+    check(merged, texts)
+
+
+def test_wide_symbols_induced_from_plus_stars(spark):
+    """The largest symbol of a width is no plus-star, and stands behind all others."""
+    rng = random.Random(4)
+    texts = [[rng.choice([0, 1, 65534, 65535]) for _ in range(40)] for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t array<long>")
+    packed = chunk_texts(df, "id", "t", "token", 2, 8, 4)
+    stars = spark.createDataFrame(
+        [(i, rank, p) for i, text in enumerate(texts) for rank, p in enumerate(
+            q for q in model.suffix_array(text) if q in model.stars(text)[1])],
+        "text_id long, rank long, pos long")
+    minus = orders(induced_plan.induce(packed, stars, "minus", stars="plus"))
+    for i, text in enumerate(texts):
+        assert minus.get(i, []) == [p for p in model.suffix_array(text) if model.minus(text)[p]]
 
 
 @pytest.mark.parametrize("method", ["doubling", "induced"])
