@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lexorder.functions.ints import pack_little_endian, unpack_little_endian  # noqa: E402
-from lexorder.operators import counts, names, positions, types  # noqa: E402
+from lexorder.operators import compare, counts, names, positions, types  # noqa: E402
 from lexorder.operators.ranking import rank_rows  # noqa: E402
-from lexorder.plans.induced import induce  # noqa: E402
+from lexorder.plans.induced import induce, star_substring_order as order_stars  # noqa: E402
 from lexorder.plans.suffix_array import sort_texts, suffix_array  # noqa: E402
 from lexorder.sources import files  # noqa: E402
 from lexorder.sources.texts import (Texts, chunk_texts, explode_symbols,  # noqa: E402
@@ -152,12 +152,36 @@ def star_index(spark, sf):
     return _stars(spark, sf).select("text_id", "star_idx", "pos")
 
 
+def star_substring_order(spark, sf):
+    """Star substrings in order, sorted piece by piece."""
+    return order_stars(_turn_texts(spark, sf)).select("text_id", "rank", "pos", "tied")
+
+
+def star_order_in_pieces(spark, sf):
+    """The same where a chunk shows 4 symbols more at most, so longer substrings are read on."""
+    texts = chunk_texts(_turns(spark, sf), "id", "text", chunk=64, halo=4,
+                        tasks=default_tasks(spark))
+    return order_stars(texts).select("text_id", "rank", "pos", "tied")
+
+
 def star_names(spark, sf):
-    return names.name_substrings(_stars(spark, sf)).select("text_id", "pos", "name")
+    return names.name_order(order_stars(_turn_texts(spark, sf))).select("text_id", "pos", "name")
+
+
+def star_names_by_pairs(spark, sf):
+    """Names of ever longer stretches, until whole star substrings have one."""
+    return names.names_by_pairs(types.star_symbols(_turn_texts(spark, sf))).select(
+        "text_id", "pos", "name")
 
 
 def n_names(spark, sf):
-    return names.count_names(_stars(spark, sf))
+    return names.count_ranks(order_stars(_turn_texts(spark, sf)))
+
+
+def suffix_agreement(spark, sf):
+    """How far each suffix agrees with the one before it in rank, over small chunks."""
+    texts = chunk_texts(_table(spark, sf, "benchmark"), "item_id", "text", chunk=64, halo=16)
+    return compare.neighbour_agreement(sort_texts(texts), texts, look=8)
 
 
 def pair_names(spark, sf):
@@ -326,7 +350,8 @@ def stored_suffix_array(spark, sf):
 QUERIES = [
     sa_direct, sa_documents, sa_doubling, sa_induced, sa_induced_levels, sa_long_text,
     sa_part_names, sa_chars, sa_tokens, sa_symbol_rows, symbols, code_points, suffix_types,
-    minus_star, plus_star, next_star, star_substrings, star_index, star_names, n_names,
+    minus_star, plus_star, next_star, star_substrings, star_index, star_substring_order,
+    star_order_in_pieces, star_names, star_names_by_pairs, n_names, suffix_agreement,
     pair_names, reduced_text, star_suffix_order, plus_suffix_order, minus_suffix_order,
     symbol_histogram, bucket_starts, minus_star_counts, plus_star_counts, plus_counts,
     sa_summary, sa_merged, type_counts, preceding_symbol, suffix_order_errors, packed_positions, packed_roundtrip,
@@ -423,6 +448,13 @@ SELECT text_id, pos, row_number() OVER (PARTITION BY text_id ORDER BY rank) - 1
 FROM sa JOIN sr USING (text_id, pos) WHERE {flag}"""
 
 
+def _star_order_sql(stars: str) -> str:
+    return f"""WITH {stars}
+SELECT text_id, pos,
+       rank() OVER (PARTITION BY text_id ORDER BY sub, NOT terminal) - 1 AS rank,
+       count(*) OVER (PARTITION BY text_id, sub, terminal) > 1 AS tied FROM sb"""
+
+
 HISTOGRAM = f"""
 SELECT text_id, ('0x' || b)::BIGINT AS sym, count(*) AS count
 FROM (SELECT id AS text_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b
@@ -472,7 +504,20 @@ SELECT text_id, pos, min(CASE WHEN is_minus_star THEN pos END) OVER (
     "star_substrings": f"""WITH {STARS}
 SELECT text_id, star_idx, pos, end_pos, terminal, sub FROM sb""",
     "star_index": f"WITH {STARS} SELECT text_id, star_idx, pos FROM sb",
+    "star_substring_order": _star_order_sql(STARS),
+    "star_order_in_pieces": _star_order_sql(STARS),
     "star_names": f"WITH {STARS} SELECT text_id, pos, name FROM nm",
+    "star_names_by_pairs": f"WITH {STARS} SELECT text_id, pos, name FROM nm",
+    # Of two hexadecimal texts, the prefixes that agree.
+    "suffix_agreement": f"""
+WITH sa AS ({_sa_sql(BENCHMARK)}),
+h AS (SELECT sa.*, substr(hex(encode(text)), 2 * pos + 1) AS s FROM sa
+      JOIN ({BENCHMARK}) AS b ON b.id = sa.text_id),
+n AS (SELECT *, lag(s) OVER (PARTITION BY text_id ORDER BY rank) AS t FROM h)
+SELECT text_id, rank, pos, coalesce(len(list_filter(
+           range(1, least(length(s), length(t)) // 2 + 1),
+           lambda k: substr(s, 1, 2 * k) = substr(t, 1, 2 * k))), 0)::BIGINT AS agree,
+       1 AS sign FROM n""",
     "n_names": f"""WITH {STARS}
 SELECT text_id, count(DISTINCT sub || terminal::VARCHAR) AS n_names FROM sb GROUP BY text_id""",
     "pair_names": f"""WITH {TYPES},

@@ -36,6 +36,64 @@ def count_names(stars: DataFrame) -> DataFrame:
         F.count_distinct("sub", "terminal").alias("n_names"))
 
 
+def name_order(order: DataFrame, stages: Stages | None = None,
+               tasks: int | None = None) -> DataFrame:
+    """``(text_id, star_idx, pos, name)``: dense names from an order of the star substrings.
+
+    ``order`` is ``(text_id, star_idx, rank, pos)`` with equal ranks for equal substrings, so no
+    substring is looked at.
+    """
+    spark = order.sparkSession
+    keep = ["text_id", "star_idx", "pos"]
+    return rank_rows(order.select(*keep, "rank"), ["text_id"], ["rank"], ["pos"],
+                     tasks or default_tasks(spark), stages or Stages(spark), "named", keep=keep,
+                     what="dense").select(*keep, F.col("rank").alias("name"))
+
+
+def count_ranks(order: DataFrame) -> DataFrame:
+    """``(text_id, n_names)``: distinct star substrings per text, from their order.
+
+    Equal substrings combine before they are exchanged, as one row per task.
+    """
+    return (order.select("text_id", "rank").distinct().groupBy("text_id")
+            .agg(F.count("*").alias("n_names")))
+
+
+def names_by_pairs(symbols: DataFrame, stages: Stages | None = None,
+                   tasks: int | None = None) -> DataFrame:
+    """``(text_id, star_idx, pos, name)``: dense names of star substrings, by naming pairs.
+
+    ``symbols`` are ``(text_id, star_idx, pos, sym)`` of the substrings.  In each round two
+    stretches that follow each other within a substring get one name, the rank of (name of the
+    first, name of its tail) among the text's pairs; a stretch without a tail has -1 there and
+    comes first.  Stretches are twice as long, and half as many, in every round.
+    """
+    spark = symbols.sparkSession
+    stages, tasks = stages or Stages(spark), tasks or default_tasks(spark)
+    key = ["text_id", "star_idx"]
+    symbols = stages.save(symbols, "pair-symbols")
+    stars = stages.save(symbols.groupBy(*key).agg(F.min("pos").alias("star_pos")), "pair-stars")
+    named = symbols.join(stars, key).select(
+        *key, (F.col("pos") - F.col("star_pos")).alias("k"), F.col("sym").alias("name"))
+    turn, longest = 0, named.agg(F.max("k")).first()[0]
+    while longest:
+        second = F.col("k") % 2 == 1
+        pairs = named.groupBy(*key, F.expr("k div 2").alias("half")).agg(
+            F.max(F.when(~second, F.col("name"))).alias("name"),
+            F.coalesce(F.max(F.when(second, F.col("name"))), F.lit(-1)).alias("tail_name"))
+        named = rank_rows(pairs, ["text_id"], ["name", "tail_name"], ["star_idx", "half"], tasks,
+                          stages, f"pairs-{turn}", keep=[*key, "half"], what="dense").select(
+            *key, F.col("half").alias("k"), F.col("rank").alias("name"))
+        turn, longest = turn + 1, longest // 2
+    last = stars.groupBy("text_id").agg(F.max("star_idx").alias("last_star"))
+    whole = named.join(stars, key).join(last, "text_id").select(
+        *key, F.col("star_pos").alias("pos"), "name",
+        (F.col("star_idx") < F.col("last_star")).alias("goes_on"))
+    return rank_rows(whole, ["text_id"], ["name", "goes_on"], ["pos"], tasks, stages, "whole",
+                     keep=[*key, "pos"], what="dense").select(*key, "pos",
+                                                              F.col("rank").alias("name"))
+
+
 def reduced_text(names: DataFrame) -> DataFrame:
     """The names in text order as a text of their own: ``(text_id, pos, sym)``."""
     return names.select("text_id", F.col("star_idx").alias("pos"), F.col("name").alias("sym"))

@@ -350,13 +350,13 @@ def _star_ends(block: Block, halo: int) -> dict[str, np.ndarray]:
             "end": block.beg[row] + stop - 1 - block.start[row]}
 
 
-def star_heads(directory: DataFrame, texts: Texts) -> DataFrame:
-    """Minus-stars with the first ``halo`` symbols of their substring.
+def star_heads(directory: DataFrame, texts: Texts, symbols: int | None = None) -> DataFrame:
+    """Minus-stars with the first ``symbols`` (by default ``halo``) symbols of their substring.
 
     ``(text_id, star_idx, pos, end_pos, terminal, head, more)``; ``more`` tells that the substring
     goes on, and ``end_pos`` of a terminal star may be null then.
     """
-    halo = texts.halo
+    halo, limit = texts.halo, min(symbols or texts.halo, texts.halo)
 
     def rows(block: Block) -> list:
         star = _star_ends(block, halo)
@@ -364,7 +364,7 @@ def star_heads(directory: DataFrame, texts: Texts) -> DataFrame:
         beyond = stop > star["data_end"]
         return [block.take("text_id", row), star["index"], block.beg[row] + block.off[at],
                 pa.array(star["end"], mask=star["terminal"] & beyond), star["terminal"],
-                block.slices(at, np.minimum(stop, at + halo)), stop - at > halo]
+                block.slices(at, np.minimum(stop, at + limit)), stop - at > limit]
 
     return map_blocks(directory, texts, {
         "star_idx": T.LongType(), "pos": T.LongType(), "end_pos": T.LongType(),
@@ -393,6 +393,29 @@ def stars_with_data(directory: DataFrame, texts: Texts) -> DataFrame:
         "terminal": T.BooleanType(), "sub": T.BinaryType()}, rows)
 
 
+def star_symbols(texts: Texts, stages: Stages | None = None) -> DataFrame:
+    """``(text_id, star_idx, pos, sym)``: the symbols of every star substring, a row each.
+
+    A star ends one substring and begins the next, so it is in both.
+    """
+    def rows(block: Block) -> list:
+        own = np.flatnonzero(block.own)
+        row = block.row[own]
+        upto = np.cumsum(block.minus_star[own])
+        first = np.searchsorted(row, np.arange(len(block.start)))
+        before = np.append(upto, 0)[first] - block.minus_star[own][np.minimum(first, len(own) - 1)]
+        index = block.batch.column("star_base").to_numpy()[row] + upto - before[row] - 1
+        ends = np.flatnonzero(block.minus_star[own] & (index > 0))
+        taken = np.concatenate([np.flatnonzero(index >= 0), ends])
+        index = np.concatenate([index[index >= 0], index[ends] - 1])
+        return [block.take("text_id", row[taken]), index,
+                block.beg[row[taken]] + block.off[own[taken]],
+                block.sym[own[taken]].astype(np.int64)]
+
+    return map_blocks(with_directory(texts, stages), texts, {
+        "star_idx": T.LongType(), "pos": T.LongType(), "sym": T.LongType()}, rows)
+
+
 def star_substrings(texts: Texts) -> DataFrame:
     """Every minus-star with its whole substring, up to and with the next star or the text's end.
 

@@ -111,10 +111,10 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def rank(rows: DataFrame, group: list[str], key: list[str], count: int, texts: Packed,
-         stages: Stages, name: str, size: int = 0) -> DataFrame:
+         stages: Stages, name: str, size: int = 0, also: list[str] | None = None) -> DataFrame:
     """Rank rows in their groups: by window if a group cannot exceed one chunk, else split up."""
     tasks = tasks_for(rows.sparkSession, count, size)
-    keep = group + ["pos"]
+    keep = group + ["pos"] + (also or [])
     if texts.single:
         return rank_bounded(rows, group, key, tasks, stages, name, keep, cluster=["text_id"])
     return rank_rows(rows, group, key, ["pos"], tasks, stages, name, keep)

@@ -125,6 +125,64 @@ def long_tails(stars: DataFrame, texts: Packed, stages: Stages, name: str) -> Da
     return ranked.select("text_id", "star_idx", (F.col("rank") + 1).alias("tail"))
 
 
+def staged(texts: Texts, stages: Stages, name: str) -> Packed:
+    """The texts with their chunks written, and their symbols counted."""
+    chunks = stages.save(texts.chunks, name)
+    return Packed(chunks, texts.width, texts.chunk, texts.halo, texts.single,
+                  chunks.agg(F.sum("len")).first()[0] or 0)
+
+
+# How a substring stands to what was read of it, in the order of equal readings.
+TEXT_ENDS, STAR_ENDS, GOES_ON = 0, 1, 2
+
+
+def star_substring_order(texts: Texts, stages: Stages | None = None) -> DataFrame:
+    """``(text_id, star_idx, rank, pos, tied)``: each text's star substrings in their order.
+
+    ``rank`` is the number of smaller substrings; equal ones are ``tied``.  The one that ends the
+    text is before one that is equal but for that.  Sorted most significant piece first: all
+    substrings meet with their first symbols, and only those that tie read on, each time as much
+    again, so nobody ever holds a whole substring.
+    """
+    stages = stages or Stages(texts.chunks.sparkSession)
+    packed = staged(texts, stages, "order-chunks")
+    depth = _key_symbols(packed)
+    heads = stages.save(star_heads(with_directory(packed, stages), packed, depth), "order-heads")
+    ends = packed.chunks.filter("last").select(
+        "text_id", (F.col("beg") + F.col("len") - 1).alias("end_pos"))
+    # A text's last substring may not have seen its end.
+    heads = heads.filter("end_pos is not null").unionByName(
+        heads.filter("end_pos is null").drop("end_pos").join(ends, "text_id"))
+
+    def state(more: Column) -> Column:
+        return F.when(more, GOES_ON).when(F.col("terminal"), TEXT_ENDS).otherwise(STAR_ENDS)
+
+    also = ["star_idx", "end_pos", "terminal", "state"]
+    rows = heads.withColumn("state", state(F.col("more")))
+    ranked = rank(rows, ["text_id"], ["head", "state"], heads.count(), packed, stages, "order-0",
+                  also=also)
+    final, turn = [], 0
+    while True:
+        again = F.col("tied") & (F.col("state") == GOES_ON)
+        final.append(ranked.filter(~again).select("text_id", "star_idx", "rank", "pos", "tied"))
+        still = ranked.filter(again).select("text_id", "pos", F.col("rank").alias("base"),
+                                            "star_idx", "end_pos", "terminal")
+        count = still.count()
+        if count == 0:
+            return union(final)
+        turn += 1
+        more = min(depth, packed.halo)
+        left = F.col("end_pos") + 1 - F.col("pos") - depth
+        read = read_ahead(still, packed, depth, more, count).withColumn(
+            "next", F.substring(F.col("next"), F.lit(1),
+                                (F.least(left, F.lit(more)) * packed.width).cast("int"))
+        ).withColumn("state", state(left > more))
+        ranked = rank(read, ["text_id", "base"], ["next", "state"], count, packed, stages,
+                      f"order-{turn}", read_size(packed, more, count), also).select(
+            "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"), "tied", *also)
+        depth += more
+
+
 def star_order(texts: Packed, stages: Stages, name: str, directory: DataFrame) -> DataFrame:
     """``(text_id, star_pos, star_rank)`` of the minus-stars, by names and the text they spell.
 
@@ -199,9 +257,7 @@ def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None =
     if kind not in ("minus", "plus") or stars not in ("minus", "plus"):
         raise ValueError("kind and stars must be 'minus' or 'plus'")
     stages = stages or Stages(texts.chunks.sparkSession)
-    chunks = stages.save(texts.chunks, f"{kind}-chunks")
-    packed = Packed(chunks, texts.width, texts.chunk, texts.halo, texts.single,
-                    chunks.agg(F.sum("len")).first()[0] or 0)
+    packed = staged(texts, stages, f"{kind}-chunks")
     symbols = _key_symbols(texts)
     cut = pieces(with_directory(packed, stages), packed, symbols, stars).filter(
         F.col("run_is_plus") == (kind == "plus"))

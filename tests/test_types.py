@@ -1,7 +1,9 @@
 import pytest
 
 from lexorder.operators import counts, names, types
+from lexorder.plans import induced
 from lexorder.sources.texts import chunk_texts, explode_symbols, pack_symbols
+from lexorder.staging import Stages
 from tests import model
 
 SHAPES = [{}, {"chunk": 7, "halo": 5}, {"chunk": 16, "halo": 1}, {"chunk": 4, "halo": 4}]
@@ -44,6 +46,41 @@ def test_star_substrings_and_names(sample, shape):
         assert count.get(i, 0) == len(set(model.names(text)))
 
 
+@pytest.mark.parametrize("shape", SHAPES[1:3])
+def test_star_substring_order_and_pair_names(sample, shape):
+    texts, df = sample
+    packed = chunk_texts(df, "id", "text", **shape)
+    order = induced.star_substring_order(packed).cache()
+    found = model.grouped(order.orderBy("text_id", "star_idx").collect(),
+                          lambda r: (r.pos, r.rank, r.tied))
+    named = model.grouped(names.name_order(order).orderBy("text_id", "star_idx").collect(),
+                          lambda r: r.name)
+    by_pairs = model.grouped(names.names_by_pairs(types.star_symbols(packed))
+                             .orderBy("text_id", "star_idx").collect(), lambda r: r.name)
+    count = {r.text_id: r.n_names for r in names.count_ranks(order).collect()}
+    for i, text in enumerate(texts):
+        keys = [(sub, not terminal) for _, _, _, terminal, sub in model.substrings(text)]
+        assert found.get(i, []) == [
+            (p, sum(other < key for other in keys), keys.count(key) > 1)
+            for (_, p, _, _, _), key in zip(model.substrings(text), keys)], text
+        assert named.get(i, []) == by_pairs.get(i, []) == model.names(text)
+        assert count.get(i, 0) == len(set(keys))
+
+
+def test_no_exchange_carries_a_whole_substring(spark):
+    """A substring of 30,000 symbols is sorted by readings of at most a look-ahead."""
+    texts = [b"b" + b"a" * 3 + b"b" * 30_000 + b"ca" + b"b" * 30_000 + b"c" + b"ac"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text binary")
+    stages = Stages(spark)
+    order = induced.star_substring_order(chunk_texts(df, "id", "text", chunk=4096, halo=1024),
+                                         stages)
+    keys = [(sub, not terminal) for _, _, _, terminal, sub in model.substrings(texts[0])]
+    assert [r["rank"] for r in order.orderBy("pos").collect()] == [
+        sum(other < key for other in keys) for key in keys]
+    heads = spark.read.parquet(f"{stages.folder}/order-heads").collect()
+    assert max(len(r["head"]) for r in heads) <= 16
+
+
 def test_golden_texts(spark):
     texts = list(model.GOLDEN)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text binary")
