@@ -20,6 +20,7 @@ from lexorder.functions.ints import pack_little_endian, unpack_little_endian  #
 from lexorder.operators import compare, counts, names, positions, types  # noqa: E402
 from lexorder.operators.ranking import rank_rows  # noqa: E402
 from lexorder.plans.induced import induce, star_substring_order as order_stars  # noqa: E402
+from lexorder.plans.levels import levels, sort_by_levels  # noqa: E402
 from lexorder.plans.suffix_array import sort_texts, suffix_array  # noqa: E402
 from lexorder.sources import files  # noqa: E402
 from lexorder.sources.texts import (Texts, chunk_texts, explode_symbols,  # noqa: E402
@@ -217,6 +218,16 @@ def sa_merged(spark, sf):
     return positions.merge_orders(minus, plus, counts.type_counts(typed), texts)
 
 
+def sa_levels(spark, sf):
+    """Suffix arrays from levels that a lost driver goes on from."""
+    return sort_by_levels(chunk_texts(_table(spark, sf, "benchmark"), "item_id", "text"))
+
+
+def level_sizes(spark, sf):
+    """What the first two levels of induced sorting have of every text."""
+    return levels(_turn_texts(spark, sf), most=2)
+
+
 def type_counts(spark, sf):
     return counts.type_counts(suffix_types(spark, sf))
 
@@ -354,7 +365,7 @@ QUERIES = [
     star_order_in_pieces, star_names, star_names_by_pairs, n_names, suffix_agreement,
     pair_names, reduced_text, star_suffix_order, plus_suffix_order, minus_suffix_order,
     symbol_histogram, bucket_starts, minus_star_counts, plus_star_counts, plus_counts,
-    sa_summary, sa_merged, type_counts, preceding_symbol, suffix_order_errors, packed_positions, packed_roundtrip,
+    sa_summary, sa_merged, sa_levels, level_sizes, type_counts, preceding_symbol, suffix_order_errors, packed_positions, packed_roundtrip,
     packed_as_text, stored_suffix_array, packed_overwrite, sa_files, sa_file_chunks, file_types,
     damaged_order_errors,
 ]
@@ -448,6 +459,38 @@ SELECT text_id, pos, row_number() OVER (PARTITION BY text_id ORDER BY rank) - 1
 FROM sa JOIN sr USING (text_id, pos) WHERE {flag}"""
 
 
+# Names of level 0 are the symbols of level 1, eight digits each, for texts with a name twice.
+LEVELS = f"""{STARS},
+nn AS (SELECT text_id, count(*) AS n_stars, count(DISTINCT name) AS n_names FROM nm
+       GROUP BY text_id),
+sy1 AS (SELECT text_id, star_idx AS pos, name AS sym FROM nm JOIN nn USING (text_id)
+        WHERE n_stars > n_names),
+hx1 AS (SELECT text_id, string_agg(printf('%08x', sym), '' ORDER BY pos) AS h FROM sy1
+        GROUP BY text_id),
+st1 AS (SELECT *, CASE WHEN lead(sym) OVER w IS NULL THEN true
+                       WHEN lead(sym) OVER w <> sym THEN sym > lead(sym) OVER w END AS strict
+        FROM sy1 WINDOW w AS (PARTITION BY text_id ORDER BY pos)),
+ty1 AS (SELECT text_id, pos, first_value(strict IGNORE NULLS) OVER (PARTITION BY text_id
+               ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS is_minus
+        FROM st1),
+sr1 AS (SELECT *, pos > 0 AND is_minus AND NOT lag(is_minus) OVER v AS star
+        FROM ty1 WINDOW v AS (PARTITION BY text_id ORDER BY pos)),
+sb1 AS (SELECT text_id, lead(pos) OVER u IS NULL AS terminal,
+               substr(h, 8 * pos + 1, 8 * (coalesce(lead(pos) OVER u, length(h) // 8 - 1)
+                                           - pos + 1)) AS sub
+        FROM sr1 JOIN hx1 USING (text_id) WHERE star
+        WINDOW u AS (PARTITION BY text_id ORDER BY pos)),
+nn1 AS (SELECT text_id, count(*) AS n_stars, count(DISTINCT sub || terminal::VARCHAR) AS n_names
+        FROM sb1 GROUP BY text_id)
+SELECT 0 AS level, text_id, count(*) AS n, count(DISTINCT sym) AS n_symbols,
+       coalesce(any_value(n_stars), 0) AS n_stars, coalesce(any_value(n_names), 0) AS n_names
+FROM sy LEFT JOIN nn USING (text_id) GROUP BY text_id
+UNION ALL
+SELECT 1, text_id, count(*), count(DISTINCT sym), coalesce(any_value(n_stars), 0),
+       coalesce(any_value(n_names), 0)
+FROM sy1 LEFT JOIN nn1 USING (text_id) GROUP BY text_id"""
+
+
 def _star_order_sql(stars: str) -> str:
     return f"""WITH {stars}
 SELECT text_id, pos,
@@ -532,6 +575,8 @@ SELECT text_id, pos, dense_rank() OVER (
     "plus_suffix_order": _order_sql("NOT is_minus"),
     "minus_suffix_order": _order_sql("is_minus"),
     "sa_merged": _sa_sql(TURNS),
+    "sa_levels": _sa_sql(BENCHMARK),
+    "level_sizes": f"WITH {LEVELS}",
     "type_counts": f"""WITH {TYPES}
 SELECT text_id, sym, count(*) FILTER (is_minus) AS n_minus,
        count(*) FILTER (NOT is_minus) AS n_plus FROM sr GROUP BY text_id, sym""",
