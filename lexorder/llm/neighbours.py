@@ -50,6 +50,7 @@ FIT_QUERIES = 100
 RECALL = 0.96
 MORE_ROUNDS = 2            # of twice the visits, for queries that have met too few points
 BLOCK = 2048               # points, or queries, that travel together
+SUMMED = 1 << 14           # pairs whose products are summed at once
 
 
 @dataclass
@@ -124,15 +125,29 @@ def _key(bucket) -> str:
     return ",".join(map(str, bucket))
 
 
-def best_of(queries: np.ndarray, points: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and inner products of the ``top`` points of each query, in no order."""
-    scores = queries @ points.T
-    if scores.shape[1] <= top:
-        chosen = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+def best_of(queries: np.ndarray, points: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
+    """(query, point, inner product) of the ``top`` points of each query.
+
+    Equal inner products go to the point that comes first.  The matrix product finds what may be
+    among the best, with room for its rounding; the products that decide are summed in one fixed
+    order, so that a pair's score is the same wherever it is met.
+    """
+    rough = queries @ points.T
+    if rough.shape[1] > top:
+        least = np.partition(rough, -top, axis=1)[:, -top]
+        room = 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(points, axis=1).max()
+        query, point = np.nonzero(rough >= (least - room)[:, None])
     else:
-        chosen = np.argpartition(-scores, top - 1, axis=1)[:, :top]
-    # Summed again in one fixed order, so that a pair's score is the same wherever it is met.
-    return chosen, (queries[:, None, :] * points[chosen]).sum(-1)
+        query, point = (axis.ravel() for axis in np.indices(rough.shape))
+    score = np.empty(len(query))
+    for at in range(0, len(query), SUMMED):
+        some = slice(at, at + SUMMED)
+        score[some] = (queries[query[some]] * points[point[some]]).sum(-1)
+    order = np.lexsort((point, -score, query))
+    query, point, score = query[order], point[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    kept = place < top
+    return query[kept], point[kept], score[kept]
 
 
 # --- points -----------------------------------------------------------------------------------
@@ -294,16 +309,18 @@ def neighbours(df: DataFrame, is_query: Column, vec_id: str = "vec_id",
     def compare(key: tuple, members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(asked):
             return pd.DataFrame({"query": [], "score": [], "id": [], "hash": []})
+        # In the order in which equal scores are to be.
+        members = members.iloc[sorted(range(len(members)), key=lambda i: (
+            members["point"].iloc[i]["id"], members["point"].iloc[i]["hash"]))]
         vectors = np.stack(members["vector"].to_numpy()).astype(np.float64)
         out = []
         for at in range(0, len(asked), 256):
             some = asked.iloc[at:at + 256]
-            chosen, scores = best_of(np.stack(some["vector"].to_numpy()).astype(np.float64),
-                                     vectors, top + 1)
-            row, column = np.nonzero(scores >= some["bound"].to_numpy()[:, None])
-            out.append(pd.DataFrame({"query": some["point"].to_numpy()[row],
-                                     "score": scores[row, column],
-                                     "member": chosen[row, column]}))
+            row, member, scores = best_of(
+                np.stack(some["vector"].to_numpy()).astype(np.float64), vectors, top + 1)
+            good = scores >= some["bound"].to_numpy()[row]
+            out.append(pd.DataFrame({"query": some["point"].to_numpy()[row[good]],
+                                     "score": scores[good], "member": member[good]}))
         out = pd.concat(out)
         point = members["point"].to_numpy()
         return pd.DataFrame({"query": out["query"], "score": out["score"],

@@ -56,6 +56,37 @@ def test_every_bucket_visited_is_exact(spark, monkeypatch):
     assert got(table(spark, rows), block=16) == brute(rows, lambda i: i % 20 == 0)
 
 
+def test_best_of_many_ties_are_the_first():
+    rng = np.random.default_rng(4)
+    points = (rng.random((1200, 24)) < 4 / 24).astype(float)
+    queries = points[::100]
+    query, point, score = A.best_of(queries, points, 21)
+    for q in range(len(queries)):
+        exact = points @ queries[q]
+        expected = sorted(range(len(points)), key=lambda i: (-exact[i], i))[:21]
+        assert point[query == q].tolist() == expected
+        assert score[query == q].tolist() == exact[expected].tolist()
+
+
+def test_tied_binary_vectors_go_to_smaller_ids(spark, monkeypatch):
+    """1,199 vectors of four ones: dozens share each score, and the ids must be the least."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1199):
+        ones = set(rng.sample(range(24), 4))
+        rows.append((1199 - i, [float(c in ones) for c in range(24)], 0))
+    usable = [(i, np.array(v)) for i, v, _ in rows]
+    expected = set()
+    for i, q in usable:
+        if i % 100 == 0:
+            near = sorted((-float(q @ v), j) for j, v in usable if j != i)[:20]
+            expected |= {(i, n, j, -s) for n, (s, j) in enumerate(near, 1)}
+    monkeypatch.setattr(A, "fit_probes", lambda *a, **k: 100_000)
+    found = {tuple(r) for r in A.neighbours(table(spark, rows), F.col("id") % 100 == 0,
+                                            block=256).collect()}
+    assert found == expected
+
+
 def test_few_and_none(spark):
     assert got(table(spark, [])) == set()
     assert got(table(spark, [(0, None, 0), (20, [0.0], 0)])) == set()
