@@ -1,17 +1,19 @@
 """Language-model scores by subword lattices.
 
-The vocabulary is that of an existing tokenizer: its pieces, every single byte, and as long arcs
-the words of the training rows.  All segmentations of a token into the vocabulary form a lattice,
-and a forward recursion in log space sums their probabilities, so a text's score is its marginal
-probability over all segmentations.
-
-A token is a word or the end of the text.  With N training tokens of which n1 words occurred once,
-a token is drawn as itself with probability (1 - e) c / N, or spelled out with probability
-e = (n1 + 1) / (N + 1): the end with q = (end + 1) / (N + 2), a word with (1 - q) times its
-subword lattice.  A word's lattice is its pieces' probabilities, the first one a word start, and
-the probability that the next piece starts a word.  Piece probabilities begin with the
-tokenizer's own scores and are fitted to all training words by rounds of forward-backward.
-The tokenizer itself is not trained.
+The vocabulary is that of an existing tokenizer: its pieces, and every single byte.  All
+segmentations of a token into pieces form a lattice, and a forward recursion in log space sums their
+probabilities, so ``score`` is the text's marginal probability over all segmentations.
+
+Every word goes through its lattice, however often it was seen.  A token is the end of the text with
+q = (training texts + 1) / (training tokens + 2), or a word with (1 - q) times its lattice: the
+probabilities of its pieces, the first one a word start, and the probability that the next piece
+starts a word.  Piece probabilities are the vocabulary's own scores (of a merge list, whose scores
+are ranks, 1 / (rank + 1)), rescaled by rounds of forward-backward over all training words: a
+piece's expected count is added to its share of ``STRENGTH`` times all expected counts by the
+vocabulary's scores.  The tokenizer itself is not trained.
+
+``word_score`` is another model beside it, of words: with N training tokens of which n1 words
+occurred once, a token has (1 - e) c / N + e times its probability above, e = (n1 + 1) / (N + 1).
 
 Pieces do not cross words, so a distinct word is recursed through once, and not once per
 occurrence.  Words are counted over the whole table.  At most ``HEAD`` words can each hold
@@ -51,7 +53,7 @@ HEAD_BYTES = 64            # a longer word is never sent
 COUNTED = 300_000          # distinct words a task counts before it hands them on
 CELLS = 1 << 19            # characters recursed through at once
 PART = 1024                # bytes of a word whose table both recursions hold when fitting
-PRIOR = 0.1                # of a piece, in counts
+STRENGTH = 0.1             # of the vocabulary's scores, in expected counts of all pieces
 BASE = np.uint64(0x100000001B3)   # of the rolling hash
 
 
@@ -275,6 +277,7 @@ def fit_pieces(words: DataFrame, names: list[bytes], log_p: np.ndarray,
     """Log probabilities of the pieces after rounds of forward-backward over training words."""
     spark = words.sparkSession
     training = words.filter("c > 0 AND length(word) > 0").select("word", "c")
+    own = np.exp(log_p)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(Lattice(names, log_p))
 
@@ -293,16 +296,17 @@ def fit_pieces(words: DataFrame, names: list[bytes], log_p: np.ndarray,
             F.sum("n").alias("n")).collect()
         if not summed:
             break
-        counts = np.full(len(names), PRIOR)
+        counts = np.zeros(len(names))
         for piece, n in summed:
-            counts[piece] += n
+            counts[piece] = n
+        counts += STRENGTH * counts.sum() * own
         log_p = np.log(counts / counts.sum())
     return log_p
 
 
 def score_words(words: DataFrame, names: list[bytes], log_p: np.ndarray,
                 counts: Counts) -> DataFrame:
-    """(word, known, everywhere, base, score) of every distinct word, and of the end."""
+    """(word, known, everywhere, base, score, mixed) of every distinct word, and of the end."""
     shared = words.sparkSession.sparkContext.broadcast((Lattice(names, log_p), counts))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,20 +324,21 @@ def score_words(words: DataFrame, names: list[bytes], log_p: np.ndarray,
                 log_word[number[group]] = total + math.log1p(-of.ends_spelled)
             seen = (1 - spelled) * c / max(of.tokens, 1)
             with np.errstate(divide="ignore"):
-                own = np.logaddexp(np.log(seen), math.log(spelled) + log_word)
+                mixed = np.logaddexp(np.log(seen), math.log(spelled) + log_word)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(c > 0), batch.column(2), pa.array(of.base(c)),
-                 pa.array(own / math.log(10))],
-                names=["word", "known", "everywhere", "base", "score"])
+                 pa.array(log_word / math.log(10)), pa.array(mixed / math.log(10))],
+                names=["word", "known", "everywhere", "base", "score", "mixed"])
 
     return words.select("word", "c", "everywhere").mapInArrow(
-        score, "word binary, known boolean, everywhere long, base double, score double")
+        score, "word binary, known boolean, everywhere long, base double, score double, "
+               "mixed double")
 
 
 # --- scoring ----------------------------------------------------------------------------------
 
 ROWS = ("row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, "
-        "score double, word binary, n long")
+        "score double, mixed double, word binary, n long")
 
 
 def score_rows(docs: DataFrame, head: dict, id_type) -> DataFrame:
@@ -344,12 +349,12 @@ def score_rows(docs: DataFrame, head: dict, id_type) -> DataFrame:
         known = shared.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows, n_tokens, n_known, base, total = [], [], [], [], []
+            rows, n_tokens, n_known, base, total, mixed = [], [], [], [], [], []
             tail_row, tail_word, tail_n = [], [], []
             for text in batch.column(2).to_pylist():
                 found = Counter(text.lower().split())
                 found[END] += 1
-                sums, tokens, seen, other = [0.0, 0.0], 0, 0, []
+                sums, tokens, seen, other = [0.0, 0.0, 0.0], 0, 0, []
                 for word, n in found.items():
                     tokens += n
                     entry = known.get(word)
@@ -360,6 +365,7 @@ def score_rows(docs: DataFrame, head: dict, id_type) -> DataFrame:
                     seen += n * entry[0]
                     sums[0] += n * entry[1]
                     sums[1] += n * entry[2]
+                    sums[2] += n * entry[3]
                 tail_word += other
                 tail_row += [number] * len(other)
                 rows.append(number)
@@ -368,12 +374,13 @@ def score_rows(docs: DataFrame, head: dict, id_type) -> DataFrame:
                 n_known.append(seen)
                 base.append(sums[0])
                 total.append(sums[1])
+                mixed.append(sums[2])
             m = len(tail_row)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), batch.column(0), batch.column(1),
                  pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
                  pa.array(base, pa.float64()), pa.array(total, pa.float64()),
-                 pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())], names=NAMES)
+                 pa.array(mixed, pa.float64()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())], names=NAMES)
             for at in range(0, m, 100_000):
                 some = slice(at, at + 100_000)
                 k = len(tail_row[some])
@@ -381,7 +388,7 @@ def score_rows(docs: DataFrame, head: dict, id_type) -> DataFrame:
                     [pa.array(tail_row[some], pa.int64()), pa.nulls(k, batch.column(0).type),
                      pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
                      pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()),
-                     pa.array(tail_word[some], pa.binary()),
+                     pa.nulls(k, pa.float64()), pa.array(tail_word[some], pa.binary()),
                      pa.array(tail_n[some], pa.int64())], names=NAMES)
 
     return docs.mapInArrow(score, ROWS.format(id=id_type.simpleString()))
@@ -409,8 +416,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scored = stages.save(score_words(words, names, log_p, counts), "scored")
     stages.remove("words")
     frequent = (F.length("word") <= HEAD_BYTES) & (F.col("everywhere") * head >= counts.everywhere)
-    sent = {bytes(r["word"]): (int(r["known"]), r["base"], r["score"]) for r in
-            scored.filter(frequent).select("word", "known", "base", "score").toLocalIterator()}
+    sent = {bytes(r["word"]): (int(r["known"]), r["base"], r["score"], r["mixed"]) for r in
+            scored.filter(frequent).drop("everywhere").toLocalIterator()}
     rows = stages.save(score_rows(docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
         utf8(text).alias("text")), sent, docs.schema[doc_id].dataType), "rows")
@@ -418,11 +425,13 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .join(scored.filter(~frequent), "word").groupBy("row")
             .agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("more_known"),
                  F.sum(F.col("n") * F.col("base")).alias("more_base"),
-                 F.sum(F.col("n") * F.col("score")).alias("more_score")))
+                 F.sum(F.col("n") * F.col("score")).alias("more_score"),
+                 F.sum(F.col("n") * F.col("mixed")).alias("more_mixed")))
     zero = F.lit(0)
     return (rows.filter("word IS NULL").join(tail, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),
                     F.lit(counts.tokens).cast("long").alias("train_tokens"),
                     (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-                    (F.col("score") + F.coalesce("more_score", zero)).alias("score")))
+                    (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
+                    (F.col("mixed") + F.coalesce("more_mixed", zero)).alias("word_score")))

@@ -111,11 +111,35 @@ def test_score_against_the_definition(spark):
     q = (counts[b""] + 1) / (n + 2)
     texts = {r[0]: r[1] for r in rows}
     for r in got:
-        wanted = 0.0
+        wanted = mixed = 0.0
         for w in [*texts[r["doc_id"]].encode().lower().split(), b""]:
             own = q if w == b"" else (1 - q) * spelled(b" " + w)
-            wanted += math.log10((1 - e) * counts[w] / n + e * own)
+            wanted += math.log10(own)
+            mixed += math.log10((1 - e) * counts[w] / n + e * own)
         assert abs(wanted - r["score"]) < 1e-9
+        assert abs(mixed - r["word_score"]) < 1e-9
+
+
+def test_score_is_the_sum_over_all_segmentations_of_the_text(spark):
+    """Known words, too, are scored by their pieces: every way to cut the whole text counts."""
+    rows = [(i, "abab ba", "en", "s", 1) for i in range(20)]
+    got = L.score_texts(frame(spark, rows), rounds=1).collect()
+    assert len({round(r["score"], 9) for r in got}) == 1
+    names, log_p = L.load_pieces()
+    trained = sum(zlib.crc32(str(r[0]).encode()) % 10 != 0 for r in rows)
+    words = spark.createDataFrame([(b"abab", trained), (b"ba", trained)], "word binary, c long")
+    known = dict(zip(names, np.exp(L.fit_pieces(words, names, log_p, 1))))
+
+    def cuts(word):
+        if not word:
+            yield 1.0
+        for n in range(1, len(word) + 1):
+            if word[:n] in known:
+                yield from (known[word[:n]] * rest for rest in cuts(word[n:]))
+
+    q = (trained + 1) / (3 * trained + 2)
+    text = sum(a * b for a in cuts(b" abab") for b in cuts(b" ba")) * (1 - q) ** 2 * q
+    assert abs(math.log10(text) - got[0]["score"]) < 1e-9
 
 
 def test_fitting_raises_the_likelihood(spark):
