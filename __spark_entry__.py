@@ -282,7 +282,7 @@ def packed_positions(spark, sf):
 
 
 def _fresh_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).removeprefix('file:')}/out-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
 
 
 def packed_roundtrip(spark, sf):
@@ -291,6 +291,20 @@ def packed_roundtrip(spark, sf):
     return files.import_packed(spark, folder)
 
 
+def packed_rank_range(spark, sf):
+    """The ranks 10 to 99 of every text, from the bytes that hold them."""
+    folder = _fresh_folder(spark)
+    files.export_packed(suffix_array(_turns(spark, sf), "id", "text"), folder)
+    return files.import_packed(spark, folder, ranks=(10, 100))
+
+
+def file_chunk_range(spark, sf):
+    """The symbols 100 to 199 of every file, from the chunks that hold them."""
+    chunks = files.read_text_chunks(spark, _item_files(spark, sf), chunk=64, halo=16,
+                                    positions=(100, 200))
+    return _by_item(explode_symbols(chunks).filter("pos BETWEEN 100 AND 199"))
+
+
 def packed_as_text(spark, sf):
     """The files of a packed suffix array read as texts over 40-bit symbols."""
     folder = _fresh_folder(spark)
@@ -365,7 +379,8 @@ QUERIES = [
     star_order_in_pieces, star_names, star_names_by_pairs, n_names, suffix_agreement,
     pair_names, reduced_text, star_suffix_order, plus_suffix_order, minus_suffix_order,
     symbol_histogram, bucket_starts, minus_star_counts, plus_star_counts, plus_counts,
-    sa_summary, sa_merged, sa_levels, level_sizes, type_counts, preceding_symbol, suffix_order_errors, packed_positions, packed_roundtrip,
+    sa_summary, sa_merged, sa_levels, level_sizes, type_counts, preceding_symbol,
+    suffix_order_errors, packed_positions, packed_roundtrip, packed_rank_range, file_chunk_range,
     packed_as_text, stored_suffix_array, packed_overwrite, sa_files, sa_file_chunks, file_types,
     damaged_order_errors,
 ]
@@ -605,6 +620,9 @@ SELECT text_id, rank, pos,
        printf('%02X', pos % 256) || printf('%02X', pos // 256 % 256) || '000000' AS packed
 FROM ({_sa_sql(PARTS)})""",
     "packed_roundtrip": _sa_sql(TURNS),
+    "packed_rank_range": f"SELECT * FROM ({_sa_sql(TURNS)}) WHERE rank BETWEEN 10 AND 99",
+    "file_chunk_range": f"""WITH {SYMBOLS.replace(TURNS, BENCHMARK)}
+SELECT text_id, pos, sym FROM sy WHERE pos BETWEEN 100 AND 199""",
     "packed_as_text": """
 SELECT p AS sym, count(*) AS count
 FROM (SELECT unnest(range(0, octet_length(encode(p_name)))) AS p FROM part) GROUP BY p""",

@@ -10,15 +10,19 @@ ones are split by position even within equal prefixes, so that no repeat makes o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexorder.functions.ints import pack_big_endian
 from lexorder.operators.ranking import rank_bounded, rank_rows
-from lexorder.operators.types import run_pieces
+from lexorder.operators.types import decode, run_pieces
 from lexorder.sources.texts import Texts
 from lexorder.staging import Stages, tasks_for
 
@@ -161,6 +165,37 @@ def first_order(texts: Packed, stages: Stages, name: str) -> tuple[DataFrame, in
                 f"{name}-0"), symbols
 
 
+def _order(sym: np.ndarray) -> np.ndarray:
+    """The suffix array of a few symbols, by doubling."""
+    rank, step = np.unique(sym, return_inverse=True)[1] + 1, 1
+    while True:
+        ahead = np.zeros(len(sym), dtype=np.int64)
+        ahead[:-step] = rank[step:]
+        values, rank = np.unique(rank * (len(sym) + 1) + ahead, return_inverse=True)
+        if len(values) == len(sym):
+            return np.argsort(rank)
+        rank, step = rank + 1, 2 * step
+
+
+def chunk_orders(texts: Packed) -> DataFrame:
+    """Suffix array ``(text_id, rank, pos)`` of texts of one chunk each, where the chunks lie."""
+    width = texts.width
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                raw = np.frombuffer(batch.column("data")[row].as_buffer(), np.uint8)
+                pos = _order(decode(raw, width))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("text_id").take(pa.array([row] * len(pos))),
+                     pa.array(np.arange(len(pos))), pa.array(pos)],
+                    names=["text_id", "rank", "pos"])
+
+    schema = T.StructType([texts.chunks.schema["text_id"], T.StructField("rank", T.LongType()),
+                           T.StructField("pos", T.LongType())])
+    return texts.chunks.select("text_id", "data").mapInArrow(order, schema)
+
+
 def direct(texts: Packed, stages: Stages, name: str = "direct") -> DataFrame:
     """Suffix array ``(text_id, rank, pos)`` of packed texts, from nothing but their symbols.
 

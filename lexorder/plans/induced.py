@@ -4,6 +4,7 @@ Star substrings get names, the names spell a text of at most half the length, an
 order of that text is the order of the star suffixes.  Every other suffix is then ordered by its
 symbols up to the next star and that star's rank, in one sort.  The number of rows falls by half
 or more with each level, whatever repeats the texts hold, so this is the method for long repeats.
+Texts of names that fit one chunk are sorted in the task that holds the chunk.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from lexorder.operators.names import reduced_text, sequence_ranks, table_names
 from lexorder.operators.types import (Block, following_star, long_runs, map_blocks, star_heads,
                                       with_directory)
-from lexorder.plans.doubling import (Packed, prefix_of_piece, rank, read_ahead, read_size, refine,
+from lexorder.plans.doubling import (Packed, chunk_orders, prefix_of_piece, rank, read_ahead, read_size, refine,
                                      union)
 from lexorder.sources.texts import Texts, pack_symbols
 from lexorder.staging import Stages
@@ -219,7 +220,9 @@ def star_order(texts: Packed, stages: Stages, name: str, directory: DataFrame) -
     packed = pack_symbols(reduced_text(rest), width_of(n_names), texts.chunk, texts.halo, single)
     reduced = Packed(stages.save(packed.chunks, f"{name}-reduced"), packed.width, packed.chunk,
                      packed.halo, single, left)
-    order = induced(reduced, stages, f"{name}-names").select(
+    # Names that fit a chunk are few enough for a task; the others go down a level.
+    order = (chunk_orders(reduced) if single else induced(
+        reduced, stages, f"{name}-names")).select(
         "text_id", F.col("pos").alias("star_idx"), F.col("rank").alias("star_rank"))
     ranked = rest.join(order, ["text_id", "star_idx"]).select(
         "text_id", F.col("pos").alias("star_pos"), "star_rank")

@@ -23,11 +23,11 @@ def automatic(texts: Packed, stages: Stages, name: str = "auto") -> DataFrame:
     """
     ranked, symbols = first_order(texts, stages, name)
     ties = ranked.groupBy("text_id").agg(F.count("*").alias("n"), F.count_if("tied").alias("ties"))
-    repetitive = stages.save(ties.filter(F.col("ties") > MANY_TIES * F.col("n")),
-                             f"{name}-repetitive")
-    total = repetitive.agg(F.sum("n")).first()[0] or 0
+    many = ties.filter(F.col("ties") > MANY_TIES * F.col("n"))
+    total = many.agg(F.sum("n")).first()[0] or 0
     if total <= WORTH * texts.total:
         return refine(ranked, symbols, texts, stages, name)
+    repetitive = stages.save(many, f"{name}-repetitive")
     parts = [induced(replace(texts, total=total, chunks=texts.chunks.join(
         repetitive, "text_id", "left_semi")), stages, f"{name}-induced")]
     if total < texts.total:

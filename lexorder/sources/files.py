@@ -29,14 +29,18 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     InputPartition, WriterCommitMessage)
 
 from lexorder.sources.texts import CHUNK, HALO, Texts, check_shape
-from lexorder.staging import tasks_for
+from lexorder.staging import qualified, tasks_for
 
 SPLIT = 64 << 20        # bytes of a file that one task reads
 BATCH = 1 << 20         # positions handled at once inside a task
+WHOLE = 1 << 62         # beyond every position and rank
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    """The file system of a path that has its scheme, and the path in it."""
+    if path.startswith("file:/"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path)
 
 
 def _index_of(part: str) -> str:
@@ -105,17 +109,20 @@ class TextFileReader(DataSourceReader):
         self.width = int(options["width"])
         self.chunk = int(options["chunk"])
         self.halo = int(options["halo"])
+        self.beg, self.stop = int(options["beg"]), int(options["stop"])
 
     def partitions(self) -> list[FileRange]:
         step = max(1, SPLIT // (self.chunk * self.width)) * self.chunk
+        first = self.beg // self.chunk * self.chunk
         ranges = []
         for file in _files(self.path):
             if file.size % self.width:
                 raise ValueError(f"{file.path}: {file.size} bytes are not whole symbols of "
                                  f"{self.width} bytes")
             size = file.size // self.width
-            ranges += [FileRange(file.path, beg, min(beg + step, size), size)
-                       for beg in range(0, size, step)]
+            stop = min(size, self.stop)
+            ranges += [FileRange(file.path, beg, min(beg + step, stop), size)
+                       for beg in range(first, stop, step)]
         return ranges or [FileRange("", 0, 0, 0)]
 
     def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
@@ -141,15 +148,18 @@ class TextFileReader(DataSourceReader):
 
 
 def read_text_chunks(spark: SparkSession, path: str, symbol_bytes: int = 1, chunk: int = CHUNK,
-                     halo: int = HALO) -> Texts:
+                     halo: int = HALO, positions: tuple[int, int] | None = None) -> Texts:
     """Files of any length (a file or a folder on a shared file system) as packed chunks.
 
-    Each task reads its own byte range with the look-ahead it needs.
+    Each task reads its own byte range with the look-ahead it needs.  With ``positions`` (from,
+    to) only the chunks that hold any of them are read, and the others are left out.
     """
     check_shape(chunk, halo)
     spark.dataSource.register(TextFiles)
+    beg, stop = positions or (0, WHOLE)
     chunks = (spark.read.format(TextFiles.name()).option("width", symbol_bytes)
-              .option("chunk", chunk).option("halo", halo).load(path))
+              .option("chunk", chunk).option("halo", halo).option("beg", max(beg, 0))
+              .option("stop", stop).load(qualified(spark, path)))
     return Texts(chunks, symbol_bytes, chunk, halo)
 
 
@@ -158,6 +168,8 @@ def write_texts(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
 
     A task that runs again writes the same files.
     """
+    path = qualified(df.sparkSession, path)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(path)
         for batch in batches:
@@ -299,21 +311,43 @@ class PackedWriter(DataSourceArrowWriter):
 
 
 class PackedReader(DataSourceReader):
+    """Reads parts, or of the texts and ranks that are wanted the bytes that hold them."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.width = int(options["width"])
+        wanted = json.loads(options["texts"])
+        self.wanted = None if wanted is None else set(wanted)
+        self.beg, self.stop = int(options["beg"]), int(options["stop"])
 
     def partitions(self) -> list[FileRange]:
         step = SPLIT // self.width
+        fs, _ = _open(self.path)
+        everything = self.wanted is None and self.beg <= 0 and self.stop >= WHOLE
         ranges = []
         for file in _files(self.path):
             if file.size % self.width:
                 raise ValueError(f"{file.path} is not whole elements of {self.width} bytes")
             size = file.size // self.width
-            ranges += [FileRange(file.path, beg, min(beg + step, size), size)
-                       for beg in range(0, size, step)]
+            stretches = [(0, size)] if everything else self.stretches(fs, file.path)
+            ranges += [FileRange(file.path, beg, min(beg + step, stop), size)
+                       for first, stop in stretches for beg in range(first, stop, step)]
         return ranges or [FileRange("", 0, 0, 0)]
 
+    def stretches(self, fs: pafs.FileSystem, part: str) -> list[tuple[int, int]]:
+        """The elements of a part that are wanted, by its index; what touches is one stretch."""
+        index, found, at = pq.read_table(_index_of(part), filesystem=fs), [], 0
+        for text, rank, count in zip(*(index.column(c).to_pylist()
+                                       for c in ("text_id", "rank", "count"))):
+            beg, stop = max(self.beg - rank, 0), min(self.stop - rank, count)
+            if beg < stop and (self.wanted is None or text in self.wanted):
+                if found and found[-1][1] == at + beg:
+                    found[-1] = (found[-1][0], at + stop)
+                else:
+                    found.append((at + beg, at + stop))
+            at += count
+        return found
+
     def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
         if part.stop == 0:
             return
@@ -351,6 +385,7 @@ def export_packed(sa: DataFrame, path: str, width: int = 5, mode: str = "errorif
         raise ValueError("packed suffix arrays take long or string text ids")
     if not 1 <= width <= 8:
         raise ValueError("width must be between 1 and 8 bytes")
+    path = qualified(sa.sparkSession, path)
     fs, root = _open(path)
     there = fs.get_file_info(root).type != pafs.FileType.NotFound
     if there and mode == "errorifexists":
@@ -368,9 +403,17 @@ def export_packed(sa: DataFrame, path: str, width: int = 5, mode: str = "errorif
      .option("max_records", max_records).save(path))
 
 
-def import_packed(spark: SparkSession, path: str, width: int = 5) -> DataFrame:
-    """Read what ``export_packed`` wrote: ``(text_id, rank, pos)``."""
+def import_packed(spark: SparkSession, path: str, width: int = 5, texts: list | None = None,
+                  ranks: tuple[int, int] | None = None) -> DataFrame:
+    """Read what ``export_packed`` wrote: ``(text_id, rank, pos)``.
+
+    With ``texts`` only those, and with ``ranks`` (from, to) only these of each text: the parts'
+    indexes tell which bytes hold them, and no others are read.
+    """
+    path = qualified(spark, path)
     if _parts(*_open(path)) is None:
         raise FileNotFoundError(f"{path} holds no finished export")
     spark.dataSource.register(PackedPositions)
-    return spark.read.format(PackedPositions.name()).option("width", width).load(path)
+    beg, stop = ranks or (0, WHOLE)
+    return (spark.read.format(PackedPositions.name()).option("width", width)
+            .option("texts", json.dumps(texts)).option("beg", beg).option("stop", stop).load(path))

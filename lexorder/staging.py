@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme; without one it is in Spark's default file system."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(named).toString()
+
+
 class Stages:
     """The stage tables of one run, in one folder of their own."""
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from lexorder.functions.ints import (pack_big_endian, pack_little_endian, unpack_big_endian,
                                      unpack_little_endian)
 from lexorder.plans.suffix_array import sort_texts, suffix_array
+from lexorder.sources import files
 from lexorder.sources.files import (export_packed, import_packed, read_text_chunks, read_texts,
                                     write_suffix_array, write_texts)
 from lexorder.sources.texts import explode_symbols
-from lexorder.staging import shared_dir
+from lexorder.staging import qualified, shared_dir
 from tests import model
 
 TEXT = b"mississippi" * 60
@@ -37,6 +38,52 @@ def test_packed_round_trip(spark, sa, tmp_path, width):
     assert back.exceptAll(sa).count() == 0 and sa.exceptAll(back).count() == 0
 
 
+def test_ranks_and_texts_are_read_from_their_bytes(spark, sa, tmp_path):
+    folder = str(tmp_path / "out")
+    export_packed(sa, folder, max_records=100)
+
+    def read(**wanted):
+        """The rows, and the bytes of the partitions that the reader chose."""
+        beg, stop = wanted.get("ranks", (0, files.WHOLE))
+        parts = files.PackedReader({
+            "path": f"file:{folder}", "width": "5", "beg": str(beg), "stop": str(stop),
+            "texts": json.dumps(wanted.get("texts"))}).partitions()
+        rows = import_packed(spark, folder, **wanted)
+        assert rows.exceptAll(sa).count() == 0
+        return rows.count(), 5 * sum(part.stop - part.beg for part in parts)
+
+    size = len(TEXT) + 7
+    assert read() == (size, 5 * size)
+    assert read(ranks=(90, 210)) == (120, 600)
+    assert read(texts=[2]) == (6, 30)
+    assert read(texts=[1, 7], ranks=(0, 3)) == (4, 20)
+    assert read(texts=[5]) == (0, 0)
+
+
+def test_chunks_are_read_from_their_bytes(spark, tmp_path):
+    (tmp_path / "t").write_bytes(TEXT)
+    options = {"path": f"file:{tmp_path}/t", "width": "1", "chunk": "64", "halo": "8"}
+    parts = files.TextFileReader(options | {"beg": "130", "stop": "200"}).partitions()
+    assert [(p.beg, p.stop) for p in parts] == [(128, 200)]
+    some = read_text_chunks(spark, str(tmp_path / "t"), chunk=64, halo=8, positions=(130, 200))
+    whole = read_text_chunks(spark, str(tmp_path / "t"), chunk=64, halo=8)
+    rows = some.chunks.orderBy("chunk_id").collect()
+    assert rows == whole.chunks.filter("chunk_id IN (2, 3)").orderBy("chunk_id").collect()
+
+
+def test_paths_without_a_scheme_are_in_the_default_file_system(spark, tmp_path):
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./data", f"file://{tmp_path}")
+    try:
+        assert qualified(spark, "/data/x") == "viewfs://store/data/x"
+        assert qualified(spark, f"file:{tmp_path}") == f"file:{tmp_path}"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+
+
 def test_existing_output_is_kept_unless_overwritten(spark, sa, tmp_path):
     folder = str(tmp_path / "out")
     export_packed(sa, folder)
