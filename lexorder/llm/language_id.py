@@ -195,7 +195,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang",
     """Learn from all labelled rows; None if there is none.
 
     The counts cover every row.  The driver gets one number per language and bucket.  Only the
-    bits' reliability is measured on a sample, at most about ``calibration_rows`` rows.
+    bits' reliability is measured on a sample, at most about ``calibration_rows`` distinct texts.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
@@ -217,9 +217,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang",
 
 def _trust(spark: SparkSession, rows: DataFrame, model: LanguageModel, bound: int) -> np.ndarray:
     """Share of sampled training rows of each language for which each bit has the right sign."""
-    total = rows.count()
-    part = max(1, -(-total // bound))
-    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(part)) == 0)
+    # Distinct texts are drawn, an equal number of each language, so that neither a text with many
+    # copies nor a frequent language leaves nothing to the others.
+    draw = F.xxhash64("text", F.lit("calibration"))
+    kinds = rows.select("lang", draw.alias("draw")).distinct().groupBy("lang").count().collect()
+    each = max(1, bound // max(len(kinds), 1))
+    parts = F.create_map(*[F.lit(x) for row in kinds for x in
+                           (row["lang"], max(1, -(-row["count"] // each)))])
+    sample = (rows.withColumn("draw", draw)
+              .filter(F.pmod("draw", F.element_at(parts, F.col("lang"))) == 0)
+              .dropDuplicates(["lang", "draw"]))
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")

@@ -50,6 +50,20 @@ def test_empty_unlabelled_and_one_language(spark):
     assert {r["lang_pred"] for r in L.identify(frame(spark, rows)).collect()} == {"en"}
 
 
+def test_calibration_does_not_follow_a_text_with_most_rows(spark):
+    """Copies of a text change no trust, and a rare language gets one of its own."""
+    rows = [r for r in some_documents(seed=4, n=500)[:500] if r[2] != "es"]
+    rows += [(5000 + i, rows[0][1], rows[0][2], "hot", 1) for i in range(2000)]
+    rows += [(9000 + i, f"mañana será otro día número {i}", "es", "s", 1) for i in range(3)]
+    plain = [r for r in rows if r[3] != "hot"]
+    model = L.fit(frame(spark, plain))
+    for bound in (80, 10 ** 9):
+        trusts = [L._trust(spark, frame(spark, some).select("lang", "text"), model, bound)
+                  for some in (plain, rows)]
+        assert np.allclose(*trusts)
+        assert np.isfinite(trusts[0]).all() and (trusts[0] > 0).all()
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 7, 8, 30):
         code = L.codewords(n)
