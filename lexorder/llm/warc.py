@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexorder.staging import Stages, shared_dir
+from lexorder.staging import Stages, qualified, shared_dir
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20      # of records, before compression, after which a file is closed
@@ -318,7 +318,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, page_id: str = "page_id",
                html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages as archives, normalise them, and read the records back."""
     stages = Stages(spark)
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     kinds = record_kinds(pages, stages, page_id, url, html)
     written = stages.save(write_archives(kinds, f"{folder}/whole", archive_bytes), "archives")
     index = stages.save(normalise(written, f"{folder}/normal"), "index")
