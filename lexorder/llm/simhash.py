@@ -7,7 +7,8 @@ and points of the outside that lie less than the link distance beyond the bounda
 the triangle inequality every linked pair then meets in a shard, and with points on one side only
 copied.  Each shard grows the tree further down in memory, compares the points of small leaves
 exactly, and hands on a spanning forest of its links instead of all pairs, which loses no link
-between groups.  The forests are joined by distributed connected components.
+between groups.  A shard of many points that nothing splits is cut into parts, and each pair of parts
+meets in a task of its own.  The forests are joined by distributed connected components.
 
 Defined results: a null or empty text, or one of white space only, has fingerprint zero and links
 like any other.  Rows with a null id take part; a component's id is its least non-null id, null if
@@ -32,6 +33,7 @@ from .components import components
 SHARD_POINTS = 50_000     # points a shard should have, at least
 MOST_SHARDS = 20_000      # beyond this many shards they grow instead
 SAMPLE_PER_SHARD = 32     # sampled points per shard that shape the tree on the driver
+SHARD_FACTOR = 2          # times that size, beyond which a shard is cut into parts
 LEAF = 512                # points that are compared all with all
 VANTAGES = 4              # vantage points tried for a split
 
@@ -199,8 +201,24 @@ def linked_points(points: DataFrame, reach: int, stages: Stages,
         return pd.DataFrame({"u": here[other].view(np.int64),
                              "v": here[root[other]].view(np.int64)})
 
-    placed = points.mapInPandas(place, "shard int, fp long")
-    return stages.save(placed.groupBy("shard").applyInPandas(pairs, "u long, v long"), "forest")
+    placed = stages.save(points.mapInPandas(place, "shard int, fp long"), "placed")
+    # A shard that no vantage point splits is cut: each pair of its parts is a task of its own.
+    limit = SHARD_FACTOR * size
+    parts = placed.groupBy("shard").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    large = {row["shard"]: row["parts"] for row in parts.filter("parts > 1").collect()}
+    if not large:
+        met = placed.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    else:                               # as many shards at most as the tree has
+        count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for entry in large.items()
+                                                       for x in entry]), F.col("shard")), F.lit(1))
+        part = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int")
+        met = (placed.withColumn("parts", count).withColumn("part", part)
+               .select("shard", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+                       .alias("other"))
+               .select("shard", "fp", F.least("part", "other").alias("i"),
+                       F.greatest("part", "other").alias("j")))
+    return stages.save(met.groupBy("shard", "i", "j").applyInPandas(pairs, "u long, v long"),
+                       "forest")
 
 
 def component_table(prints: DataFrame, stages: Stages, reach: int = 2) -> DataFrame:

@@ -104,6 +104,26 @@ def test_many_shards_through_spark(spark, monkeypatch):
         assert roots.get(p, p) == least[g]
 
 
+def test_dense_shard_is_cut_into_parts(spark, monkeypatch):
+    """Points that nothing splits meet by parts, and the chain through all of them stays whole."""
+    rng = random.Random(3)
+    monkeypatch.setattr(S, "grow", lambda *a, **k: [])
+    cloud = {sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(300)}
+    points = np.array(sorted(cloud), dtype=np.uint64)
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    stages = Stages(spark)
+    links = S.linked_points(df, 2, stages, shard_points=40)
+    roots = {r["u"]: r["root"] for r in components(links, stages).collect()}
+    groups = brute_groups(points, 2)
+    signed = points.view(np.int64)
+    least = {}
+    for p, g in zip(signed, groups):
+        least[g] = min(least.get(g, p), p)
+    assert [roots.get(p, p) for p in signed] == [least[g] for g in groups]
+    placed = spark.read.parquet(f"{stages.folder}/placed").groupBy("shard").count()
+    assert placed.agg({"count": "max"}).first()[0] > 80         # so a shard was cut
+
+
 def test_components_of_chains_and_hubs(spark):
     links = ([(i, i + 1) for i in range(60)] + [(1000, 2000 + i) for i in range(50)]
              + [(5000, 5001), (5001, 5000), (7, 7)])
