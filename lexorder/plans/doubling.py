@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexorder.functions.ints import pack_big_endian
+from lexorder.operators.rank_arrays import RankArrays
 from lexorder.operators.ranking import rank_bounded, rank_rows
 from lexorder.operators.types import decode, run_pieces
 from lexorder.sources.texts import Texts
@@ -92,21 +93,18 @@ def read_ahead(rows: DataFrame, texts: Packed, depth: int, symbols: int,
             .select(*rows.columns, upcoming.alias("next")))
 
 
-def _rank_ahead(rows: DataFrame, ranks: DataFrame, texts: Packed, depth: int,
-                count: int) -> DataFrame:
+def _rank_ahead(rows: DataFrame, ranks: DataFrame, texts: Packed, depth: int) -> DataFrame:
     """Add ``next``: the known rank of the suffix ``depth`` symbols in, -1 at the text's end.
 
     Rows that tie have ``depth`` symbols, so that position is in the text or just past its end.
-    Few rows are sent to the ranks, which then need no exchange.
+    The rows, which are few, are sent to the ranks, which need no exchange.
     """
     ends = texts.chunks.filter("last").select(
         "text_id", (F.col("beg") + F.col("len")).alias("pos"), F.lit(-1).cast("long")
         .alias("rank"))
     known = ranks.select("text_id", "pos", "rank").unionByName(ends).select(
         "text_id", F.col("pos").alias("_ahead"), F.col("rank").alias("next"))
-    wanted = rows.withColumn("_ahead", F.col("pos") + depth)
-    if count <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = F.broadcast(rows.withColumn("_ahead", F.col("pos") + depth))
     return known.join(wanted, ["text_id", "_ahead"]).select(*rows.columns, "next")
 
 
@@ -130,13 +128,18 @@ def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: s
 
     ``ranked`` has ``text_id, pos, rank, tied``.  Without ``by_rank`` only symbols are compared,
     as far as two suffixes agree.  Returns the suffix array ``text_id, rank, pos``.
+
+    Ranks that many rows look up are kept packed (see ``RankArrays``), so that a round exchanges
+    only rows that are still open and those whose rank the round before has changed.
     """
-    final, turn = [], 0
+    final, turn, arrays, changed = [], 0, None, None
     while True:
         final.append(ranked.filter(~F.col("tied")))
         open_rows = ranked.filter("tied").select("text_id", "pos", F.col("rank").alias("base"))
         count = open_rows.count()
         if count == 0:
+            if arrays:
+                arrays.drop()
             return union(final).select("text_id", "rank", "pos")
         turn += 1
         # A text of one chunk can be read to its end; elsewhere the halo is the limit.
@@ -148,11 +151,18 @@ def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: s
             rows, size = (read_ahead(open_rows, texts, depth, symbols, count),
                           read_size(texts, symbols, count))
         else:
-            rows = _rank_ahead(open_rows, union([*final, ranked.filter("tied")]), texts, depth,
-                               count)
             symbols, size = depth, 0
+            if arrays:
+                arrays.change(changed)
+            elif count > BROADCAST_ROWS:
+                arrays = RankArrays(union([*final, ranked.filter("tied")]), texts, texts.total,
+                                    stages, f"{name}-ranks")
+            rows = (arrays.look_up(open_rows, depth) if arrays else _rank_ahead(
+                open_rows, union([*final, ranked.filter("tied")]), texts, depth))
         ranked = rank(rows, ["text_id", "base"], ["next"], count, texts, stages, f"{name}-{turn}",
                       size)
+        changed = ranked.filter("rank > 0").select(
+            "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"))
         ranked = ranked.select("text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"),
                                "tied")
         depth += symbols
