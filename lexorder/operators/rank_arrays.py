@@ -101,8 +101,9 @@ class RankArrays:
         self.chunk, self.stages, self.name = texts.chunk, stages, name
         self.width = max(1, -(-total.bit_length() // 8))
         self.tasks = tasks_for(known.sparkSession, total)
-        self.schema = T.StructType([known.schema["text_id"], T.StructField("chunk_id", T.LongType()),
-                                    T.StructField("ranks", T.BinaryType())])
+        self.schema = T.StructType([
+            known.schema["text_id"], T.StructField("chunk_id", T.LongType()),
+            T.StructField("ranks", T.BinaryType())])
         self.version, self.table = 0, None
         ends = texts.chunks.filter("last").select(
             "text_id", (F.col("beg") + F.col("len")).alias("pos"), F.lit(0).cast("long")

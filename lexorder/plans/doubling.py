@@ -11,6 +11,7 @@ ones are split by position even within equal prefixes, so that no repeat makes o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 from functools import reduce
 
@@ -130,42 +131,44 @@ def refine(ranked: DataFrame, depth: int, texts: Packed, stages: Stages, name: s
     as far as two suffixes agree.  Returns the suffix array ``text_id, rank, pos``.
 
     Ranks that many rows look up are kept packed (see ``RankArrays``), so that a round exchanges
-    only rows that are still open and those whose rank the round before has changed.
+    only rows that are still open and those whose rank has changed since the last look-up.
     """
-    final, turn, arrays, changed = [], 0, None, None
-    while True:
-        final.append(ranked.filter(~F.col("tied")))
-        open_rows = ranked.filter("tied").select("text_id", "pos", F.col("rank").alias("base"))
-        count = open_rows.count()
-        if count == 0:
-            if arrays:
-                arrays.drop()
-            return union(final).select("text_id", "rank", "pos")
-        turn += 1
-        # A text of one chunk can be read to its end; elsewhere the halo is the limit.
-        reach = texts.chunk if texts.single else texts.halo
-        symbols = min(EXTENSION_BUDGET * texts.total // (count * texts.width), reach)
-        if not by_rank:
-            symbols = min(depth, reach)
-        if symbols >= depth or not by_rank:     # by rank the length compared at least doubles
-            rows, size = (read_ahead(open_rows, texts, depth, symbols, count),
-                          read_size(texts, symbols, count))
-        else:
-            symbols, size = depth, 0
-            if arrays:
-                arrays.change(changed)
-            elif count > BROADCAST_ROWS:
-                arrays = RankArrays(union([*final, ranked.filter("tied")]), texts, texts.total,
-                                    stages, f"{name}-ranks")
-            rows = (arrays.look_up(open_rows, depth) if arrays else _rank_ahead(
-                open_rows, union([*final, ranked.filter("tied")]), texts, depth))
-        ranked = rank(rows, ["text_id", "base"], ["next"], count, texts, stages, f"{name}-{turn}",
-                      size)
-        changed = ranked.filter("rank > 0").select(
-            "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"))
-        ranked = ranked.select("text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"),
-                               "tied")
-        depth += symbols
+    final, turn, arrays, changes = [], 0, None, []
+    with ExitStack() as cleanup:
+        while True:
+            final.append(ranked.filter(~F.col("tied")))
+            open_rows = ranked.filter("tied").select("text_id", "pos", F.col("rank").alias("base"))
+            count = open_rows.count()
+            if count == 0:
+                return union(final).select("text_id", "rank", "pos")
+            turn += 1
+            # A text of one chunk can be read to its end; elsewhere the halo is the limit.
+            reach = texts.chunk if texts.single else texts.halo
+            symbols = min(EXTENSION_BUDGET * texts.total // (count * texts.width), reach)
+            if not by_rank:
+                symbols = min(depth, reach)
+            if symbols >= depth or not by_rank:     # by rank the length compared at least doubles
+                rows, size = (read_ahead(open_rows, texts, depth, symbols, count),
+                              read_size(texts, symbols, count))
+            else:
+                symbols, size = depth, 0
+                if arrays:
+                    for changed in changes:     # in order: a later one holds
+                        arrays.change(changed)
+                elif count > BROADCAST_ROWS:
+                    arrays = RankArrays(union([*final, ranked.filter("tied")]), texts,
+                                        texts.total, stages, f"{name}-ranks")
+                    cleanup.callback(arrays.drop)
+                changes = []
+                rows = (arrays.look_up(open_rows, depth) if arrays else _rank_ahead(
+                    open_rows, union([*final, ranked.filter("tied")]), texts, depth))
+            ranked = rank(rows, ["text_id", "base"], ["next"], count, texts, stages,
+                          f"{name}-{turn}", size)
+            changes.append(ranked.filter("rank > 0").select(
+                "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank")))
+            ranked = ranked.select("text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"),
+                                   "tied")
+            depth += symbols
 
 
 def first_order(texts: Packed, stages: Stages, name: str) -> tuple[DataFrame, int]:

@@ -72,3 +72,26 @@ def test_every_round_by_arrays(spark, monkeypatch, options):
     for i, text in enumerate(texts):
         assert got.get(i, []) == model.suffix_array(text), text
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("lexorder_")]
+
+
+def test_symbols_read_between_looks_at_the_arrays(spark, monkeypatch):
+    """Changes of a round that read symbols, and of the one before it, are not forgotten."""
+    monkeypatch.setattr(doubling_plan, "PREFIX_BYTES", 1)
+    monkeypatch.setattr(doubling_plan, "EXTENSION_BUDGET", 2)
+    monkeypatch.setattr(doubling_plan, "BROADCAST_ROWS", 0)
+    steps = []
+    for name in ("change", "look_up"):
+        old = getattr(RankArrays, name)
+        monkeypatch.setattr(RankArrays, name, lambda self, *rest, name=name, old=old: (
+            steps.append(name) or old(self, *rest)))
+    read = doubling_plan.read_ahead
+    monkeypatch.setattr(doubling_plan, "read_ahead",
+                        lambda *rest: steps.append("read") or read(*rest))
+    rng = random.Random(6)
+    part = bytes(rng.choices(b"ab", k=100))
+    text = bytes(rng.choices(b"ab", k=3_000)) + part + bytes(rng.choices(b"abc", k=100)) + part
+    df = spark.createDataFrame([(0, text)], "id long, t binary")
+    sa = suffix_array(df, "id", "t", method="doubling", chunk=64, halo=32)
+    assert [r.pos for r in sa.orderBy("rank").collect()] == model.suffix_array(text)
+    first, last = steps.index("look_up"), len(steps) - steps[::-1].index("look_up")
+    assert "read" in steps[first:last] and steps[first:last].count("change") >= 2, steps
