@@ -228,6 +228,16 @@ def test_order_errors_are_found(spark):
         assert positions.suffix_order_errors(wrong, symbols).count() > 0
 
 
+def test_order_check_broadcasts_no_symbols(spark, tmp_path):
+    """Packed texts are small files, the rows of their symbols are not."""
+    spark.range(5).selectExpr("id", "repeat('abc', 50) AS t").write.parquet(str(tmp_path / "t"))
+    texts = chunk_texts(spark.read.parquet(str(tmp_path / "t")), "id", "t")
+    errors = positions.suffix_order_errors(sort_texts(texts), explode_symbols(texts))
+    assert errors.count() == 0
+    plan = errors._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [text_id" in plan and "BroadcastHashJoin [text_id" not in plan
+
+
 @pytest.mark.parametrize("shape", [{}, {"chunk": 4, "halo": 2}])
 def test_preceding_symbol(spark, shape):
     df = spark.createDataFrame([(0, "mississippi"), (1, "banana")], "id long, t string")
