@@ -311,7 +311,11 @@ class PackedWriter(DataSourceArrowWriter):
 
 
 class PackedReader(DataSourceReader):
-    """Reads parts, or of the texts and ranks that are wanted the bytes that hold them."""
+    """Reads parts, or of the texts and ranks that are wanted the bytes that hold them.
+
+    A range of a partition counts wanted elements; the task finds in the part's index where they
+    lie.  So the driver sees one part's index at a time, and keeps nothing of a text.
+    """
 
     def __init__(self, options):
         self.path = options["path"]
@@ -321,6 +325,7 @@ class PackedReader(DataSourceReader):
         self.beg, self.stop = int(options["beg"]), int(options["stop"])
 
     def partitions(self) -> list[FileRange]:
+        """Ranges of the wanted elements of each part: as many as these fill, however they lie."""
         step = SPLIT // self.width
         fs, _ = _open(self.path)
         everything = self.wanted is None and self.beg <= 0 and self.stop >= WHOLE
@@ -329,45 +334,57 @@ class PackedReader(DataSourceReader):
             if file.size % self.width:
                 raise ValueError(f"{file.path} is not whole elements of {self.width} bytes")
             size = file.size // self.width
-            stretches = [(0, size)] if everything else self.stretches(fs, file.path)
-            ranges += [FileRange(file.path, beg, min(beg + step, stop), size)
-                       for first, stop in stretches for beg in range(first, stop, step)]
+            if not everything:
+                size = int(self.wanted_of(self.index(fs, file.path))[1].sum())
+            ranges += [FileRange(file.path, beg, min(beg + step, size), size)
+                       for beg in range(0, size, step)]
         return ranges or [FileRange("", 0, 0, 0)]
 
-    def stretches(self, fs: pafs.FileSystem, part: str) -> list[tuple[int, int]]:
-        """The elements of a part that are wanted, by its index; what touches is one stretch."""
-        index, found, at = pq.read_table(_index_of(part), filesystem=fs), [], 0
-        for text, rank, count in zip(*(index.column(c).to_pylist()
-                                       for c in ("text_id", "rank", "count"))):
-            beg, stop = max(self.beg - rank, 0), min(self.stop - rank, count)
-            if beg < stop and (self.wanted is None or text in self.wanted):
-                if found and found[-1][1] == at + beg:
-                    found[-1] = (found[-1][0], at + stop)
-                else:
-                    found.append((at + beg, at + stop))
-            at += count
-        return found
+    def index(self, fs: pafs.FileSystem, part: str) -> pa.Table:
+        """What a part holds; the texts only if some are chosen by name."""
+        columns = ["rank", "count"] if self.wanted is None else ["text_id", "rank", "count"]
+        return pq.read_table(_index_of(part), filesystem=fs, columns=columns)
+
+    def wanted_of(self, index: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run of a part: its first element that is wanted, and how many are."""
+        rank, count = (index.column(c).to_numpy() for c in ("rank", "count"))
+        first = np.maximum(self.beg - rank, 0)
+        size = np.maximum(np.minimum(self.stop - rank, count) - first, 0)
+        if self.wanted is not None:
+            text = index.column("text_id")
+            chosen = pc.is_in(text, pa.array(list(self.wanted), text.type))
+            size = np.where(chosen.to_numpy(), size, 0)
+        return first, size
 
     def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
         if part.stop == 0:
             return
         fs, _ = _open(self.path)
         index = pq.read_table(_index_of(part.path), filesystem=fs)
-        ends = np.cumsum(index.column("count").to_numpy())
-        begs = ends - index.column("count").to_numpy()
-        texts = index.column("text_id").combine_chunks()
-        ranks = index.column("rank").to_numpy()
+        first, size = self.wanted_of(index)
+        runs = np.flatnonzero(size)
+        first, upto = first[runs], np.cumsum(size[runs])
+        # Of the first wanted element of a run: its rank, and where it is in the part.
+        ranks = index.column("rank").to_numpy()[runs] + first
+        count = index.column("count").to_numpy()
+        begs = (np.cumsum(count) - count)[runs] + first
+        before = upto - size[runs]
+        texts = index.column("text_id").combine_chunks().take(pa.array(runs))
         with fs.open_input_file(part.path) as file:
             for beg in range(part.beg, part.stop, BATCH):
-                stop = min(beg + BATCH, part.stop)
-                raw = np.frombuffer(file.read_at((stop - beg) * self.width, beg * self.width),
-                                    np.uint8).reshape(-1, self.width)
-                wide = np.zeros((stop - beg, 8), dtype=np.uint8)
-                wide[:, :self.width] = raw
-                at = np.arange(beg, stop)
-                run = np.searchsorted(ends, at, "right")
+                nth = np.arange(beg, min(beg + BATCH, part.stop))
+                run = np.searchsorted(upto, nth, "right")
+                inside = nth - before[run]
+                at = begs[run] + inside
+                # What touches is read at once.
+                cuts = np.flatnonzero(np.diff(at) != 1) + 1
+                raw = b"".join(file.read_at((stop - start) * self.width, int(at[start]) * self.width)
+                               for start, stop in zip([0, *cuts.tolist()],
+                                                      [*cuts.tolist(), len(at)]))
+                wide = np.zeros((len(at), 8), dtype=np.uint8)
+                wide[:, :self.width] = np.frombuffer(raw, np.uint8).reshape(-1, self.width)
                 yield pa.RecordBatch.from_arrays(
-                    [texts.take(pa.array(run)), pa.array(ranks[run] + at - begs[run]),
+                    [texts.take(pa.array(run)), pa.array(ranks[run] + inside),
                      pa.array(wide.view("<u8").ravel().astype(np.int64))],
                     names=["text_id", "rank", "pos"])
 

@@ -60,6 +60,28 @@ def test_ranks_and_texts_are_read_from_their_bytes(spark, sa, tmp_path):
     assert read(texts=[5]) == (0, 0)
 
 
+def test_many_texts_are_few_partitions(spark, tmp_path, monkeypatch):
+    """Ranges of ranks lie apart in a part, one stretch a text; a partition has many of them."""
+    rows = spark.range(300).selectExpr("id", "concat('banana', id) AS t")
+    sa, folder = suffix_array(rows, "id", "t").coalesce(1), str(tmp_path / "out")
+    export_packed(sa, folder, rows=1)
+    options = {"path": f"file:{folder}", "width": "5", "beg": "2", "stop": "5", "texts": "null"}
+    held = len(json.load(open(f"{folder}/_parts.json")))
+    assert len(files.PackedReader(options).partitions()) <= held
+    got = import_packed(spark, folder, ranks=(2, 5))
+    wanted = sa.filter("rank BETWEEN 2 AND 4")
+    assert got.count() == 900
+    assert got.exceptAll(wanted).count() == 0
+    # A stretch may go on in the next batch and in the next partition.
+    monkeypatch.setattr(files, "BATCH", 7)
+    monkeypatch.setattr(files, "SPLIT", 5 * 100)
+    reader, read = files.PackedReader(options), []
+    for part in reader.partitions():
+        assert part.stop - part.beg <= 100
+        read += [row for batch in reader.read(part) for row in batch.to_pylist()]
+    assert sorted(tuple(r.values()) for r in read) == sorted(map(tuple, wanted.collect()))
+
+
 def test_chunks_are_read_from_their_bytes(spark, tmp_path):
     (tmp_path / "t").write_bytes(TEXT)
     options = {"path": f"file:{tmp_path}/t", "width": "1", "chunk": "64", "halo": "8"}
