@@ -13,8 +13,9 @@ chance to be one (Elkan and Noto).  For each kind the least score from which on
 reaches the wanted precision, and at which most candidates are labelled, is the threshold; what
 scores above it, and touches no base span, is added.  Base spans always stay.
 
-The trees are fitted on at most about ``TRAIN_ROWS`` candidates of a kind, chosen by hash.  A kind
-without base spans, or that reaches the precision nowhere, adds nothing.
+The trees are fitted on all candidates of a kind but the quarter held out by hash, and chances and
+threshold come from all of them.  (Spark's trees take the values at which they may split from some
+10,000 rows.)  A kind without base spans, or that reaches the precision nowhere, adds nothing.
 
 Defined results: a null or empty text has no spans.  Offsets are code points, ends exclusive.  Of
 added spans that overlap the better one stays, then the earlier.  Null ids and repeated rows are
@@ -36,11 +37,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexorder.staging import Stages
+from lexorder.staging import Stages, tasks_for
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20_000       # candidates of a kind that trees are fitted and thresholds set on
 PRECISION = 0.99          # wanted of added spans
+STEPS = 1024              # ranges of scores that a step towards the threshold looks at
 TREES, DEPTH = 8, 3
 REACH = 254               # characters of an address, by the rules of mail, so of a side of it
 CONTEXT = 16              # characters before a candidate that features see
@@ -239,51 +240,69 @@ def found_spans(text: str) -> Column:
     return read(F.col(text))
 
 
-def _sample(pool: DataFrame, total: int, bound: int) -> DataFrame:
-    part = max(1, -(-total // bound))
-    return pool.filter(F.pmod(F.col("draw"), F.lit(part)) == 0)
+def least_score(scores: DataFrame, precision: float) -> float | None:
+    """The least score down to which the mean chance reaches the precision, None without any.
+
+    ``scores`` are (score, chance), a row each, whose chance never falls with the score, so that the
+    mean from the best row down never rises.  Scores are counted in ranges, then in ranges of the one
+    range in which the mean falls below, until that is a single score.
+    """
+    found, n, total = None, 0, 0.0
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low is not None:
+        within = scores.filter((F.col("score") >= low) & (F.col("score") <= high))
+        part = F.least(F.floor((F.col("score") - low) / max((high - low) / STEPS, 1e-300)),
+                       F.lit(STEPS - 1))
+        ranges = within.groupBy(part.alias("part")).agg(
+            F.count("*").alias("n"), F.sum("chance").alias("chance"),
+            F.min("score").alias("low"), F.max("score").alias("high")).collect()
+        low = None
+        for rows in sorted(ranges, key=lambda rows: -rows["part"]):
+            if total + rows["chance"] < precision * (n + rows["n"]):
+                if rows["low"] < rows["high"]:
+                    low, high = rows["low"], rows["high"]
+                elif total + rows["chance"] / rows["n"] >= precision * (n + 1):
+                    found = rows["low"]         # all of a score, if its first does
+                break
+            found, n, total = rows["low"], n + rows["n"], total + rows["chance"]
+    return found
 
 
-def choose(pool: DataFrame, kind: int, stages: Stages, bound: int = TRAIN_ROWS,
+def choose(pool: DataFrame, kind: int, stages: Stages,
            precision: float = PRECISION) -> DataFrame | None:
     """Candidates of a kind that are no base spans, with a score at or above the threshold."""
     own = pool.filter(F.col("kind") == kind)
     counts = dict(own.groupBy("label").count().collect())
     if not counts.get(0) or not counts.get(1):
         return None
-    # Half of the sample of either label, so that rare ones are there.
-    sample = stages.save(
-        _sample(own.filter("label = 1"), counts[1], bound // 2)
-        .union(_sample(own.filter("label = 0"), counts[0], bound // 2))
-        .select(F.col("label").cast("double").alias("label"), "draw",
-                array_to_vector("features").alias("features")).orderBy("draw").coalesce(1),
-        f"sample-{kind}")
-    fit = sample.filter(F.pmod(F.shiftright("draw", 20), F.lit(4)) != 3)
+    rows = stages.save(
+        own.select("row", "kind", "begin", "end", "draw", F.col("label").cast("double")
+                   .alias("label"), array_to_vector("features").alias("features"))
+        .repartition(tasks_for(pool.sparkSession, sum(counts.values())), "draw")
+        .sortWithinPartitions("draw"), f"rows-{kind}")
+    apart = F.pmod(F.shiftright("draw", 20), F.lit(4)) == 3      # what the trees do not see
+    fit = rows.filter(~apart)
     if fit.select("label").distinct().count() < 2:
         return None
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=3, stepSize=0.3)
-    model = trees.fit(fit)
-
-    def scored(rows: DataFrame) -> DataFrame:
-        return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-
-    known = scored(sample).select("score", "label", "draw").toPandas()
-    base = known[known["label"] == 1]
-    apart = base[(base["draw"] // (1 << 20)) % 4 == 3]           # what the trees have not seen
-    labelled = float((apart if len(apart) else base)["score"].mean())
-    unlabelled = known.loc[known["label"] == 0, "score"].sort_values(ascending=False).to_numpy()
+    scored = stages.save(trees.fit(fit).transform(rows).select(
+        "row", "kind", "begin", "end", "label", apart.alias("apart"),
+        vector_to_array("probability")[1].alias("score")), f"scored-{kind}")
+    held, seen = scored.filter("label = 1").agg(
+        F.avg(F.when(F.col("apart"), F.col("score"))), F.avg("score")).first()
+    labelled = seen if held is None else held
     if not 0 < labelled < 1:
         return None
-    # The chance of an unlabelled candidate to be a true one, and its mean from the best down.
-    chance = np.minimum((1 - labelled) / labelled * unlabelled / np.maximum(1 - unlabelled, 1e-12), 1)
-    share = chance.cumsum() / np.arange(1, len(chance) + 1)
-    good = np.flatnonzero((share >= precision) & (unlabelled >= 0.5))
-    if not len(good):
+    # The chance of an unlabelled candidate to be a true one.
+    score = F.col("score")
+    chance = F.least((1 - labelled) / labelled * score / F.greatest(1 - score, F.lit(1e-12)),
+                     F.lit(1.0))
+    new = scored.filter("label = 0")
+    threshold = least_score(new.filter("score >= 0.5").select("score", chance.alias("chance")),
+                            precision)
+    if threshold is None:
         return None
-    threshold = float(unlabelled[good[-1]])
-    new = own.filter("label = 0").withColumn("features", array_to_vector("features"))
-    return scored(new).filter(F.col("score") >= threshold).select(
-        "row", "kind", "begin", "end", "score")
+    return new.filter(score >= threshold).select("row", "kind", "begin", "end", "score")
 
 
 def _without_overlaps(spans: Column) -> Column:

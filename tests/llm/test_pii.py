@@ -3,7 +3,10 @@ import random
 import re
 import time
 
+import pytest
+
 from lexorder.llm import pii as P
+from lexorder.staging import Stages
 
 from .data import CLASHES, frame, some_documents
 
@@ -129,6 +132,38 @@ def test_missed_phones_and_spelled_emails_are_added(spark):
     assert got == {r[0]: r[4] for r in rows}
 
 
+def test_trees_are_fitted_on_all_candidates(spark, monkeypatch):
+    """More candidates than any bound, of which those that are no base spans are few."""
+    fitted = []
+
+    class Trees(P.GBTClassifier):
+        def fit(self, rows):
+            fitted.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(P, "GBTClassifier", Trees)
+    pool = spark.range(25_000).selectExpr(
+        "id AS row", "3 AS kind", "0 AS begin", "9 AS end", "xxhash64(id) AS draw",
+        "int(id % 9 > 0) AS label", "array(double(id % 9 > 0), double(id % 7)) AS features")
+    P.choose(pool, 3, Stages(spark))
+    assert fitted == [pool.filter("pmod(shiftright(draw, 20), 4) <> 3").count()]
+
+
+@pytest.mark.parametrize("precision", [0.5, 0.8, 0.9, 1.0])
+def test_least_score_is_that_of_all_scores(spark, precision):
+    rng = random.Random(6)
+    scores = [rng.choice((rng.random(), 0.75, 0.75 + 1e-15, 0.9)) for _ in range(500)]
+    rows = sorted(((s, min(1.2 * s, 1.0)) for s in scores), reverse=True)
+    expected = None
+    for s in sorted(set(scores), reverse=True):
+        chances = [c for t, c in rows if t > s] + [min(1.2 * s, 1.0)]
+        if sum(chances) >= precision * len(chances):
+            expected = s
+    df = spark.createDataFrame(rows, "score double, chance double")
+    assert P.least_score(df, precision) == expected
+    assert P.least_score(df.filter("score > 2"), precision) is None
+
+
 def test_empty_table(spark):
     assert P.find(frame(spark, [])).collect() == []
 
