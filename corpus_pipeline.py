@@ -31,7 +31,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word similarity of 0.8 or more."""
+    """One document of each group linked by a five-word similarity of 0.8 or more.
+
+    Fingerprints linked by op2's vantage-point trees propose pairs, and so do min-hashes; the exact
+    similarity decides.
+    """
     return near_copies.keep_one(docs)
 
 

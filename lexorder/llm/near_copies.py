@@ -1,6 +1,8 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Min-hashes propose pairs and the exact similarity decides.  A text has ``BANDS`` keys, each made of
+Fingerprints and min-hashes propose pairs and the exact similarity decides.  The vantage-point trees of
+``simhash`` link texts whose fingerprints, of the same five-word shingles, differ by ``REACH`` bits or
+less; a component of these links is a key of its texts.  A text has ``BANDS`` keys more, each made of
 ``ROWS`` min-hashes of its shingle set.  A pair of similarity s shares no key with a chance of
 (1 - s ** ROWS) ** BANDS, 7.4e-7 at 0.8 and less above; at 0.2 a pair shares one with 0.08 %.
 
@@ -33,8 +35,10 @@ from lexorder.staging import Stages
 
 from .common import keep_rows
 from .components import components
+from .simhash import component_table, fingerprints
 
 WORDS = 5
+REACH = 2                 # bits within which fingerprints are linked
 SIMILAR = (4, 5)          # least similarity, as a fraction
 BANDS, ROWS = 60, 7
 PART = 512                # texts of a part
@@ -196,15 +200,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     stages = Stages(docs.sparkSession)
     rows, row = keep_rows(docs, stages)
     prints = stages.save(rows.select(F.col(doc_id).alias("id"), F.col(row).alias("row"),
+                                     fingerprints(text, WORDS).alias("fp"),
                                      prints_of(text).alias("print"))
-                         .select("id", "row", "print.*"), "prints")
+                         .select("id", "row", "fp", "print.*"), "prints")
     # Texts with the same set are one node, the least of their rows.
     nodes = stages.save(prints.groupBy("same").agg(
         F.min("row").alias("node"),
         F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("first"))
         .select("node", "first"), "nodes")
     own = prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(
-        F.col("row").alias("node"), "size", "keys")
+        F.col("row").alias("node"), "fp", "size", "keys")
+    linked = component_table(own.select(F.col("node").alias("id"), "fp"), stages.inner("trees"),
+                             REACH).select("fp", "root")
+    own = stages.save(own.join(linked, "fp").select("node", "size", F.array_append(
+        "keys", F.xxhash64(F.lit("fingerprint"), "root")).alias("keys")), "own")
     keyed = stages.save(own.select(F.explode("keys").alias("key"), "node"), "keyed")
     lowest = keyed.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter(
         "n > 1").select("key", "v")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexorder.llm import near_copies as C
 from lexorder.llm import simhash
@@ -63,6 +65,24 @@ def test_pipeline_stage_links_five_words_at_point_eight(spark):
     assert sorted((r["doc_id"] for r in simhash.keep_one(docs).collect()), key=str) != expected
 
 
+def test_fingerprints_propose_too(spark, monkeypatch):
+    """Without a min-hash in common, what the trees of op2 link is still found."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(30):
+        text = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [(2 * i, " ".join(text), "en", "s", 1), (2 * i + 1, edited(rng, text, 1), "en", "s", 1)]
+    own = F.transform(F.sequence(F.lit(1), F.lit(C.BANDS)), lambda i: F.xxhash64("doc_id", i))
+    real = C.prints_of
+    monkeypatch.setattr(C, "prints_of", lambda text: real(text).withField("keys", own))
+    prints = [simhash.fingerprint(r[1].encode(), C.WORDS, 42) for r in rows]
+    near = [bin((prints[2 * i] ^ prints[2 * i + 1]) & (1 << 64) - 1).count("1") <= C.REACH
+            for i in range(30)]
+    kept = sorted(r["doc_id"] for r in C.keep_one(frame(spark, rows)).collect())
+    assert sum(near) > 5
+    assert kept == sorted([2 * i for i in range(30)] + [2 * i + 1 for i in range(30) if not near[i]])
+
+
 def test_nulls_copies_and_clashing_names(spark):
     rows = some_documents()
     docs = frame(spark, rows, CLASHES)
