@@ -32,7 +32,8 @@ from lexorder.sources.texts import CHUNK, HALO, Texts, check_shape
 from lexorder.staging import qualified, tasks_for
 
 SPLIT = 64 << 20        # bytes of a file that one task reads
-BATCH = 1 << 20         # positions handled at once inside a task
+BATCH = 1 << 17         # positions handled at once inside a task
+PIECES = 256            # small index tables of a part that are put together
 WHOLE = 1 << 62         # beyond every position and rank
 
 
@@ -270,6 +271,8 @@ class PackedWriter(DataSourceArrowWriter):
                 piece = batch.slice(at, min(room, BATCH))
                 out.write(self.pack(piece.column("pos").to_numpy()).tobytes())
                 index.append(self.runs(piece))
+                if len(index) > PIECES:
+                    index = [pa.concat_tables(index).combine_chunks()]
                 at += piece.num_rows
                 room -= piece.num_rows
         if out is not None:
