@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexorder.functions.ints import pack_big_endian
@@ -11,6 +13,7 @@ from lexorder.staging import Stages, default_tasks, tasks_for
 
 BROADCAST_NAMES = 200_000       # a name table of up to this many rows and bytes is broadcast
 BROADCAST_BYTES = 16 << 20
+BOUNDED = 1 << 17   # rows of a text that one task ranks
 FAN = 4096      # names that make up a value of the next round
 
 
@@ -66,31 +69,84 @@ def names_by_pairs(symbols: DataFrame, stages: Stages | None = None,
     ``symbols`` are ``(text_id, star_idx, pos, sym)`` of the substrings.  In each round two
     stretches that follow each other within a substring get one name, the rank of (name of the
     first, name of its tail) among the text's pairs; a stretch without a tail has -1 there and
-    comes first.  Stretches are twice as long, and half as many, in every round.
+    comes first.  Stretches are twice as long, and half as many, in every round.  Texts of up to
+    ``BOUNDED`` rows are exchanged once; the rows of longer ones are spread over tasks in each round.
     """
     spark = symbols.sparkSession
-    stages, tasks = stages or Stages(spark), tasks or default_tasks(spark)
-    key = ["text_id", "star_idx"]
+    stages = stages or Stages(spark)
     symbols = stages.save(symbols, "pair-symbols")
-    stars = stages.save(symbols.groupBy(*key).agg(F.min("pos").alias("star_pos")), "pair-stars")
-    named = symbols.join(stars, key).select(
-        *key, (F.col("pos") - F.col("star_pos")).alias("k"), F.col("sym").alias("name"))
-    turn, longest = 0, named.agg(F.max("k")).first()[0]
+    stars = stages.save(symbols.groupBy("text_id", "star_idx").agg(
+        F.min("pos").alias("star_pos"), F.max("pos").alias("end"), F.count("*").alias("n")),
+        "pair-stars")
+    sizes = stages.save(stars.groupBy("text_id").agg(
+        F.sum("n").alias("n"), F.max(F.col("end") - F.col("star_pos")).alias("longest")),
+        "pair-sizes")
+    bounded = F.col("n") <= BOUNDED
+    found = {row["bounded"]: row for row in sizes.groupBy(bounded.alias("bounded")).agg(
+        F.sum("n").alias("n"), F.max("longest").alias("longest")).collect()}
+    parts = []
+    for few, row in found.items():
+        those = symbols
+        if len(found) > 1:
+            those = symbols.join(sizes.filter(bounded if few else ~bounded), "text_id", "left_semi")
+        count = tasks or max(tasks_for(spark, row["n"]), 1)
+        parts.append(_pairs_by_window(those, row["longest"], count) if few else
+                     _pairs_by_rows(those, stars, row["longest"], stages, count))
+    if not parts:
+        return symbols.select("text_id", "star_idx", "pos", F.col("sym").alias("name"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+KEY = ["text_id", "star_idx"]
+
+
+def _pairs(named: DataFrame, also: list[str]) -> DataFrame:
+    """Pairs of stretches: the names of the first and of its tail, -1 without one."""
+    second = F.col("k") % 2 == 1
+    return named.groupBy(*KEY, *also, F.expr("k div 2").alias("half")).agg(
+        F.max(F.when(~second, F.col("name"))).alias("name"),
+        F.coalesce(F.max(F.when(second, F.col("name"))), F.lit(-1)).alias("tail_name"))
+
+
+def _pairs_by_window(symbols: DataFrame, longest: int, tasks: int) -> DataFrame:
+    """The rounds for texts of bounded size: one exchange by text, then windows in place."""
+    text, star = Window.partitionBy("text_id"), Window.partitionBy(*KEY)
+
+    def dense(*key: str) -> Column:
+        return (F.dense_rank().over(text.orderBy(*key)) - 1).cast("long")
+
+    begin = F.min("pos").over(star)
+    named = symbols.repartition(tasks, "text_id").select(
+        *KEY, (F.col("pos") - begin).alias("k"), F.col("sym").alias("name"),
+        begin.alias("star_pos"))
+    while longest:
+        named = _pairs(named, ["star_pos"]).select(
+            *KEY, F.col("half").alias("k"), dense("name", "tail_name").alias("name"), "star_pos")
+        longest //= 2
+    whole = named.withColumn("goes_on", F.col("star_idx") < F.max("star_idx").over(text))
+    return whole.select(*KEY, F.col("star_pos").alias("pos"), dense("name", "goes_on")
+                        .alias("name"))
+
+
+def _pairs_by_rows(symbols: DataFrame, stars: DataFrame, longest: int, stages: Stages,
+                   tasks: int) -> DataFrame:
+    """The rounds for texts of any size: rows of one text are ranked in many tasks."""
+    named = symbols.join(stars, KEY).select(
+        *KEY, (F.col("pos") - F.col("star_pos")).alias("k"), F.col("sym").alias("name"))
+    turn = 0
     while longest:
-        second = F.col("k") % 2 == 1
-        pairs = named.groupBy(*key, F.expr("k div 2").alias("half")).agg(
-            F.max(F.when(~second, F.col("name"))).alias("name"),
-            F.coalesce(F.max(F.when(second, F.col("name"))), F.lit(-1)).alias("tail_name"))
+        # Staged, as the range exchange reads its rows twice.
+        pairs = stages.save(_pairs(named, []), f"pairs-{turn}-rows")
         named = rank_rows(pairs, ["text_id"], ["name", "tail_name"], ["star_idx", "half"], tasks,
-                          stages, f"pairs-{turn}", keep=[*key, "half"], what="dense").select(
-            *key, F.col("half").alias("k"), F.col("rank").alias("name"))
+                          stages, f"pairs-{turn}", keep=[*KEY, "half"], what="dense").select(
+            *KEY, F.col("half").alias("k"), F.col("rank").alias("name"))
         turn, longest = turn + 1, longest // 2
     last = stars.groupBy("text_id").agg(F.max("star_idx").alias("last_star"))
-    whole = named.join(stars, key).join(last, "text_id").select(
-        *key, F.col("star_pos").alias("pos"), "name",
+    whole = named.join(stars, KEY).join(last, "text_id").select(
+        *KEY, F.col("star_pos").alias("pos"), "name",
         (F.col("star_idx") < F.col("last_star")).alias("goes_on"))
     return rank_rows(whole, ["text_id"], ["name", "goes_on"], ["pos"], tasks, stages, "whole",
-                     keep=[*key, "pos"], what="dense").select(*key, "pos",
+                     keep=[*KEY, "pos"], what="dense").select(*KEY, "pos",
                                                               F.col("rank").alias("name"))
 
 
