@@ -9,6 +9,7 @@ Texts of names that fit one chunk are sorted in the task that holds the chunk.
 
 from __future__ import annotations
 
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from lexorder.operators.types import (Block, following_star, long_runs, map_bloc
 from lexorder.plans.doubling import (Packed, chunk_orders, prefix_of_piece, rank, read_ahead, read_size, refine,
                                      union)
 from lexorder.sources.texts import Texts, pack_symbols
-from lexorder.staging import Stages
+from lexorder.staging import Stages, tasks_for
 
 KEY_BYTES = 16          # symbols before the next star that go into the key, in bytes
 ENDS, FAR = -1, 1 << 62     # in place of a star's rank: the text ends; no star within the key
@@ -81,16 +82,22 @@ def ahead(read: Column, left: Column, symbols: int, width: int) -> Column:
             .otherwise(F.lit(FAR)).cast("long"))
 
 
-def sort_keys(cut: DataFrame, star_ranks: DataFrame, width: int, symbols: int) -> DataFrame:
+def sort_keys(cut: DataFrame, star_ranks: DataFrame, width: int, symbols: int,
+              texts: Packed | None = None) -> DataFrame:
     """``(text_id, pos, prefix, ahead)`` and the star of every suffix of some pieces.
 
+    With ``texts``, if these have one chunk each, the rows are made where they are to be ranked,
+    partitioned by text.
+
     ``prefix`` runs to the next star if that lies within ``symbols``, and ``ahead`` is its rank;
     else ``prefix`` is as long as it may be.  ``star_ranks`` are ``(text_id, star_pos,
     star_rank)``.
     """
     i = F.col("i")
-    return (cut.join(star_ranks, ["text_id", "star_pos"], "left")
-            .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
+    met = cut.join(star_ranks, ["text_id", "star_pos"], "left")
+    if texts and texts.single:
+        met = met.repartition(tasks_for(cut.sparkSession, texts.total), "text_id")
+    return (met.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
             .select("text_id", (F.col("pos") + i).alias("pos"),
                     prefix_of_piece(width, symbols).alias("prefix"), "star_pos", "star_rank")
             .withColumn("ahead", ahead(F.col("prefix"), F.col("star_pos") - F.col("pos"), symbols,
@@ -127,10 +134,27 @@ def long_tails(stars: DataFrame, texts: Packed, stages: Stages, name: str) -> Da
 
 
 def staged(texts: Texts, stages: Stages, name: str) -> Packed:
-    """The texts with their chunks written, and their symbols counted."""
+    """The texts with their chunks written, and their symbols counted.
+
+    Where no text has a second chunk, they are known to be bounded groups.
+    """
     chunks = stages.save(texts.chunks, name)
-    return Packed(chunks, texts.width, texts.chunk, texts.halo, texts.single,
-                  chunks.agg(F.sum("len")).first()[0] or 0)
+    total, last = chunks.agg(F.sum("len"), F.max("chunk_id")).first()
+    return Packed(chunks, texts.width, texts.chunk, texts.halo, texts.single or not last,
+                  total or 0)
+
+
+def by_size(texts: Packed) -> list[tuple[str, Packed]]:
+    """The staged texts of one chunk, which are bounded groups, and the others, with a name each."""
+    if texts.single:
+        return [("single", texts)]
+    several = texts.chunks.filter((F.col("chunk_id") > 0) | ~F.col("last"))
+    one = texts.chunks.filter((F.col("chunk_id") == 0) & F.col("last"))
+    total = one.agg(F.sum("len")).first()[0]
+    if not total:
+        return [("long", texts)]
+    return [("single", replace(texts, chunks=one, single=True, total=total)),
+            ("long", replace(texts, chunks=several, total=texts.total - total))]
 
 
 # How a substring stands to what was read of it, in the order of equal readings.
@@ -241,9 +265,9 @@ def induced(texts: Packed, stages: Stages, name: str = "induced") -> DataFrame:
     inner = stages.inner(f"{name}-stars")
     directory = with_directory(texts, inner)
     stars = star_order(texts, inner, name, directory)
-    keys = sort_keys(pieces(directory, texts, symbols), stars, texts.width, symbols)
+    keys = sort_keys(pieces(directory, texts, symbols), stars, texts.width, symbols, texts)
     first = rank(keys, ["text_id"], ["prefix", "ahead"], texts.total, texts, stages,
-                 f"{name}-first")
+                 f"{name}-first", placed=True)
     inner.remove()
     return refine(first, symbols, texts, stages, name)
 
@@ -260,12 +284,18 @@ def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None =
     if kind not in ("minus", "plus") or stars not in ("minus", "plus"):
         raise ValueError("kind and stars must be 'minus' or 'plus'")
     stages = stages or Stages(texts.chunks.sparkSession)
-    packed = staged(texts, stages, f"{kind}-chunks")
-    symbols = _key_symbols(texts)
-    cut = pieces(with_directory(packed, stages), packed, symbols, stars).filter(
-        F.col("run_is_plus") == (kind == "plus"))
     order = star_sa.select("text_id", F.col("pos").alias("star_pos"),
                            F.col("rank").alias("star_rank"))
+    return union([_induce(part, order, kind, stages.inner(name), stars)
+                  for name, part in by_size(staged(texts, stages, f"{kind}-chunks"))])
+
+
+def _induce(packed: Packed, order: DataFrame, kind: str, stages: Stages,
+            stars: str) -> DataFrame:
+    """``induce`` of texts that are staged, and all of one size."""
+    symbols = _key_symbols(packed)
+    cut = pieces(with_directory(packed, stages), packed, symbols, stars).filter(
+        F.col("run_is_plus") == (kind == "plus"))
 
     def closed(read: Column, left: Column, within: int) -> Column:
         """A suffix that goes on where another one's star is has the type that the star has not.
@@ -275,31 +305,33 @@ def induce(texts: Texts, star_sa: DataFrame, kind: str, stages: Stages | None =
         """
         if stars == "minus":
             return read
-        return F.when(left < within, F.concat(read, F.lit(b"\xff" * texts.width))).otherwise(read)
-
-    keys = sort_keys(cut, order, texts.width, symbols)
-    keys = stages.save(keys.withColumn("prefix", closed(
-        F.col("prefix"), F.col("star_pos") - F.col("pos"), symbols)), f"{kind}-keys")
-    ranked = rank(keys, ["text_id"], ["prefix", "ahead"], keys.count(), packed, stages,
-                  f"{kind}-0")
-    info = keys.select("text_id", "pos", "star_pos", "star_rank")
+        return F.when(left < within, F.concat(read, F.lit(b"\xff" * packed.width))).otherwise(read)
+
+    keys = sort_keys(cut, order, packed.width, symbols, packed).withColumn("prefix", closed(
+        F.col("prefix"), F.col("star_pos") - F.col("pos"), symbols))
+    if not packed.single:       # a range exchange reads its rows twice
+        keys = stages.save(keys, f"{kind}-keys")
+    # The star of a suffix stays with it.
+    also = ["star_pos", "star_rank"]
+    ranked = rank(keys, ["text_id"], ["prefix", "ahead"], packed.total, packed, stages,
+                  f"{kind}-0", also=also, placed=True)
     final, depth, turn = [], symbols, 0
     while True:
         final.append(ranked.filter(~F.col("tied")).select("text_id", "rank", "pos"))
-        still = ranked.filter("tied").select("text_id", "pos", F.col("rank").alias("base"))
+        still = ranked.filter("tied").select("text_id", "pos", F.col("rank").alias("base"), *also)
         count = still.count()
         if count == 0:
             return union(final)
         turn += 1
-        more = min(depth, texts.halo)
-        read = read_ahead(still.join(info, ["text_id", "pos"]), packed, depth, more, count)
+        more = min(depth, packed.halo)
+        read = read_ahead(still, packed, depth, more, count)
         left = F.col("star_pos") - F.col("pos") - depth
         shown = F.when(left < more, F.substring(
-            F.col("next"), F.lit(1), ((left + 1) * texts.width).cast("int"))).otherwise(
+            F.col("next"), F.lit(1), ((left + 1) * packed.width).cast("int"))).otherwise(
                 F.col("next"))
-        rows = read.withColumn("ahead", ahead(F.col("next"), left, more, texts.width)).withColumn(
+        rows = read.withColumn("ahead", ahead(F.col("next"), left, more, packed.width)).withColumn(
             "next", closed(shown, left, more))
         ranked = rank(rows, ["text_id", "base"], ["next", "ahead"], count, packed, stages,
-                      f"{kind}-{turn}", read_size(packed, more, count)).select(
-            "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"), "tied")
+                      f"{kind}-{turn}", read_size(packed, more, count), also).select(
+            "text_id", "pos", (F.col("base") + F.col("rank")).alias("rank"), "tied", *also)
         depth += more

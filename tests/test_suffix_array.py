@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexorder.operators import counts, positions, types
@@ -10,6 +11,7 @@ from lexorder.operators import names as names_module
 from lexorder.plans.suffix_array import sort_texts, suffix_array
 from lexorder.sources.files import read_text_chunks
 from lexorder.sources.texts import chunk_texts, explode_symbols, pack_symbols, random_text
+from lexorder.staging import Stages
 from tests import model
 
 
@@ -228,6 +230,70 @@ def test_order_errors_are_found(spark):
         assert positions.suffix_order_errors(wrong, symbols).count() > 0
 
 
+def test_rows_of_bounded_texts_are_made_where_they_are_ranked(spark, tmp_path):
+    """Packed pieces are exchanged, not a row per suffix; the window needs no other exchange."""
+    df = spark.createDataFrame([(0, "mississippi" * 50), (1, "banana")], "id long, t string")
+    packed = induced_plan.staged(chunk_texts(df, "id", "t"), Stages(spark, str(tmp_path)), "c")
+    assert packed.single and packed.total == 556
+    rows = doubling_plan.prefixes(packed, 24).withColumn(
+        "r", F.rank().over(Window.partitionBy("text_id").orderBy("prefix")))
+    assert rows.count() == 556
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_pieces_are_short(spark):
+    df = spark.createDataFrame([(0, "mississippi" * 300), (1, "a" * 5000)], "id long, t string")
+    texts = chunk_texts(df, "id", "t")
+    longest = types.run_pieces(texts, 24).agg(
+        F.max("size"), F.max(F.octet_length("data")), F.sum("size")).first()
+    assert longest[0] <= types.STRETCH and longest[1] < types.STRETCH + 24
+    assert longest[2] == 8300
+    assert [r.sym for r in explode_symbols(texts).filter("text_id = 0").orderBy("pos").collect()] \
+        == list(b"mississippi" * 300)
+
+
+@pytest.mark.parametrize("stars", ["minus", "plus"])
+def test_induce_ranks_bounded_texts_in_place(spark, monkeypatch, stars):
+    """Long texts beside short ones: only the long ones' rows are exchanged by range."""
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"ab", k=n)) for n in (3, 40, 64, 65, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t binary")
+    packed = chunk_texts(df, "id", "t", chunk=64, halo=16)
+    typed = types.classify_suffixes(packed)
+    order = positions.order_within(sort_texts(packed), typed.filter(f"is_{stars}_star"))
+    asked = []
+    real = doubling_plan.rank_rows
+    monkeypatch.setattr(doubling_plan, "rank_rows", lambda rows, *args: (
+        asked.append({r[0] for r in rows.select("text_id").distinct().collect()}),
+        real(rows, *args))[1])
+    for kind in ("minus", "plus"):
+        got = model.grouped(induced_plan.induce(packed, order, kind, stars=stars)
+                            .orderBy("text_id", "rank").collect(), lambda r: r.pos)
+        flags = {(r.text_id, r.pos) for r in typed.filter(f"is_minus = {kind == 'minus'}").collect()}
+        expected = {i: [p for p in model.suffix_array(t) if (i, p) in flags]
+                    for i, t in enumerate(texts)}
+        assert got == {i: order for i, order in expected.items() if order}
+    assert asked and set().union(*asked) <= {3, 4}
+
+
+def test_names_by_pairs_of_texts_of_any_size(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abc", k=n))) for i, n in enumerate((5, 30, 200, 1000))]
+    symbols = types.star_symbols(chunk_texts(spark.createDataFrame(rows, "id long, t string"),
+                                             "id", "t"))
+    ranged, real = [], names_module.rank_rows
+    monkeypatch.setattr(names_module, "rank_rows", lambda *args, **more: (
+        ranged.append(1), real(*args, **more))[1])
+    found = []
+    for bound in (1 << 17, 300, 0):
+        monkeypatch.setattr(names_module, "BOUNDED", bound)
+        found.append(sorted(map(tuple, names_module.names_by_pairs(symbols).collect())))
+        assert bool(ranged) == (bound < 1 << 17)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 300
+
+
 def test_order_check_broadcasts_no_symbols(spark, tmp_path):
     """Packed texts are small files, the rows of their symbols are not."""
     spark.range(5).selectExpr("id", "repeat('abc', 50) AS t").write.parquet(str(tmp_path / "t"))
