@@ -40,14 +40,18 @@ def count_names(stars: DataFrame) -> DataFrame:
 
 
 def name_order(order: DataFrame, stages: Stages | None = None,
-               tasks: int | None = None) -> DataFrame:
+               tasks: int | None = None, bounded: bool = False) -> DataFrame:
     """``(text_id, star_idx, pos, name)``: dense names from an order of the star substrings.
 
     ``order`` is ``(text_id, star_idx, rank, pos)`` with equal ranks for equal substrings, so no
-    substring is looked at.
+    substring is looked at.  ``bounded`` says that every text is a group of bounded size.
     """
     spark = order.sparkSession
     keep = ["text_id", "star_idx", "pos"]
+    if bounded:
+        name = F.dense_rank().over(Window.partitionBy("text_id").orderBy("rank")) - 1
+        return order.repartition(tasks or default_tasks(spark), "text_id").select(
+            *keep, name.cast("long").alias("name"))
     return rank_rows(order.select(*keep, "rank"), ["text_id"], ["rank"], ["pos"],
                      tasks or default_tasks(spark), stages or Stages(spark), "named", keep=keep,
                      what="dense").select(*keep, F.col("rank").alias("name"))

@@ -24,7 +24,7 @@ from lexorder.plans.doubling import Packed, rank, refine
 from lexorder.plans.induced import (_key_symbols, pieces, sort_keys, staged, star_substring_order,
                                     width_of)
 from lexorder.sources.texts import Texts, pack_symbols
-from lexorder.staging import Stages, shared_dir
+from lexorder.staging import Stages, shared_dir, tasks_for
 
 DONE = ("step string, width int, chunk int, halo int, single boolean, total long, names long, "
         "longest long, seconds double, bytes long")
@@ -94,7 +94,9 @@ def _descend(run: Run, number: int, texts: Texts) -> Level:
         single = not packed.chunks.agg(F.max("chunk_id")).first()[0]
         packed = replace(packed, single=single)
         work = stages.inner("work")
-        named = stages.save(name_order(star_substring_order(packed, work), work), "named")
+        # Stars are half the symbols at most.
+        named = stages.save(name_order(star_substring_order(packed, work), work,
+                                       tasks_for(run.spark, packed.total // 2), single), "named")
         # Both counts of a text come from one pass; names combine before they are exchanged.
         per_name = named.groupBy("text_id", "name").agg(F.count("*").alias("n"))
         sizes = stages.save(per_name.groupBy("text_id").agg(

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lexorder.operators import names
 from lexorder.plans import levels as plan
 from lexorder.sources.texts import chunk_texts
 from tests import model
@@ -43,6 +44,17 @@ def test_levels_and_report(spark, packed):
     assert all(r.seconds > 0 and r.bytes > 0 for r in report.values())
 
 
+def test_bounded_texts_are_named_by_windows(spark, monkeypatch):
+    """No range exchange, which reads its rows twice, where every text is one chunk."""
+    texts = ["mississippi" * 9, "banana", "ab" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    monkeypatch.delattr(names, "rank_rows")
+    rows = plan.levels(chunk_texts(df, "id", "t"), most=2).filter("level = 0").collect()
+    assert {r.text_id: (r.n_stars, r.n_names) for r in rows} == {
+        i: (len(named), len(set(named))) for i, t in enumerate(texts)
+        for named in [model.names(tuple(t.encode()))]}
+
+
 def test_a_lost_driver_goes_on(spark, packed, monkeypatch):
     """A run that ends inside a level leaves the levels before it, and none are made again."""
     texts, chunks = packed
