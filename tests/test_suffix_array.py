@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -317,3 +319,25 @@ def test_preceding_symbol(spark, shape):
 def test_random_text(spark):
     got = random_text(spark, 1_000, 4, seed=1, first=ord("a")).collect()
     assert {r.sym for r in got} == set(b"abcd") and {r.pos for r in got} == set(range(1_000))
+
+
+@pytest.mark.parametrize("at_once", [1, 60, 1 << 18])
+def test_short_texts_are_sorted_where_their_chunks_lie(spark, sample, monkeypatch, at_once):
+    """No row per suffix is exchanged or written, and texts that are handled together stay apart."""
+    monkeypatch.setattr(doubling_plan, "AT_ONCE", at_once)
+    monkeypatch.setattr("lexorder.plans.suffix_array.WORTH", 1)
+    texts, df = sample
+    sa = suffix_array(df, "id", "text")
+    plan = sa._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+    check(sa, texts)
+
+
+def test_ties_of_short_texts():
+    rng = random.Random(7)
+    texts = [bytes(rng.choices(b"ab", k=n)) for n in (1, 5, 30, 200)] + [b"a" * 50, b"abc" * 20]
+    short = doubling_plan.ShortTexts(np.frombuffer(b"".join(texts), np.uint8),
+                                     np.array([len(t) for t in texts]))
+    for symbols in (1, 2, 5, 24):
+        heads = [Counter(t[i:i + symbols] for i in range(len(t))) for t in texts]
+        assert short.ties(symbols).tolist() == [sum(n for n in h.values() if n > 1) for h in heads]
