@@ -95,3 +95,29 @@ def test_symbols_read_between_looks_at_the_arrays(spark, monkeypatch):
     assert [r.pos for r in sa.orderBy("rank").collect()] == model.suffix_array(text)
     first, last = steps.index("look_up"), len(steps) - steps[::-1].index("look_up")
     assert "read" in steps[first:last] and steps[first:last].count("change") >= 2, steps
+
+
+def test_ranks_are_packed_before_they_are_exchanged(spark, monkeypatch):
+    """However the rows lie; what is exchanged is a row per chunk and task, not one per rank."""
+    monkeypatch.setattr("lexorder.operators.rank_arrays.BLOBS", 3)
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"ab", k=n)) for n in (300, 40, 16)]
+    packed = chunk_texts(spark.createDataFrame(list(enumerate(texts)), "id long, t binary"), "id",
+                         "t", chunk=16, halo=4)
+    known = [(i, p, rng.randrange(len(t))) for i, t in enumerate(texts) for p in range(len(t))]
+    rng.shuffle(known)
+    rows = spark.createDataFrame(known, "text_id long, pos long, rank long").coalesce(1)
+    plans, write = [], RankArrays._write
+    monkeypatch.setattr(RankArrays, "_write", lambda self, arrays: (plans.append(
+        arrays._jdf.queryExecution().executedPlan().toString()), write(self, arrays)))
+    arrays = RankArrays(rows, packed, 356, Stages(spark), "ranks")
+    assert plans[0].count("Exchange ") == 1
+    assert plans[0].count("MapInArrow") == 2 and plans[0].index("Exchange ") < plans[0].rindex(
+        "MapInArrow")
+    held = {(r.text_id, r.chunk_id): r.ranks for r in arrays.arrays().collect()}
+    arrays.drop()
+    width = len(held[2, 1])
+    for i, text in enumerate(texts):
+        ranks = b"".join(held[i, c] for c in range(len(text) // 16 + 1))
+        got = [int.from_bytes(ranks[k:k + width], "big") for k in range(0, len(ranks), width)]
+        assert got == [r + 1 for j, _, r in sorted(known) if j == i] + [0]

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -341,3 +342,57 @@ def test_ties_of_short_texts():
     for symbols in (1, 2, 5, 24):
         heads = [Counter(t[i:i + symbols] for i in range(len(t))) for t in texts]
         assert short.ties(symbols).tolist() == [sum(n for n in h.values() if n > 1) for h in heads]
+
+
+@pytest.mark.parametrize("group, at_once", [(0, 1), (25, 30), (1 << 20, 1), (1 << 20, 1 << 18)])
+def test_long_texts_up_to_a_size_are_ranked_from_packed_pieces(spark, sample, monkeypatch, group,
+                                                               at_once):
+    """In round 0 only texts beyond that size have their rows exchanged by range."""
+    texts, df = sample
+    monkeypatch.setattr(doubling_plan, "GROUP_SYMBOLS", group)
+    monkeypatch.setattr(doubling_plan, "AT_ONCE", at_once)
+    asked, real = [], doubling_plan.rank_rows
+    monkeypatch.setattr(doubling_plan, "rank_rows", lambda rows, group, key, *rest: (
+        asked.append({r[0] for r in rows.select("text_id").distinct().collect()}
+                     if key == ["prefix"] else set()), real(rows, group, key, *rest))[1])
+    check(suffix_array(df, "id", "text", method="doubling", chunk=7, halo=5), texts)
+    assert set().union(*asked) == {i for i, t in enumerate(texts) if len(t) > max(7, group)}
+
+
+@pytest.mark.parametrize("width, halo", [(1, 40), (1, 1), (2, 7), (5, 6), (8, 9)])
+def test_ranks_from_packed_pieces(spark, tmp_path, width, halo):
+    """Against prefixes as rows: zero symbols, runs, texts that end within the prefix."""
+    rng = random.Random(width)
+    texts = [[rng.choice([0, 0, 1, 255]) for _ in range(n)] for n in (60, 100, 333)]
+    texts += [[0] * 90, [255] * 90, [1] * 50 + [0] * 60 + [2], [0] * 70 + [3] + [0] * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t array<long>")
+    packed = induced_plan.staged(
+        chunk_texts(df, "id", "t", "token", width, chunk=50, halo=halo), Stages(
+            spark, str(tmp_path)), "c")
+    symbols = doubling_plan.first_symbols(packed)
+    order = Window.partitionBy("text_id").orderBy("prefix")
+    rows = doubling_plan.prefixes(packed, symbols)
+    equal = Window.partitionBy("text_id", "prefix")
+    expected = rows.select("text_id", "pos", (F.rank().over(order) - 1).cast("long"),
+                           F.count("*").over(equal) > 1).collect()
+    got = doubling_plan.rank_pieces(packed, symbols, Stages(spark), "r").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        names = [str(disk.getAllFiles().apply(i)) for i in range(disk.getAllFiles().size())]
+        return {name for name in names if "shuffle_" in name}
+
+    before = files()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    saved = Stages(spark).save(spark.range(1000).repartition(3, "id"), "rows")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and saved.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled",
+                          None) == setting
