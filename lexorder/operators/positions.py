@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexorder.operators.order_check import order_errors
 from lexorder.operators.ranking import rank_rows
 from lexorder.operators.scans import scan_rows
 from lexorder.sources.texts import Texts, symbol_value
@@ -83,24 +84,7 @@ def suffix_order_errors(sa: DataFrame, symbols: DataFrame) -> DataFrame:
     suffix is smaller than the next in rank: by its first symbol or, where that is equal, by the
     ranks of the two suffixes one symbol on.
 
-    Both tables have a row per symbol, far more than the packed files they come from let Spark
-    expect, so that no side is left to be broadcast: the joins are sort-merge joins.
+    Both tables have a row per symbol.  They are packed where they lie and meet by position, and
+    then by rank, in stretches of bounded size (see ``order_check``).
     """
-    key = ["text_id", "pos"]
-    everything = symbols.join(sa.hint("merge"), key, "full_outer")
-    unmatched = everything.filter(F.col("rank").isNull() | F.col("sym").isNull()).select(
-        *key, F.lit("position missing or not in the text").alias("error"))
-    twice = (sa.groupBy("text_id", "rank").count().filter("count > 1")
-             .select("text_id", F.col("rank").alias("pos"), F.lit("rank given twice")
-                     .alias("error")))
-    ahead = sa.select("text_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("ahead"))
-    suffixes = (symbols.join(sa.hint("merge"), key).join(ahead.hint("merge"), key, "left")
-                .withColumn("ahead", F.coalesce("ahead", F.lit(-1))))
-    after = suffixes.select("text_id", (F.col("rank") - 1).alias("rank"),
-                            F.struct("sym", "ahead").alias("next_key"))
-    gaps = suffixes.join(after.hint("merge"), ["text_id", "rank"], "full_outer")
-    falling = gaps.filter(F.struct("sym", "ahead") >= F.col("next_key")).select(
-        *key, F.lit("suffix is not below the next").alias("error"))
-    hole = (gaps.filter(F.col("pos").isNull() & (F.col("rank") >= 0))
-            .select("text_id", F.col("rank").alias("pos"), F.lit("rank missing").alias("error")))
-    return unmatched.unionByName(twice).unionByName(falling).unionByName(hole)
+    return order_errors(sa, symbols)

@@ -257,13 +257,14 @@ def _rank_by(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order, first, tied
 
 
-def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole texts, from rows in which texts lie together."""
+def _whole_texts(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Table]:
+    """Tables of whole texts, with ``at_once`` symbols or more, from rows in which texts lie
+    together."""
     held, count = [], 0
     for batch in batches:
         held.append(batch)
         count += pc.sum(batch.column("size")).as_py() or 0
-        if count < AT_ONCE:
+        if count < at_once:
             continue
         table = pa.Table.from_batches(held)
         ids = table.column("text_id")
@@ -283,7 +284,7 @@ def rank_pieces(texts: Packed, symbols: int, stages: Stages, name: str) -> DataF
     width = texts.width
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut in _whole_texts(batches):
+        for cut in _whole_texts(batches, AT_ONCE):
             piece, pos, columns = _prefix_words(cut, width, symbols)
             rows, first, tied = _rank_by(columns)
             ids = cut.column("text_id").combine_chunks().take(pa.array(piece[rows]))
