@@ -8,11 +8,13 @@ which is told by its distances to the buckets' walls.  What the tables give is m
 by the exact inner product of the original vectors in double precision.
 
 Equal vectors are one point that carries its least ids: as ties go to smaller ids, no id beyond
-the first ``top`` + 1 of a vector can be among ``top`` neighbours.  Points of a bucket, and the
-queries that visit it, are cut into blocks of bounded size, so a bucket with a third of all points
-is many blocks; each block of queries meets each block of points of a bucket it visits.  Of a
-meeting only a query's best ``top`` + 1 go on.  The first few visits of all queries are made
-first; what a query has found by then is a bound below which later visits hand nothing on.
+the first ``top`` + 1 of a vector can be among ``top`` neighbours.  Points of a bucket are
+cut into blocks of bounded size, so a bucket with a third of all points is many blocks.  Blocks are
+dealt to shards, and a query travels once to each shard in which it visits any block, not once to
+each bucket; a shard's queries are cut into parts too.  Of a shard only a query's best ``top`` + 1
+go on.  The tables are gone through one after the other, so that the vectors are exchanged for one
+at a time.  The first few visits of all queries are made first; what a query has found by then is a
+bound below which later visits hand nothing on.
 
 The number of directions grows with the logarithm of the points, so that buckets keep their size.
 The number of visited buckets is fitted on a sample (``FIT_POINTS``, ``FIT_QUERIES``) until the
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from lexorder.staging import Stages
 
 TABLES = 4
-FIRST = 3                  # visits to each table before the bound is taken
+FIRST = 3                  # visits, times the tables, before the bound is taken
 BUCKET_POINTS = 800        # points of a bucket that the number of directions aims at
 WIDTH = 1.5                # of a bucket, in standard deviations of a projection
 BITS = 1.46                # entropy of the bucket number along one direction at that width
@@ -49,7 +51,9 @@ FIT_POINTS = 10_000
 FIT_QUERIES = 100
 RECALL = 0.96
 MORE_ROUNDS = 2            # of twice the visits, for queries that have met too few points
-BLOCK = 2048               # points, or queries, that travel together
+BLOCK = 2048               # points of a bucket that travel together
+SHARD_BLOCKS = 8           # blocks' worth of points that a task should hold
+ASKED_BLOCKS = 16          # blocks' worth of queries that a task should hold
 SUMMED = 1 << 14           # pairs whose products are summed at once
 
 
@@ -82,14 +86,17 @@ class Hashing:
     def buckets(self, vectors: np.ndarray) -> np.ndarray:
         return np.floor(self.places(self.filled(vectors))).astype(np.int32)
 
-    def probes(self, vectors: np.ndarray, most: int) -> list[list[list[tuple[int, ...]]]]:
-        """For each query and table the buckets to visit, the likeliest first.
+    def probes(self, vectors: np.ndarray, most: int,
+               tables: list[int] | None = None) -> list[list[list[tuple[int, ...]]]]:
+        """For each query and table (of ``tables``) the buckets to visit, the likeliest first.
 
         Queries only turn neighbours about, so they are scaled to the norm and not filled.
         """
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         scaled = np.hstack([vectors / norms * self.norm, np.zeros((len(vectors), 1))])
         places = self.places(scaled)
+        if tables is not None:
+            places = places[:, tables]
         return [[_sequence(table, most) for table in query] for query in places]
 
 
@@ -181,34 +188,12 @@ def distinct_points(rows: DataFrame, stages: Stages, top: int) -> DataFrame:
         return df.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= top + 1)
 
     kept = least(least(hashed, "task"))
-    return stages.save(
+    points = stages.save(
         kept.groupBy("hash", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
         .select(F.struct(F.get("ids", F.lit(0)).alias("id"), "hash").alias("point"), "vector",
                 "ids"), "points")
-
-
-def _parts(df: DataFrame, keys: list[str], name: str, block: int) -> DataFrame:
-    """In how many blocks each group's rows go."""
-    return df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-
-
-def _meetings(held: DataFrame, visits: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the keys of the meetings they are to be at.
-
-    A row is in one block of its own side and is sent to every block of the other.
-    """
-    keys = ["place", "bucket"]
-    sizes = _parts(held, keys, "held_parts", block).join(
-        _parts(visits, keys, "visit_parts", block), keys)
-
-    def sent(df, own, other, own_name, other_name):
-        return (df.join(sizes, keys)
-                .withColumn(own_name, F.pmod(F.xxhash64("point"), F.col(own)).cast("int"))
-                .withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-                .drop("held_parts", "visit_parts"))
-
-    return (sent(held, "held_parts", "visit_parts", "held_part", "visit_part"),
-            sent(visits, "visit_parts", "held_parts", "visit_part", "held_part"))
+    stages.remove("vectors")
+    return points
 
 
 def fit_probes(sample: np.ndarray, hashing: Hashing, top: int, queries: int = FIT_QUERIES,
@@ -270,85 +255,146 @@ def neighbours(df: DataFrame, is_query: Column, vec_id: str = "vec_id",
     most = fit_probes(sample.reshape(len(sample), -1), hashing, top) if len(sample) else 1
     shared = spark.sparkContext.broadcast(hashing)
     point_type = points.schema["point"].dataType.simpleString()
+    vector_type = points.schema["vector"].dataType.simpleString()
+    id_type = rows.schema["id"].dataType.simpleString()
 
-    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            vectors = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-            buckets = shared.value.buckets(vectors)
-            for t in range(buckets.shape[1]):
-                yield pd.DataFrame({"point": frame["point"], "vector": frame["vector"],
-                                    "place": t, "bucket": [_key(b) for b in buckets[:, t]]})
+    def index_of(places: list[int]):
+        def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                vectors = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+                buckets = shared.value.buckets(vectors)
+                for t in places:
+                    yield frame.assign(place=t, bucket=[_key(b) for b in buckets[:, t]])
+
+        return index
+
+    def members_of(places: list[int]) -> DataFrame:
+        return points.select("point", "vector").mapInPandas(
+            index_of(places), f"point {point_type}, vector {vector_type}, place int, bucket string")
 
-    def visits_of(begin: int, end: int):
+    def visits_of(place: int, begin: int, end: int):
         def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for at in range(0, len(frame), 64):
                     some = frame.iloc[at:at + 64]
-                    visits = shared.value.probes(
-                        np.stack(some["vector"].to_numpy()).astype(np.float64), end)
+                    visits = shared.value.probes(np.stack(some["vector"].to_numpy()).astype(
+                        np.float64), end, [place])
                     yield pd.DataFrame(
-                        [(p, v, t, _key(b), n) for p, v, tables in
-                         zip(some["point"], some["vector"], visits)
-                         for t, sequence in enumerate(tables)
-                         for n, b in enumerate(sequence) if n >= begin],
-                        columns=["point", "vector", "place", "bucket", "turn"])
+                        [(p, place, _key(b)) for p, (sequence,) in zip(some["point"], visits)
+                         for b in sequence[begin:]], columns=["point", "place", "bucket"])
 
         return visit
 
-    placed = (f"point {point_type}, vector {points.schema['vector'].dataType.simpleString()}, "
-              "place int, bucket string")
-    held = stages.save(points.select("point", "vector").mapInPandas(index, placed), "index")
-    queries = points.join(asking.select("point").distinct(), "point").select("point", "vector")
-    # Buckets that hold nothing are not visited.
-    def visited(asked: DataFrame, begin: int, end: int) -> DataFrame:
-        return asked.mapInPandas(visits_of(begin, end), f"{placed}, turn int").join(
-            held.select("place", "bucket").distinct(), ["place", "bucket"], "left_semi")
+    # How many blocks a bucket's points are.
+    parts = stages.save(members_of(list(range(tables))).groupBy("place", "bucket").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("parts")), "buckets")
+    queries = stages.save(points.join(asking.select("point").distinct(), "point")
+                          .select("point", "vector"), "queries")
+    shards = max(1, -(-found["n"] // (SHARD_BLOCKS * block)))
+    asked_parts = max(1, -(-queries.count() // (ASKED_BLOCKS * block)))
 
-    visits = stages.save(visited(queries, 0, most), "visits")
+    def visited(asked: DataFrame, place: int, begin: int, end: int) -> DataFrame:
+        """(point, place, bucket, parts); buckets that hold nothing are not visited."""
+        return asked.select("point", "vector").mapInPandas(
+            visits_of(place, begin, end), f"point {point_type}, place int, bucket string").join(
+            parts, ["place", "bucket"])
 
     def compare(key: tuple, members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({name: pd.Series([], dtype=object)
+                                for name in ("query", "score", "id", "hash")})
         if not len(members) or not len(asked):
-            return pd.DataFrame({"query": [], "score": [], "id": [], "hash": []})
+            return nothing
         # In the order in which equal scores are to be.
         members = members.iloc[sorted(range(len(members)), key=lambda i: (
             members["point"].iloc[i]["id"], members["point"].iloc[i]["hash"]))]
         vectors = np.stack(members["vector"].to_numpy()).astype(np.float64)
+        wanted = np.stack(asked["vector"].to_numpy()).astype(np.float64)
+        bound = asked["bound"].to_numpy()
+        units, held = np.unique(members["unit"].to_numpy(), return_inverse=True)
+        order = np.argsort(held, kind="stable")
+        held_at = np.searchsorted(held[order], np.arange(len(units) + 1))
+        visit = np.concatenate([np.asarray(u, dtype=np.int64) for u in asked["units"]])
+        visitor = np.repeat(np.arange(len(asked)), [len(u) for u in asked["units"]])
+        by_unit = np.argsort(visit, kind="stable")
+        visit, visitor = visit[by_unit], visitor[by_unit]
         out = []
-        for at in range(0, len(asked), 256):
-            some = asked.iloc[at:at + 256]
-            row, member, scores = best_of(
-                np.stack(some["vector"].to_numpy()).astype(np.float64), vectors, top + 1)
-            good = scores >= some["bound"].to_numpy()[row]
-            out.append(pd.DataFrame({"query": some["point"].to_numpy()[row[good]],
-                                     "score": scores[good], "member": member[good]}))
-        out = pd.concat(out)
+        for n, unit in enumerate(units):
+            some = order[held_at[n]:held_at[n + 1]]
+            here = visitor[np.searchsorted(visit, unit):np.searchsorted(visit, unit, "right")]
+            for at in range(0, len(here), 256):
+                ask = here[at:at + 256]
+                row, member, scores = best_of(wanted[ask], vectors[some], top + 1)
+                good = scores >= bound[ask[row]]
+                out.append((ask[row[good]], some[member[good]], scores[good]))
+        if not out:
+            return nothing
+        query, member, score = map(np.concatenate, zip(*out))
+        order = np.lexsort((member, -score, query))
+        query, member, score = query[order], member[order], score[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) <= top
+        query, member, score = query[kept], member[kept], score[kept]
+        if not len(query):
+            return nothing
         point = members["point"].to_numpy()
-        return pd.DataFrame({"query": out["query"], "score": out["score"],
-                             "id": [point[m]["id"] for m in out["member"]],
-                             "hash": [point[m]["hash"] for m in out["member"]]})
+        return pd.DataFrame({"query": asked["point"].to_numpy()[query], "score": score,
+                             "id": [point[m]["id"] for m in member],
+                             "hash": [point[m]["hash"] for m in member]})
 
-    id_type = rows.schema["id"].dataType.simpleString()
-    keys = ["place", "bucket", "held_part", "visit_part"]
+    keys = ["shard", "asked_part"]
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "id", "hash")
+    least = float("-inf")
 
-    def met(some: DataFrame, held: DataFrame = held) -> DataFrame:
-        members, asked = _meetings(held, some, block)
+    def met(visits: DataFrame, held: DataFrame, so_far: DataFrame | None = None) -> DataFrame:
+        """The best points that queries meet in the buckets they visit.
+
+        A block of a bucket is a unit, and units are dealt to shards.  A query is sent once to each
+        shard in which it visits any, with their numbers; should two units have one number, it
+        would meet more points, never fewer.
+        """
+        unit = F.xxhash64("place", "bucket", "part")
+        split = parts.filter("parts > 1")
+        members = (held.join(split, ["place", "bucket"], "left")
+                   .withColumn("part", F.pmod(F.xxhash64("point"), F.coalesce("parts", F.lit(1)))
+                               .cast("int"))
+                   .select("point", "vector", unit.alias("unit"))
+                   .withColumn("shard", F.pmod(F.col("unit"), F.lit(shards)))
+                   .withColumn("asked_part", F.explode(F.sequence(F.lit(0), F.lit(
+                       asked_parts - 1)))))
+        asked = (visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                 .select("point", unit.alias("unit"))
+                 .groupBy("point", F.pmod(F.col("unit"), F.lit(shards)).alias("shard"))
+                 .agg(F.collect_list("unit").alias("units"))
+                 .join(queries, "point")
+                 .withColumn("asked_part", F.pmod(F.xxhash64("point"), F.lit(asked_parts))
+                             .cast("int")))
+        if so_far is not None:
+            bounds = so_far.filter(F.col("n") == top + 1).select(F.col("query").alias("point"),
+                                                                 F.col("score").alias("bound"))
+            asked = asked.join(bounds, "point", "left").withColumn(
+                "bound", F.coalesce("bound", F.lit(least)))
+        else:
+            asked = asked.withColumn("bound", F.lit(least))
         return (members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
             compare, f"query {point_type}, score double, id {id_type}, hash long"))
 
     def best(df: DataFrame) -> DataFrame:
+        # The same point found in several tables counts once.
         return (df.distinct().withColumn("n", F.row_number().over(ranked))
                 .filter(F.col("n") <= top + 1))
 
-    least = float("-inf")
-    early = stages.save(best(met(visits.filter(F.col("turn") < FIRST).withColumn(
-        "bound", F.lit(least)))), "early")
-    bounds = early.filter(F.col("n") == top + 1).select(F.col("query").alias("point"),
-                                                        F.col("score").alias("bound"))
-    late = met(visits.filter(F.col("turn") >= FIRST).join(bounds, "point", "left")
-               .withColumn("bound", F.coalesce("bound", F.lit(least))))
-    # The same point found in several tables counts once.
-    merged = stages.save(best(early.drop("n").union(late)), "merged")
+    def table_by_table(asked: DataFrame, begin: int, end: int, merged: DataFrame,
+                       name: str) -> DataFrame:
+        """``merged`` with what more visits find, a table at a time, so that one table's
+        vectors are exchanged at once."""
+        for t in range(tables):
+            first = FIRST * tables if not t and not begin else begin
+            merged = stages.save(best(merged.drop("n").union(met(
+                visited(asked, t, first, end), members_of([t]), merged))), f"{name}-table-{t}")
+        return merged
+
+    merged = stages.save(best(met(visited(queries, 0, 0, min(FIRST * tables, most)),
+                                  members_of([0]))), "early")
+    merged = table_by_table(queries, 0, most, merged, "merged")
     counts = points.select(F.col("point.id").alias("id"), F.col("point.hash").alias("hash"),
                            F.size("ids").alias("copies"))
     for step in range(MORE_ROUNDS + 1):
@@ -360,14 +406,15 @@ def neighbours(df: DataFrame, is_query: Column, vec_id: str = "vec_id",
         if short.isEmpty() or found["n"] == 1:
             break
         if step < MORE_ROUNDS:
-            more = met(visited(short, most, 2 * most).withColumn("bound", F.lit(least)))
+            merged = table_by_table(short, most, 2 * most, merged, f"merged-{step}")
             most *= 2
         else:
             whole = [F.lit(-1).alias("place"), F.lit("").alias("bucket")]
-            more = met(short.select("point", "vector", *whole, F.lit(0).alias("turn"),
-                                    F.lit(least).alias("bound")),
-                       points.select("point", "vector", *whole))
-        merged = stages.save(best(merged.drop("n").union(more)), f"merged-{step}")
+            blocks = max(1, -(-found["n"] // block))
+            parts = spark.createDataFrame([(-1, "", blocks)], "place int, bucket string, parts int")
+            merged = stages.save(best(merged.drop("n").union(met(
+                short.select("point", *whole, F.lit(blocks).alias("parts")),
+                points.select("point", "vector", *whole)))), f"merged-{step}")
     named = merged.join(points.select(F.col("point.id").alias("id"),
                                       F.col("point.hash").alias("hash"), "ids"), ["id", "hash"])
     each = (named.join(asking.select(F.col("id").alias("query_id"),

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexorder.llm import neighbours as A
+from lexorder.staging import Stages
 
 
 def table(spark, rows, extra=()):
@@ -120,3 +121,15 @@ def test_visits_come_in_order():
 
     costs = [cost(b) for b in visits]
     assert all(a <= b + 1e-9 for a, b in zip(costs, costs[1:])) and costs[0] == 0
+
+
+def test_vectors_are_written_once(spark, monkeypatch, tmp_path):
+    """No table holds a vector per hash table or per visit."""
+    monkeypatch.setattr(A, "fit_probes", lambda *a, **k: 100_000)
+    monkeypatch.setattr(A, "Stages", lambda spark: Stages(spark, str(tmp_path)))
+    rows = some_rows()
+    assert got(table(spark, rows), block=16) == brute(rows, lambda i: i % 20 == 0)
+    held = {path.name: spark.read.parquet(str(path)) for path in tmp_path.iterdir()}
+    points = held["points"].count()
+    assert all(df.count() <= points for df in held.values() if "vector" in df.columns)
+    assert "vectors" not in held and {"points", "queries"} <= set(held)
